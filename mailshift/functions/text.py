@@ -11,9 +11,14 @@ WS = r"\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\uf
 UNSAFE_CLASS = r"[\u0000-\u001f\u007f-\u009f\u2028\u2029]"
 
 
+# The same set as literal characters, for the (non-regex) character-set trim.
+WS_CHARS = "\t\n\u000b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(c: Column) -> Column:
-    """Trim the full JavaScript whitespace set (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    """Trim the full JavaScript whitespace set (plain ``trim`` strips spaces only)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -43,3 +48,29 @@ def json_string(c: Column) -> Column:
 
 def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+def memo_column(fn):
+    """Memoize a Column builder per (session, input expression).
+
+    The header parsers are large expression trees; building one costs many
+    driver->JVM calls.  Reusing the built Column for the same input keeps
+    query construction cheap.  Lambda variables have unique names, so calls
+    inside ``transform`` simply miss the cache.
+    """
+    import functools
+
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(c: Column) -> Column:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        key = (id(spark), str(c))
+        hit = cache.get(key)
+        if hit is None:
+            hit = cache[key] = fn(c)
+        return hit
+
+    return wrapper

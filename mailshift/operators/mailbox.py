@@ -45,20 +45,39 @@ def message_facts(msgs: DataFrame) -> DataFrame:
     labels and sender statistics are skipped, but they still count as messages.
     """
     valid = F.col("header_valid")
-    parsed_labels = F.transform("label_values", H.split_labels)
-    parsed_from = F.transform("from_values", H.parse_sender)
-    labels = F.flatten(F.filter(parsed_labels, lambda a: a.isNotNull()))
     empty = F.array().cast("array<string>")
-    facts = msgs.select(
-        "mailbox_id", "file_seq", "msg_seq", "header_valid",
-        F.when(valid, labels).otherwise(empty).alias("labels"),
-        F.when(valid, F.size(F.filter(parsed_labels, lambda a: a.isNull()))).otherwise(0)
-        .alias("unterminated_labels"),
+    n_from, n_lab = F.size("from_values"), F.size("label_values")
+    # Stage 1: parse each header value once.  The usual message has one From
+    # and one label header: that path is lambda-free and runs in generated
+    # code; several values of one header go through ``transform``.
+    parsed = msgs.select(
+        "mailbox_id", "file_seq", "msg_seq", "header_valid", "sent_hint", "from_values",
+        "label_values",
+        F.when(valid & (n_lab == 1), H.split_labels(F.element_at("label_values", 1))).alias("labels1"),
+        F.when(valid & (n_lab > 1), F.transform("label_values", H.split_labels)).alias("labels_n"),
+        F.when(valid & (n_from == 1), H.parse_sender(F.element_at("from_values", 1))).alias("email"),
+        F.when(valid & (n_from > 1), F.transform("from_values", H.parse_sender)).alias("from_n"),
         F.when(valid, H.message_id(F.col("id_values"))).alias("message_id"),
-        F.when(valid & (F.size("from_values") == 1), F.element_at(parsed_from, 1)).alias("email"),
-        F.when(valid, F.size(F.filter(parsed_from, lambda e: e.isNull()))).otherwise(0)
-        .alias("invalid_from"),
-        (valid & H.is_sent(labels, F.col("sent_hint"))).alias("is_sent"),
+    )
+    # Stage 2: derive labels and counters from the parsed values.
+    derived = parsed.select(
+        "mailbox_id", "file_seq", "msg_seq", "header_valid", "sent_hint", "message_id", "email",
+        F.when(n_lab == 1, F.coalesce("labels1", empty))
+        .when(n_lab > 1, F.flatten(F.filter("labels_n", lambda a: a.isNotNull())))
+        .otherwise(empty).alias("labels"),
+        F.when(~valid, 0)
+        .when(n_lab == 1, F.when(F.col("labels1").isNull(), 1).otherwise(0))
+        .when(n_lab > 1, F.size(F.filter("labels_n", lambda a: a.isNull())))
+        .otherwise(0).alias("unterminated_labels"),
+        F.when(~valid, 0)
+        .when(n_from == 1, F.when(F.col("email").isNull(), 1).otherwise(0))
+        .when(n_from > 1, F.size(F.filter("from_n", lambda e: e.isNull())))
+        .otherwise(0).alias("invalid_from"),
+    )
+    facts = derived.select(
+        "mailbox_id", "file_seq", "msg_seq", "header_valid", "labels", "unterminated_labels",
+        "message_id", "email", "invalid_from",
+        (valid & H.is_sent(F.col("labels"), F.col("sent_hint"))).alias("is_sent"),
     )
     return facts.withColumn("eligible", F.col("is_sent") & F.col("email").isNotNull())
 
@@ -69,21 +88,35 @@ def sent_messages(facts: DataFrame) -> DataFrame:
 
 
 def first_copies(facts: DataFrame) -> DataFrame:
-    """The sender of the first eligible copy of each Message-ID, plus every no-ID row."""
-    eligible = facts.where("eligible")
-    with_id = (
-        eligible.where(F.col("message_id").isNotNull())
-        .groupBy("mailbox_id", "message_id")
-        .agg(F.min_by("email", F.struct("file_seq", "msg_seq")).alias("email"))
-        .select("mailbox_id", "email")
+    """One row per counted unit: (mailbox, email, n).
+
+    Rows with a Message-ID group by (mailbox, id) and keep the sender of the
+    first eligible copy (``min_by`` over (file, message) order, n = 1).  Rows
+    without an ID are never merged with each other, so they group by
+    (mailbox, email) with n = their number.  One aggregate, one scan, and it
+    combines map-side for both kinds of rows.
+
+    Only ``is_sent`` is filtered before the aggregate; "has one usable From"
+    is applied inside it (a NULL ordering is ignored by ``min_by``), so the
+    optimizer never copies the From parser into a pushed-down filter.
+    """
+    has_id = F.col("message_id").isNotNull()
+    usable = F.col("email").isNotNull()
+    return (
+        facts.where("is_sent")
+        .groupBy("mailbox_id", "message_id", F.when(~has_id, F.col("email")).alias("no_id_email"))
+        .agg(F.min_by("email", F.when(usable, F.struct("file_seq", "msg_seq"))).alias("first_email"),
+             F.count_if(usable).alias("rows"))
+        .where(F.col("first_email").isNotNull())
+        .select("mailbox_id",
+                F.coalesce("no_id_email", "first_email").alias("email"),
+                F.when(has_id, F.lit(1)).otherwise(F.col("rows")).alias("n"))
     )
-    no_id = eligible.where(F.col("message_id").isNull()).select("mailbox_id", "email")
-    return with_id.unionByName(no_id)
 
 
 def sender_counts(facts: DataFrame) -> DataFrame:
     """A3/A10 (flagship): de-duplicated sender counts per mailbox."""
-    return first_copies(facts).groupBy("mailbox_id", "email").agg(F.count(F.lit(1)).alias("messages"))
+    return first_copies(facts).groupBy("mailbox_id", "email").agg(F.sum("n").cast("long").alias("messages"))
 
 
 def sender_ranking(counts: DataFrame) -> DataFrame:
@@ -103,19 +136,21 @@ def top_senders(counts: DataFrame, k: int = 3) -> DataFrame:
 
 
 def id_file_stats(facts: DataFrame) -> DataFrame:
-    """Per (mailbox, file, Message-ID): copies, and whether the first copy is eligible.
+    """Per (mailbox, file, Message-ID) aggregate carrying every per-file counter.
 
-    ``first_file`` is the file holding the first eligible copy of the ID in
-    the whole mailbox, computed by a window over the aggregated rows.
+    All rows without an ID share one group per file (they only feed plain
+    counters), so the aggregate combines map-side for every row.  ``first_file``
+    is the file holding the first eligible copy of the ID in the mailbox, a
+    window over the aggregated rows (bounded by files per ID, not copies).
     """
-    per = (
-        facts.where(F.col("message_id").isNotNull())
-        .groupBy("mailbox_id", "file_seq", "message_id")
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.min_by("eligible", "msg_seq").alias("first_eligible"),
-            F.max(F.col("eligible").cast("int")).alias("any_eligible"),
-        )
+    per = facts.groupBy("mailbox_id", "file_seq", "message_id").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min_by("eligible", "msg_seq").alias("first_eligible"),
+        F.max(F.col("eligible").cast("int")).alias("any_eligible"),
+        F.count_if(~F.col("header_valid")).alias("invalid_headers"),
+        F.sum("invalid_from").alias("invalid_from"),
+        F.sum("unterminated_labels").alias("unterminated_labels"),
+        F.count_if(F.col("is_sent") & F.col("email").isNull()).alias("sent_without_from"),
     )
     w = Window.partitionBy("mailbox_id", "message_id")
     return per.withColumn(
@@ -125,35 +160,30 @@ def id_file_stats(facts: DataFrame) -> DataFrame:
 
 def duplicate_counts(facts: DataFrame) -> DataFrame:
     """A4 + A5 per (mailbox, file): local repeats and cross-file suppressed copies."""
-    s = id_file_stats(facts)
+    return _per_file(id_file_stats(facts)).select(
+        "mailbox_id", "file_seq", "duplicate_count", "cross_file_duplicates")
+
+
+def _per_file(s: DataFrame) -> DataFrame:
+    has_id = F.col("message_id").isNotNull()
     return s.groupBy("mailbox_id", "file_seq").agg(
-        F.sum(F.col("copies") - 1).alias("duplicate_count"),
-        F.count_if(F.col("first_eligible") & (F.col("first_file") < F.col("file_seq")))
+        F.sum("copies").alias("message_count"),
+        F.sum("invalid_headers").cast("long").alias("invalid_headers"),
+        F.coalesce(F.sum(F.when(has_id, F.col("copies") - 1)), F.lit(0)).cast("long")
+        .alias("duplicate_count"),
+        F.count_if(has_id & F.col("first_eligible") & (F.col("first_file") < F.col("file_seq")))
         .alias("cross_file_duplicates"),
+        F.sum("invalid_from").cast("long").alias("invalid_from"),
+        F.sum("unterminated_labels").cast("long").alias("unterminated_labels"),
+        F.sum("sent_without_from").cast("long").alias("sent_without_from"),
     )
 
 
 def mailbox_stats(facts: DataFrame) -> DataFrame:
-    """A1, A4-A6 and diagnostics counts per (mailbox, file)."""
-    base = facts.groupBy("mailbox_id", "file_seq").agg(
-        F.count(F.lit(1)).alias("message_count"),
-        F.count_if(~F.col("header_valid")).alias("invalid_headers"),
-        F.sum("invalid_from").alias("invalid_from"),
-        F.sum("unterminated_labels").alias("unterminated_labels"),
-        F.count_if(F.col("is_sent") & F.col("email").isNull()).alias("sent_without_from"),
-    )
-    dups = duplicate_counts(facts)
-    return (
-        base.join(dups, ["mailbox_id", "file_seq"], "left")
-        .select(
-            "mailbox_id", "file_seq", "message_count", "invalid_headers",
-            F.coalesce("duplicate_count", F.lit(0)).cast("long").alias("duplicate_count"),
-            F.coalesce("cross_file_duplicates", F.lit(0)).cast("long").alias("cross_file_duplicates"),
-            F.col("invalid_from").cast("long").alias("invalid_from"),
-            F.col("unterminated_labels").cast("long").alias("unterminated_labels"),
-            "sent_without_from",
-        )
-    )
+    """A1, A4-A6 and diagnostics counts per (mailbox, file), from one scan."""
+    return _per_file(id_file_stats(facts)).select(
+        "mailbox_id", "file_seq", "message_count", "invalid_headers", "duplicate_count",
+        "cross_file_duplicates", "invalid_from", "unterminated_labels", "sent_without_from")
 
 
 def label_inventory(facts: DataFrame) -> DataFrame:

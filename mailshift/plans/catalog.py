@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as H
 from ..operators import mailbox as MB
+from ..session import spread
 from ..sources.adapters import view
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    return MB.message_facts(MB.messages_from_view(view(spark, sf, "v_msgs")))
+    return MB.message_facts(MB.messages_from_view(spread(view(spark, sf, "v_msgs"))))
 
 
 def mailbox_builders() -> dict[str, Builder]:
@@ -33,8 +34,7 @@ def mailbox_builders() -> dict[str, Builder]:
     b["sender_candidates"] = lambda s, sf: MB.sender_counts(_facts(s, sf))
     b["top_senders"] = lambda s, sf: MB.top_senders(MB.sender_counts(_facts(s, sf)), 3)
     b["sender_ranking"] = lambda s, sf: MB.sender_ranking(MB.sender_counts(_facts(s, sf)))
-    b["duplicate_counts"] = lambda s, sf: MB.duplicate_counts(_facts(s, sf)).select(
-        "mailbox_id", "file_seq", F.col("duplicate_count").cast("long"), "cross_file_duplicates")
+    b["duplicate_counts"] = lambda s, sf: MB.duplicate_counts(_facts(s, sf))
     b["mailbox_stats"] = lambda s, sf: MB.mailbox_stats(_facts(s, sf))
     b["label_inventory"] = lambda s, sf: MB.label_inventory(_facts(s, sf))
     b["invalid_from"] = lambda s, sf: (
