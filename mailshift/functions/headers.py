@@ -74,8 +74,8 @@ def decode_header(value: Column) -> Column:
         enc = F.lower(F.regexp_extract(t, _WORD_G, 2))
         charset = F.regexp_extract(t, _WORD_G, 1)
         text = F.regexp_extract(t, _WORD_G, 3)
-        prev_word = F.when(i > 0, is_word(F.element_at(tokens, i))).otherwise(F.lit(False))
-        next_word = F.when(i + 1 < n, is_word(F.element_at(tokens, i + 2))).otherwise(F.lit(False))
+        prev_word = F.when(i > 0, is_word(F.try_element_at(tokens, i))).otherwise(F.lit(False))
+        next_word = F.when(i + 1 < n, is_word(F.try_element_at(tokens, i + 2))).otherwise(F.lit(False))
         return (
             F.when(is_word(t), _decode_bytes(charset, _word_bytes(enc, text)))
             .when(prev_word & next_word & t.rlike(r"^[ \t\r\n]*\z"), F.lit(""))
@@ -131,7 +131,7 @@ def split_labels(raw: Column) -> Column:
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` (a single-element lambda binding)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 _ADDR = (r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
@@ -174,7 +174,7 @@ _MSGID = rf"^<[^<>{WS}]+@[^<>{WS}]+>\z"
 @memo_column
 def message_id(id_values: Column) -> Column:
     """The trimmed Message-ID when exactly one valid value is present, else NULL."""
-    first = js_trim(F.element_at(id_values, 1))
+    first = js_trim(F.try_element_at(id_values, F.lit(1)))
     return F.when((F.size(id_values) == 1) & first.rlike(_MSGID), first)
 
 

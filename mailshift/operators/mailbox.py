@@ -53,9 +53,9 @@ def message_facts(msgs: DataFrame) -> DataFrame:
     parsed = msgs.select(
         "mailbox_id", "file_seq", "msg_seq", "header_valid", "sent_hint", "from_values",
         "label_values",
-        F.when(valid & (n_lab == 1), H.split_labels(F.element_at("label_values", 1))).alias("labels1"),
+        F.when(valid & (n_lab == 1), H.split_labels(F.try_element_at("label_values", F.lit(1)))).alias("labels1"),
         F.when(valid & (n_lab > 1), F.transform("label_values", H.split_labels)).alias("labels_n"),
-        F.when(valid & (n_from == 1), H.parse_sender(F.element_at("from_values", 1))).alias("email"),
+        F.when(valid & (n_from == 1), H.parse_sender(F.try_element_at("from_values", F.lit(1)))).alias("email"),
         F.when(valid & (n_from > 1), F.transform("from_values", H.parse_sender)).alias("from_n"),
         F.when(valid, H.message_id(F.col("id_values"))).alias("message_id"),
     )

@@ -45,6 +45,7 @@ def mailbox_builders() -> dict[str, Builder]:
 def builders() -> dict[str, Builder]:
     out: dict[str, Builder] = {}
     out.update(mailbox_builders())
+    out.update(search_builders())
     return out
 
 
@@ -52,4 +53,42 @@ def oracles() -> dict[str, str]:
     from . import oracle_sql as O
     out: dict[str, str] = {}
     out.update(O.mailbox_queries())
+    out.update(O.search_queries())
     return out
+
+
+def search_builders() -> dict[str, Builder]:
+    from ..operators import search as S
+
+    def parsed(s: SparkSession, sf: str) -> DataFrame:
+        return S.parse_queries(spread(view(s, sf, "v_searches")))
+
+    b: dict[str, Builder] = {}
+    b["query_gates"] = lambda s, sf: parsed(s, sf).select(
+        "query_id", F.array_join("gates", " | ").alias("gates"))
+    b["query_tokens"] = lambda s, sf: parsed(s, sf).select(
+        "query_id", F.posexplode("tokens").alias("pos", "token"))
+    b["query_parse"] = lambda s, sf: parsed(s, sf).select(
+        "query_id",
+        F.size("tests").cast("long").alias("n_tests"),
+        F.size("negated").cast("long").alias("n_negated"),
+        S.test_text(F.col("tests")).alias("tests_text"),
+        S.test_text(F.col("negated")).alias("negated_text"),
+        F.array_join("unsupported", " | ").alias("unsupported_text"),
+    )
+    # One generator over both lists (no union, no filter on parsed columns: a
+    # pushed-down filter would copy the whole parse into its condition).
+    b["query_tests"] = lambda s, sf: parsed(s, sf).select(
+        "query_id", F.inline(F.concat(
+            F.transform("tests", lambda t, i: F.struct(F.lit(False).alias("negated"), i.alias("pos"),
+                                                       t["field"].alias("field"), t["op"].alias("op"),
+                                                       t["value"].alias("value"), t["num"].alias("num"),
+                                                       t["raw"].alias("raw"))),
+            F.transform("negated", lambda t, i: F.struct(F.lit(True).alias("negated"), i.alias("pos"),
+                                                         t["field"].alias("field"), t["op"].alias("op"),
+                                                         t["value"].alias("value"), t["num"].alias("num"),
+                                                         t["raw"].alias("raw"))))))
+    # describeTests([]) is the empty string, so every query gets a row.
+    b["query_describe"] = lambda s, sf: parsed(s, sf).select(
+        "query_id", S.describe_tests(F.col("tests")).alias("description"))
+    return b

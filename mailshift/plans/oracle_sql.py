@@ -133,3 +133,144 @@ SELECT DISTINCT mailbox_id, unnest(labels) AS label FROM efacts"""
     q["invalid_from"] = f + """
 SELECT mailbox_id, CAST(sum(invalid_from) AS BIGINT) AS invalid_from FROM efacts GROUP BY mailbox_id"""
     return q
+
+
+def search_queries() -> dict[str, str]:
+    from .. import constants as K
+
+    base = f"""
+WITH v_searches AS ({view_sql('v_searches')}),
+g AS (
+  SELECT query_id, text,
+    list_filter([
+      CASE WHEN length(text) > 4096 THEN '{K.Q_TOO_LONG}' END,
+      CASE WHEN regexp_matches(text, '[\\x00-\\x1f\\x7f-\\x{{9f}}\\x{{2028}}\\x{{2029}}]') THEN '{K.Q_CONTROL}' END,
+      CASE WHEN trim(text) = '' THEN '{K.Q_EMPTY}' END], lambda x: x IS NOT NULL) AS gates
+  FROM v_searches),
+s AS (
+  SELECT *,
+    CASE WHEN len(gates) = 0 THEN regexp_extract_all(text, '(?:[^"\\s]|"(?:\\\\(?s:.)|[^"\\\\])*(?:"|$))+') END AS tokens,
+    len(list_filter(flatten(list_transform(
+        list_filter(regexp_extract_all(text, '"(?:\\\\(?s:.)?|[^"\\\\])*"?|[^"]+'), lambda x: x[1] = '"'),
+        lambda sp: regexp_extract_all(sp, '\\\\(?s:.)?'))), lambda p: p NOT IN ('\\"', '\\\\'))) AS bad_esc,
+    regexp_full_match(text, '(?s)(?:[^"]|"(?:\\\\.|[^"\\\\])*")*') AS terminated
+  FROM g),
+p1 AS (
+  SELECT *, CASE WHEN len(gates) > 0 THEN gates ELSE list_concat(
+      list_transform(range(bad_esc), lambda i: '{K.Q_ESCAPE}'),
+      list_filter(['{K.Q_UNCLOSED}', '{K.Q_TOO_MANY}'], lambda r:
+        (r = '{K.Q_UNCLOSED}' AND NOT terminated) OR (r = '{K.Q_TOO_MANY}' AND len(tokens) > 20))) END AS phase1
+  FROM s),
+tok AS (
+  SELECT query_id, raw, pos FROM (
+    SELECT query_id, unnest(tokens) AS raw, generate_subscripts(tokens, 1) - 1 AS pos FROM p1 WHERE len(phase1) = 0)),
+t1 AS (
+  SELECT *, starts_with(raw, '-') AS neg,
+         CASE WHEN starts_with(raw, '-') THEN substr(raw, 2) ELSE raw END AS txt FROM tok),
+t2 AS (
+  SELECT *, CASE WHEN regexp_matches(txt, '^[a-zA-Z_]+:') THEN lower(regexp_extract(txt, '^([a-zA-Z_]+):', 1)) ELSE '' END AS key,
+         CASE WHEN regexp_matches(txt, '^[a-zA-Z_]+:') THEN regexp_replace(txt, '^[a-zA-Z_]+:', '') ELSE txt END AS rest
+  FROM t1),
+t3 AS (
+  SELECT *, starts_with(rest, '"') AS quoted,
+    CASE WHEN starts_with(rest, '"') THEN regexp_replace(substr(rest, 2, length(rest) - 2), '\\\\(["\\\\])', '\\1', 'g') ELSE rest END AS lit
+  FROM t2),
+t4 AS (
+  SELECT *, TRY_CAST(regexp_extract(lit, '(?i)^(\\d+)([KMG]?)$', 1) AS DECIMAL(38,0))
+      * CASE upper(regexp_extract(lit, '(?i)^(\\d+)([KMG]?)$', 2)) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576
+                                                                  WHEN 'G' THEN 1073741824 ELSE 1 END AS amount
+  FROM t3),
+t5 AS (
+  SELECT *, CASE
+    WHEN raw = 'OR' THEN '{K.Q_OR}'
+    WHEN txt = '' OR starts_with(txt, '-') THEN raw || '：' || '{K.Q_MINUS}'
+    WHEN regexp_matches(txt, '[{{}}]') THEN raw || '：' || '{K.Q_BRACES}'
+    WHEN regexp_matches(txt, '[()*?]') THEN raw || '：' || '{K.Q_PARENS}'
+    WHEN quoted AND NOT regexp_full_match(rest, '"(?:[^"\\\\]|\\\\["\\\\])*"') THEN raw || '：' || '{K.Q_QUOTE_SHAPE}'
+    WHEN NOT quoted AND regexp_matches(rest, '["\\\\]') THEN raw || '：' || '{K.Q_BARE_QUOTE}'
+    WHEN trim(lit) = '' THEN raw || '：' || '{K.Q_BLANK}'
+    WHEN strpos(lit, ':') > 0 THEN raw || '：' || '{K.Q_COLON}'
+    WHEN lit IN ('AND', 'OR', 'NOT') OR regexp_matches(lit, '(?:^|\\s)(?:AND|OR|NOT)(?:\\s|$)') OR starts_with(lit, '-')
+      THEN raw || '：' || '{K.Q_NESTED}'
+    WHEN key IN ('from', 'to', 'cc') AND strpos(lit, '@') > 0 AND NOT regexp_full_match(lit,
+      '(?i)[a-z0-9!#$%&''+/=?^_`~-]+(?:\\.[a-z0-9!#$%&''+/=?^_`~-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?')
+      THEN raw || '：' || '{K.Q_ADDRESS}'
+    WHEN key IN ('larger', 'smaller', 'size') AND NOT regexp_full_match(lit, '(?i)\\d+[KMG]?') THEN raw || '：' || '{K.Q_SIZE_SHAPE}'
+    WHEN key IN ('larger', 'smaller', 'size') AND (amount IS NULL OR amount > 4294967295) THEN raw || '：' || '{K.Q_SIZE_RANGE}'
+    WHEN key = 'has' AND lit <> 'attachment' THEN raw || '：' || '{K.Q_HAS}'
+    WHEN key <> '' AND key NOT IN ('from', 'to', 'cc', 'larger', 'smaller', 'size', 'has', 'subject')
+      THEN raw || '：' || replace('{K.Q_KEY}', '{{key}}', key)
+    END AS reason,
+    CASE WHEN key IN ('larger', 'smaller', 'size') THEN 'size' WHEN key = 'has' THEN 'attachment'
+         WHEN key = '' THEN 'body' ELSE key END AS field,
+    CASE WHEN key IN ('from', 'to', 'cc') AND strpos(lit, '@') > 0 THEN 'is' WHEN key = 'smaller' THEN 'under'
+         WHEN key IN ('larger', 'size') THEN 'over' WHEN key = 'has' THEN 'is' ELSE 'contains' END AS op,
+    CASE WHEN key IN ('larger', 'smaller', 'size') THEN CAST(amount AS BIGINT) END AS num
+  FROM t4),
+t6 AS (
+  SELECT *, CASE WHEN key IN ('from', 'to', 'cc') AND strpos(lit, '@') > 0 THEN lower(lit)
+                 WHEN key IN ('larger', 'smaller', 'size') THEN CAST(num AS VARCHAR)
+                 WHEN key = 'has' THEN 'attachment' ELSE lit END AS value
+  FROM t5),
+ok AS (SELECT * FROM t6 WHERE reason IS NULL),
+ok2 AS (
+  SELECT *,
+    min(CASE WHEN neg THEN pos END) OVER (PARTITION BY query_id, field, op, value) AS first_neg,
+    min(CASE WHEN NOT neg THEN pos END) OVER (PARTITION BY query_id, field, op, value) AS first_pos,
+    min(value) OVER w AS prev_min, max(value) OVER w AS prev_max
+  FROM ok
+  WINDOW w AS (PARTITION BY query_id, neg, field, op ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+reasons AS (
+  SELECT query_id, 0 AS grp, pos AS k1, 0 AS k2, reason AS r FROM t6 WHERE reason IS NOT NULL
+  UNION ALL
+  SELECT query_id, 1, pos, 0, raw || '：' || '{K.Q_BOTH_POLARITIES}' FROM ok2
+    WHERE (CASE WHEN neg THEN first_pos ELSE first_neg END) < pos
+  UNION ALL
+  SELECT query_id, 1, pos, 1, raw || '：' || '{K.Q_CONFLICT}' FROM ok2
+    WHERE (op = 'is' OR field = 'size') AND (prev_min <> value OR prev_max <> value)
+  UNION ALL
+  SELECT query_id, 2, CASE WHEN neg THEN 1 ELSE 0 END, 0, '{K.Q_SIZE_CONFLICT}' FROM (
+    SELECT query_id, neg,
+      arg_min(num, pos) FILTER (WHERE field = 'size' AND op = 'over') AS o,
+      arg_min(num, pos) FILTER (WHERE field = 'size' AND op = 'under') AS u
+    FROM ok GROUP BY query_id, neg) z WHERE o >= u),
+unsup AS (
+  SELECT query_id, string_agg(r, ' | ' ORDER BY grp, k1, k2) AS reasons FROM reasons GROUP BY query_id),
+res AS (
+  SELECT p1.query_id, p1.phase1, p1.tokens, p1.gates,
+         CASE WHEN len(p1.phase1) > 0 THEN array_to_string(p1.phase1, ' | ') ELSE coalesce(u.reasons, '') END AS unsupported_text
+  FROM p1 LEFT JOIN unsup u USING (query_id)),
+tests AS (
+  SELECT ok.* FROM ok JOIN res USING (query_id) WHERE res.unsupported_text = '')"""
+    q: dict[str, str] = {}
+    q["query_gates"] = base + "\nSELECT query_id, array_to_string(gates, ' | ') AS gates FROM res"
+    q["query_tokens"] = base + """
+SELECT query_id, CAST(pos AS INTEGER) AS pos, token FROM (
+  SELECT query_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM res WHERE tokens IS NOT NULL)"""
+    q["query_parse"] = base + """
+SELECT res.query_id,
+  (SELECT count(*) FROM tests t WHERE t.query_id = res.query_id AND NOT t.neg) AS n_tests,
+  (SELECT count(*) FROM tests t WHERE t.query_id = res.query_id AND t.neg) AS n_negated,
+  coalesce((SELECT string_agg(field || '|' || op || '|' || value || '|' || raw, ' ; ' ORDER BY pos)
+            FROM tests t WHERE t.query_id = res.query_id AND NOT t.neg), '') AS tests_text,
+  coalesce((SELECT string_agg(field || '|' || op || '|' || value || '|' || raw, ' ; ' ORDER BY pos)
+            FROM tests t WHERE t.query_id = res.query_id AND t.neg), '') AS negated_text,
+  unsupported_text
+FROM res"""
+    q["query_tests"] = base + """
+SELECT query_id, neg AS negated,
+  CAST(row_number() OVER (PARTITION BY query_id, neg ORDER BY pos) - 1 AS INTEGER) AS pos,
+  field, op, value, num, raw
+FROM tests"""
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.FIELD_NAMES.items())
+    ops = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.OP_WORDS.items())
+    q["query_describe"] = base + f"""
+SELECT query_id, string_agg(CASE WHEN field = 'attachment' THEN '{K.ATTACHMENT_WORD}' ELSE
+    (CASE field {names} ELSE field END) || (CASE op {ops} END)
+    || (CASE WHEN field = 'size' THEN value || '{K.BYTES_SUFFIX}' ELSE to_json(value)::VARCHAR END) END,
+  '{K.DESCRIBE_JOIN}' ORDER BY pos) AS description
+FROM tests WHERE NOT neg GROUP BY query_id
+UNION ALL
+SELECT query_id, '' AS description FROM res
+WHERE query_id NOT IN (SELECT query_id FROM tests WHERE NOT neg)"""
+    return q

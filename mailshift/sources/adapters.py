@@ -50,6 +50,36 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN event_id % 20 = 19 THEN 'sent' END AS label2",
         "CAST(floor(value) AS BIGINT) * 1024 AS size_bytes",
     ]),
+    # Saved searches: one per order, drawn from accept and reject shapes.
+    "v_searches": ("orders", [
+        "o_orderkey AS query_id",
+        "CASE o_orderkey % 24 "
+        "WHEN 0 THEN 'hello' "
+        "WHEN 1 THEN '\"hello world\"' "
+        "WHEN 2 THEN 'subject:News' "
+        "WHEN 3 THEN 'from:USER' || CAST(o_custkey % 9 AS STRING) || '@Example.COM' "
+        "WHEN 4 THEN 'larger:' || CAST(o_custkey % 20 AS STRING) || 'M' "
+        "WHEN 5 THEN 'smaller:2k' "
+        "WHEN 6 THEN 'has:attachment' "
+        "WHEN 7 THEN 'hello -subject:\"Bad news\" -has:attachment -larger:10M' "
+        "WHEN 8 THEN 'from:a@example.com larger:1M subject:Invoice' "
+        "WHEN 9 THEN 'hello OR world' "
+        "WHEN 10 THEN '\"unterminated' "
+        "WHEN 11 THEN '\"bad' || chr(92) || 'q\"' "
+        "WHEN 12 THEN 'label:value' "
+        "WHEN 13 THEN 'size:4G' "
+        "WHEN 14 THEN 'a -a' "
+        "WHEN 15 THEN 'from:a@example.com from:b@example.com' "
+        "WHEN 16 THEN 'larger:10 smaller:5' "
+        "WHEN 17 THEN 'subject:from:abc' "
+        "WHEN 18 THEN '(one OR two)' "
+        "WHEN 19 THEN '-larger:10 -smaller:5' "
+        "WHEN 20 THEN 'to:a@example.com,b@example.com' "
+        "WHEN 21 THEN 'cust' || CAST(o_custkey % 50 AS STRING) || ' ' || o_orderpriority "
+        "WHEN 22 THEN '   ' "
+        "ELSE 'from:x' || CAST(o_custkey % 7 AS STRING) || '@example.com -to:boss@example.com smaller:' "
+        "|| CAST(o_custkey % 100 AS STRING) || 'K' END AS text",
+    ]),
 }
 
 
