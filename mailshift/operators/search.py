@@ -95,29 +95,35 @@ def _test(o: Column) -> Column:
                     o["num"].alias("num"), o["raw"].alias("raw"))
 
 
-def parse_queries(queries: DataFrame, text_col: str = "text") -> DataFrame:
-    """Parse every saved search: ``tests``, ``negated`` and ordered ``unsupported`` reasons."""
+def parse_queries(queries: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Parse every saved search: ``tests``, ``negated`` and ordered ``unsupported`` reasons.
+
+    Output columns are prefixed with ``prefix`` so the parser can run inline on
+    a table that holds several search columns (rules), without a join.
+    """
+    p = prefix
+    keep_cols = list(queries.columns)
     text = F.col(text_col)
     gates = F.filter(F.array(
         F.when(utf16_length(text) > K.MAX_QUERY, F.lit(K.Q_TOO_LONG)),
         F.when(unsafe(text), F.lit(K.Q_CONTROL)),
         F.when(is_blank(text), F.lit(K.Q_EMPTY)),
     ), lambda r: r.isNotNull())
-    stage1 = queries.withColumn("_gates", gates).withColumn(
-        "_tokens", F.when(F.size("_gates") == 0, F.regexp_extract_all(text, F.lit(_TOKEN), 0)))
+    stage1 = queries.withColumn(p + "_gates", gates).withColumn(
+        p + "_tokens", F.when(F.size(p + "_gates") == 0, F.regexp_extract_all(text, F.lit(_TOKEN), 0)))
     scan_reasons = F.concat(
         F.array_repeat(F.lit(K.Q_ESCAPE), _bad_escapes(text)),
         F.filter(F.array(
             F.when(~text.rlike(_TERMINATED), F.lit(K.Q_UNCLOSED)),
-            F.when(F.size("_tokens") > K.MAX_TOKENS, F.lit(K.Q_TOO_MANY)),
+            F.when(F.size(p + "_tokens") > K.MAX_TOKENS, F.lit(K.Q_TOO_MANY)),
         ), lambda r: r.isNotNull()),
     )
     stage2 = stage1.withColumn(
-        "_phase1", F.when(F.size("_gates") > 0, F.col("_gates")).otherwise(scan_reasons))
-    items = F.when(F.size("_phase1") == 0, F.transform("_tokens", _token))
-    stage3 = stage2.withColumn("_items", items)
+        p + "_phase1", F.when(F.size(p + "_gates") > 0, F.col(p + "_gates")).otherwise(scan_reasons))
+    items = F.when(F.size(p + "_phase1") == 0, F.transform(p + "_tokens", _token))
+    stage3 = stage2.withColumn(p + "_items", items)
 
-    ok = F.filter("_items", lambda o: o["reason"].isNull())
+    ok = F.filter(p + "_items", lambda o: o["reason"].isNull())
 
     def conflicts(me: Column) -> Column:
         earlier = F.filter(ok, lambda o: o["pos"] < me["pos"])
@@ -138,23 +144,23 @@ def parse_queries(queries: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(over.isNotNull() & under.isNotNull() & (over["num"] >= under["num"]),
                       F.lit(K.Q_SIZE_CONFLICT))
 
-    token_reasons = F.transform(F.filter("_items", lambda o: o["reason"].isNotNull()),
+    token_reasons = F.transform(F.filter(p + "_items", lambda o: o["reason"].isNotNull()),
                                 lambda o: o["reason"])
     cross = F.flatten(F.transform(ok, conflicts))
     sizes = F.filter(F.array(size_conflict(False), size_conflict(True)), lambda r: r.isNotNull())
     unsupported = F.when(
-        F.size("_phase1") > 0, F.col("_phase1")
+        F.size(p + "_phase1") > 0, F.col(p + "_phase1")
     ).otherwise(F.concat(token_reasons, cross, sizes))
-    stage4 = stage3.withColumn("unsupported", unsupported)
+    stage4 = stage3.withColumn(p + "unsupported", unsupported)
     empty = F.array().cast(f"array<{TEST_TYPE}>")
-    keep = F.size("unsupported") == 0
+    keep = F.size(p + "unsupported") == 0
     return stage4.select(
-        *[c for c in queries.columns],
-        F.when(keep, F.transform(F.filter(ok, lambda o: ~o["neg"]), _test)).otherwise(empty).alias("tests"),
-        F.when(keep, F.transform(F.filter(ok, lambda o: o["neg"]), _test)).otherwise(empty).alias("negated"),
-        "unsupported",
-        F.col("_tokens").alias("tokens"),
-        F.col("_gates").alias("gates"),
+        *keep_cols,
+        F.when(keep, F.transform(F.filter(ok, lambda o: ~o["neg"]), _test)).otherwise(empty).alias(p + "tests"),
+        F.when(keep, F.transform(F.filter(ok, lambda o: o["neg"]), _test)).otherwise(empty).alias(p + "negated"),
+        p + "unsupported",
+        F.col(p + "_tokens").alias(p + "tokens"),
+        F.col(p + "_gates").alias(p + "gates"),
     )
 
 

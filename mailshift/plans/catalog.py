@@ -46,6 +46,7 @@ def builders() -> dict[str, Builder]:
     out: dict[str, Builder] = {}
     out.update(mailbox_builders())
     out.update(search_builders())
+    out.update(rule_builders())
     return out
 
 
@@ -54,6 +55,7 @@ def oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(O.mailbox_queries())
     out.update(O.search_queries())
+    out.update(O.rule_queries())
     return out
 
 
@@ -92,3 +94,38 @@ def search_builders() -> dict[str, Builder]:
     b["query_describe"] = lambda s, sf: parsed(s, sf).select(
         "query_id", S.describe_tests(F.col("tests")).alias("description"))
     return b
+
+
+def rule_builders() -> dict[str, Builder]:
+    from ..operators import rules as R
+
+    def rules_in(s: SparkSession, sf: str) -> DataFrame:
+        return view(s, sf, "v_rules").withColumn("unknown", F.array().cast("array<string>"))
+
+    def final(s: SparkSession, sf: str) -> DataFrame:
+        return R.finalize(R.convert_rules(rules_in(s, sf)))
+
+    b: dict[str, Builder] = {}
+    b["rule_active_fields"] = lambda s, sf: R.active_fields(rules_in(s, sf)).select(
+        "mailbox_id", "rule_seq",
+        F.array_join(F.filter(F.array(*[F.when(F.col("a_" + n).isNotNull(), F.concat(F.lit(n + "="), F.col("a_" + n)))
+                                        for n in R.PROPS]), lambda x: x.isNotNull()), ", ").alias("active"),
+        F.array_join("field_issues", " | ").alias("field_issues"))
+    b["rule_description"] = lambda s, sf: rules_in(s, sf).select(
+        "mailbox_id", "rule_seq", R.description(rules_in(s, sf).columns).alias("description"))
+    b["rule_status"] = lambda s, sf: final(s, sf).select(
+        "mailbox_id", "rule_seq", "rule_id", "target", "status", "enabled",
+        F.array_join("issues", " | ").alias("issues"),
+        F.array_join("required_extensions", ",").alias("required_extensions"))
+    b["rule_gaps"] = lambda s, sf: final(s, sf).select(
+        "mailbox_id", "rule_seq", "rule_id", F.posexplode("issues").alias("pos", "issue")).select(
+        "mailbox_id", "rule_seq", "pos", F.concat("rule_id", F.lit(": "), "issue").alias("gap"))
+    b["status_summary"] = lambda s, sf: final(s, sf).groupBy("mailbox_id").agg(
+        F.count(F.lit(1)).alias("rules"),
+        F.count_if(F.col("status") == "converted").alias("converted"),
+        F.count_if(F.col("status") == "approximate").alias("approximate"),
+        F.count_if(F.col("status") == "skipped").alias("skipped"))
+    b["required_extensions"] = lambda s, sf: R.required_extensions(final(s, sf))
+    b["rule_script"] = lambda s, sf: R.script_blocks(final(s, sf))
+    b["capability_check"] = lambda s, sf: R.capability_rows(R.convert_rules(rules_in(s, sf)))
+    return b

@@ -274,3 +274,42 @@ UNION ALL
 SELECT query_id, '' AS description FROM res
 WHERE query_id NOT IN (SELECT query_id FROM tests WHERE NOT neg)"""
     return q
+
+
+def rule_queries() -> dict[str, str]:
+    from .. import constants as K
+
+    props = K.CRITERIA + K.ACTIONS
+    ctrl = "[\\x00-\\x1f\\x7f-\\x{9f}\\x{2028}\\x{2029}]"
+
+    def active(n: str) -> str:
+        v = f"p_{n}"
+        cond = f"{v} IS NOT NULL AND NOT regexp_matches({v}, '{ctrl}') AND {v} <> ''"
+        if n in K.SWITCHES:
+            cond += f" AND {v} = 'true'"
+        return f"CASE WHEN {cond} THEN '{n}=' || {v} END"
+
+    def issue(n: str) -> str:
+        v = f"p_{n}"
+        sw = f" WHEN {v} NOT IN ('true', 'false') THEN '{K.R_BAD_BOOLEAN.format(name=n)}'" if n in K.SWITCHES else ""
+        return (f"CASE WHEN {v} IS NULL THEN NULL WHEN regexp_matches({v}, '{ctrl}') "
+                f"THEN '{K.R_UNSAFE_VALUE.format(name=n)}' WHEN {v} = '' THEN NULL{sw} END")
+
+    base = f"WITH v_rules AS ({view_sql('v_rules')})\n"
+    q: dict[str, str] = {}
+    q["rule_active_fields"] = base + f"""
+SELECT mailbox_id, rule_seq,
+  array_to_string(list_filter([{', '.join(active(n) for n in props)}], lambda x: x IS NOT NULL), ', ') AS active,
+  array_to_string(list_filter([{', '.join(issue(n) for n in props)}], lambda x: x IS NOT NULL), ' | ') AS field_issues
+FROM v_rules"""
+
+    def side(names: list[str], empty: str) -> str:
+        items = ", ".join(f"CASE WHEN p_{n} IS NOT NULL THEN '{n}=' || p_{n} END" for n in names)
+        return (f"coalesce(nullif(array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ', '), ''), "
+                f"'{empty}')")
+
+    q["rule_description"] = base + f"""
+SELECT mailbox_id, rule_seq,
+  {side(K.CRITERIA, '(no conditions)')} || ' → ' || {side(K.ACTIONS, '(no actions)')} AS description
+FROM v_rules"""
+    return q

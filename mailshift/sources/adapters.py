@@ -80,6 +80,42 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "ELSE 'from:x' || CAST(o_custkey % 7 AS STRING) || '@example.com -to:boss@example.com smaller:' "
         "|| CAST(o_custkey % 100 AS STRING) || 'K' END AS text",
     ]),
+    # Filter rules: one per customer; mailbox = nation; templates of the rule tests.
+    "v_rules": ("customer", [
+        "c_nationkey AS mailbox_id",
+        "c_custkey + 1 AS rule_seq",
+        "'rule-' || CAST(c_custkey AS STRING) AS rule_id",
+        "CASE c_nationkey % 6 WHEN 0 THEN 'generic' WHEN 1 THEN 'fastmail' WHEN 2 THEN 'proton' "
+        "WHEN 3 THEN 'outlook' WHEN 4 THEN 'yahoo' ELSE 'unknown' END AS target",
+        "c_nationkey % 4 = 1 AS include_approximate",
+        "CAST(NULL AS STRING) AS archive_folder",
+        "CAST(NULL AS STRING) AS trash_folder",
+        "CASE c_custkey % 16 WHEN 0 THEN 'boss@example.com' WHEN 1 THEN 'boss@example.com' "
+        "WHEN 2 THEN 'a' || CAST(c_custkey % 9 AS STRING) || '@example.com' WHEN 4 THEN 'x@example.com' "
+        "WHEN 6 THEN 'a' || CAST(c_custkey % 10 AS STRING) || '@example.com' WHEN 12 THEN 'Boss <boss@example.com>' "
+        "WHEN 13 THEN 'x@example.com' WHEN 15 THEN 'a@example.com' END AS p_from",
+        "CASE c_custkey % 16 WHEN 1 THEN 'me@example.com' WHEN 14 THEN 'me@example.com' END AS p_to",
+        "CASE c_custkey % 16 WHEN 3 THEN 'Invoice' WHEN 7 THEN 'Invoice ' || CAST(c_custkey % 5 AS STRING) END AS p_subject",
+        "CASE c_custkey % 16 WHEN 8 THEN 'from:x@example.com larger:10M' WHEN 9 THEN 'hello' END AS p_hasTheWord",
+        "CASE c_custkey % 16 WHEN 11 THEN 'subject:spam -larger:1M' END AS p_doesNotHaveTheWord",
+        "CASE c_custkey % 16 WHEN 13 THEN 'true' END AS p_hasAttachment",
+        "CAST(NULL AS STRING) AS p_excludeChats",
+        "CASE c_custkey % 16 WHEN 10 THEN CAST(c_custkey % 3 AS STRING) END AS p_size",
+        "CASE c_custkey % 16 WHEN 10 THEN 's_sl' WHEN 0 THEN 's_sl' END AS p_sizeOperator",
+        "CASE c_custkey % 16 WHEN 10 THEN 's_skb' WHEN 0 THEN 's_smb' END AS p_sizeUnit",
+        "CASE c_custkey % 16 WHEN 0 THEN 'Work' WHEN 1 THEN 'Work' WHEN 2 THEN 'Work' WHEN 8 THEN 'Work' "
+        "WHEN 9 THEN 'Work' WHEN 10 THEN 'Receipts' WHEN 12 THEN 'Work' WHEN 13 THEN 'Work' "
+        "WHEN 14 THEN 'Project ' || CAST(c_custkey % 5 AS STRING) WHEN 15 THEN 'Work' END AS p_label",
+        "CASE c_custkey % 16 WHEN 5 THEN 'copy@example.com' WHEN 6 THEN 'copy@example.com' END AS p_forwardTo",
+        "CASE c_custkey % 16 WHEN 2 THEN 'true' WHEN 3 THEN 'true' WHEN 11 THEN 'true' END AS p_shouldArchive",
+        "CASE c_custkey % 16 WHEN 7 THEN 'true' END AS p_shouldMarkAsRead",
+        "CASE c_custkey % 16 WHEN 7 THEN 'true' WHEN 2 THEN 'false' END AS p_shouldStar",
+        "CASE c_custkey % 16 WHEN 4 THEN 'true' WHEN 15 THEN 'true' END AS p_shouldTrash",
+        "CAST(NULL AS STRING) AS p_shouldNeverSpam",
+        "CAST(NULL AS STRING) AS p_shouldAlwaysMarkAsImportant",
+        "CAST(NULL AS STRING) AS p_shouldNeverMarkAsImportant",
+        "CAST(NULL AS STRING) AS p_smartLabelToApply",
+    ]),
 }
 
 
