@@ -47,6 +47,7 @@ def builders() -> dict[str, Builder]:
     out.update(mailbox_builders())
     out.update(search_builders())
     out.update(rule_builders())
+    out.update(input_builders())
     return out
 
 
@@ -56,6 +57,7 @@ def oracles() -> dict[str, str]:
     out.update(O.mailbox_queries())
     out.update(O.search_queries())
     out.update(O.rule_queries())
+    out.update(O.input_queries())
     return out
 
 
@@ -129,3 +131,21 @@ def rule_builders() -> dict[str, Builder]:
     b["rule_script"] = lambda s, sf: R.script_blocks(final(s, sf))
     b["capability_check"] = lambda s, sf: R.capability_rows(R.convert_rules(rules_in(s, sf)))
     return b
+
+
+def input_builders() -> dict[str, Builder]:
+    from ..sources import archives as A
+    from ..sources import files as FL
+
+    def audit(s: SparkSession, sf: str) -> DataFrame:
+        return A.entry_audit(view(s, sf, "v_archives"))
+
+    b: dict[str, Builder] = {}
+    b["archive_audit"] = audit
+    b["archive_atomic"] = lambda s, sf: A.atomic_files(view(s, sf, "v_archives"), audit(s, sf))
+    b["archive_batch_budget"] = lambda s, sf: A.batch_budget(audit(s, sf))
+    b["input_admission"] = lambda s, sf: FL.admission(view(s, sf, "v_files")).select(
+        "file_seq", "path", "size", "kind", "verdict")
+    b["sent_hint"] = lambda s, sf: FL.sent_hint(view(s, sf, "v_files"))
+    b["import_dedup"] = lambda s, sf: FL.import_dedup(view(s, sf, "v_files"))
+    return b

@@ -313,3 +313,80 @@ SELECT mailbox_id, rule_seq,
   {side(K.CRITERIA, '(no conditions)')} || ' → ' || {side(K.ACTIONS, '(no actions)')} AS description
 FROM v_rules"""
     return q
+
+
+def input_queries() -> dict[str, str]:
+    from .. import constants as K
+
+    audit = f"""
+v_archives AS ({view_sql('v_archives')}),
+counts AS (SELECT batch_id, archive_id, count(*) AS entry_count FROM v_archives GROUP BY batch_id, archive_id),
+e AS (
+  SELECT a.*, NOT ends_with(entry_name, '/') AND (ends_with(lower(entry_name), '.xml')
+         OR ends_with(lower(entry_name), '.mbox')) AND NOT starts_with(entry_name, '__MACOSX/') AS wanted
+  FROM v_archives a JOIN counts c USING (batch_id, archive_id) WHERE c.entry_count <= {K.MAX_ENTRIES}),
+e2 AS (
+  SELECT *, sum(CASE WHEN wanted THEN uncompressed ELSE 0 END) OVER (
+    PARTITION BY batch_id, archive_id ORDER BY entry_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+  FROM e),
+e3 AS (
+  SELECT *, CASE
+    WHEN ends_with(entry_name, '/') AND uncompressed > 0 THEN 'directory_with_data'
+    WHEN wanted AND uncompressed > {K.MAX_ENTRY} THEN 'entry_too_large'
+    WHEN wanted AND running > {K.MAX_EXPANDED} THEN 'archive_too_large'
+    WHEN wanted AND (flags % 2 = 1 OR method NOT IN (0, 8)) THEN 'unsupported_method'
+    WHEN wanted AND method = 0 AND compressed <> uncompressed THEN 'stored_size_mismatch' END AS error
+  FROM e2),
+per AS (
+  SELECT batch_id, archive_id,
+    arg_min(error, entry_seq) FILTER (WHERE error IS NOT NULL) AS first_error,
+    min(entry_seq) FILTER (WHERE error IS NOT NULL) AS error_entry,
+    CAST(sum(CASE WHEN wanted THEN uncompressed ELSE 0 END) AS BIGINT) AS expanded,
+    count(*) FILTER (WHERE wanted) AS accepted_count
+  FROM e3 GROUP BY batch_id, archive_id),
+audit AS (
+  SELECT c.batch_id, c.archive_id, c.entry_count, coalesce(p.expanded, 0) AS expanded,
+    coalesce(p.accepted_count, 0) AS accepted_count,
+    CASE WHEN c.entry_count > {K.MAX_ENTRIES} THEN 'too_many_entries' ELSE p.first_error END AS error,
+    p.error_entry
+  FROM counts c LEFT JOIN per p USING (batch_id, archive_id))"""
+    q: dict[str, str] = {}
+    q["archive_audit"] = "WITH " + audit + "\nSELECT *, error IS NULL AS ok FROM audit"
+    q["archive_atomic"] = "WITH " + audit + """
+SELECT batch_id, archive_id, entry_seq, entry_name, uncompressed FROM e
+WHERE wanted AND (batch_id, archive_id) IN (SELECT batch_id, archive_id FROM audit WHERE error IS NULL)"""
+    q["archive_batch_budget"] = "WITH RECURSIVE " + audit + f""",
+ordered AS (
+  SELECT batch_id, archive_id, expanded, error IS NULL AS ok,
+         row_number() OVER (PARTITION BY batch_id ORDER BY archive_id) AS rn FROM audit),
+rec AS (
+  SELECT batch_id, rn, archive_id, ok AND expanded <= {K.MAX_BATCH_EXPANDED} AS taken,
+         CASE WHEN ok AND expanded <= {K.MAX_BATCH_EXPANDED} THEN expanded ELSE 0 END AS total
+  FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.batch_id, o.rn, o.archive_id, o.ok AND r.total + o.expanded <= {K.MAX_BATCH_EXPANDED},
+         CASE WHEN o.ok AND r.total + o.expanded <= {K.MAX_BATCH_EXPANDED} THEN r.total + o.expanded ELSE r.total END
+  FROM rec r JOIN ordered o ON o.batch_id = r.batch_id AND o.rn = r.rn + 1)
+SELECT batch_id, archive_id, taken FROM rec"""
+    files = f"WITH v_files AS ({view_sql('v_files')}),\n"
+    adm = files + f"""adm AS (
+  SELECT file_seq, path, size,
+    CASE WHEN ends_with(lower(path), '.xml') THEN 'xml' WHEN ends_with(lower(path), '.mbox') THEN 'mbox'
+         WHEN ends_with(lower(path), '.zip') THEN 'zip' ELSE 'other' END AS kind, mtime
+  FROM v_files),
+adm2 AS (
+  SELECT *, CASE WHEN kind = 'xml' AND size > {K.MAX_XML} THEN 'xml_too_large'
+    WHEN kind IN ('xml', 'mbox') THEN 'accepted'
+    WHEN kind = 'zip' AND size > {K.MAX_ARCHIVE} THEN 'archive_too_large'
+    WHEN kind = 'zip' THEN 'archive' ELSE 'unsupported' END AS verdict
+  FROM adm)"""
+    q["input_admission"] = adm + "\nSELECT file_seq, path, size, kind, verdict FROM adm2"
+    q["sent_hint"] = files.rstrip(",\n") + """
+SELECT file_seq, path, regexp_matches(regexp_extract(path, '([^/\\\\]*)$', 1),
+  '(?i)^(sent|sent mail|已发送|已发送邮件|寄件備份|gesendet|envoyés)\\.mbox$') AS sent_hint FROM v_files"""
+    q["import_dedup"] = adm + """,
+sig AS (SELECT *, path || ':' || CAST(size AS VARCHAR) || ':' || CAST(mtime AS VARCHAR) AS signature FROM adm2)
+SELECT file_seq, path, signature, verdict,
+  verdict IN ('accepted', 'archive') AND file_seq > min(file_seq) OVER (PARTITION BY signature) AS duplicate
+FROM sig"""
+    return q

@@ -116,6 +116,35 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CAST(NULL AS STRING) AS p_shouldNeverMarkAsImportant",
         "CAST(NULL AS STRING) AS p_smartLabelToApply",
     ]),
+    # Archive entries: one per line item; archive = order, entry = line number.
+    "v_archives": ("lineitem", [
+        "l_orderkey AS archive_id",
+        "l_orderkey % 16 AS batch_id",
+        "l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS entry_seq",
+        "CASE l_partkey % 7 WHEN 0 THEN 'mail/' || CAST(l_partkey AS STRING) || '.mbox' "
+        "WHEN 1 THEN 'filters/' || CAST(l_partkey AS STRING) || '.xml' "
+        "WHEN 2 THEN '__MACOSX/._' || CAST(l_partkey AS STRING) || '.mbox' "
+        "WHEN 3 THEN 'docs/readme' || CAST(l_partkey AS STRING) || '.txt' "
+        "WHEN 4 THEN 'mail/' "
+        "WHEN 5 THEN 'MAIL/' || CAST(l_partkey AS STRING) || '.MBOX' "
+        "ELSE 'Takeout/Sent.mbox' END AS entry_name",
+        "CASE WHEN l_partkey % 7 = 4 AND l_suppkey % 5 <> 0 THEN 0 "
+        "ELSE (l_partkey % 150) * 1048576 + l_suppkey END AS uncompressed",
+        "CASE WHEN l_suppkey % 13 = 0 THEN 1 ELSE 0 END AS flags",
+        "CASE WHEN l_suppkey % 17 = 0 THEN 99 WHEN l_suppkey % 3 = 0 THEN 0 ELSE 8 END AS method",
+        "CASE WHEN l_partkey % 7 = 4 AND l_suppkey % 5 <> 0 THEN 0 "
+        "ELSE (l_partkey % 150) * 1048576 + l_suppkey END "
+        "+ CASE WHEN l_suppkey % 19 = 0 THEN 7 ELSE 0 END AS compressed",
+    ]),
+    # Selected input files: one per web page.
+    "v_files": ("pages", [
+        "page_id AS file_seq",
+        "'export/' || CAST(page_id - page_id % 2 AS STRING) || "
+        "CASE (page_id - page_id % 2) % 10 WHEN 0 THEN '.mbox' WHEN 2 THEN '.XML' WHEN 4 THEN '.zip' "
+        "WHEN 6 THEN '.txt' ELSE '/Sent.mbox' END AS path",
+        "CAST(page_id - page_id % 2 AS BIGINT) * 300000 AS size",
+        "CAST(page_id % 3 AS BIGINT) AS mtime",
+    ]),
 }
 
 
