@@ -48,6 +48,7 @@ def builders() -> dict[str, Builder]:
     out.update(search_builders())
     out.update(rule_builders())
     out.update(input_builders())
+    out.update(folder_builders())
     return out
 
 
@@ -58,6 +59,7 @@ def oracles() -> dict[str, str]:
     out.update(O.search_queries())
     out.update(O.rule_queries())
     out.update(O.input_queries())
+    out.update(O.folder_queries())
     return out
 
 
@@ -149,3 +151,21 @@ def input_builders() -> dict[str, Builder]:
     b["sent_hint"] = lambda s, sf: FL.sent_hint(view(s, sf, "v_files"))
     b["import_dedup"] = lambda s, sf: FL.import_dedup(view(s, sf, "v_files"))
     return b
+
+
+def folder_builders() -> dict[str, Builder]:
+    from .. import constants as K
+    from ..operators import folders as FD
+
+    reserved = K.TARGETS[0]["reserved"]
+
+    def plan(s: SparkSession, sf: str) -> DataFrame:
+        return FD.plan_folders(MB.label_inventory(_facts(s, sf)), reserved)
+
+    b: dict[str, Builder] = {}
+    b["folder_plan"] = lambda s, sf: plan(s, sf).select(
+        "mailbox_id", "label", "folder", F.array_join("notes", " | ").alias("notes"))
+    b["folder_sanitize"] = lambda s, sf: MB.label_inventory(_facts(s, sf)).select(
+        "mailbox_id", "label", F.array_join(FD.sanitize_path(F.col("label")), "/").alias("sanitized"))
+    b["mapping_errors"] = lambda s, sf: FD.mapping_errors(plan(s, sf), reserved)
+    return b

@@ -390,3 +390,54 @@ SELECT file_seq, path, signature, verdict,
   verdict IN ('accepted', 'archive') AND file_seq > min(file_seq) OVER (PARTITION BY signature) AS duplicate
 FROM sig"""
     return q
+
+
+def folder_queries() -> dict[str, str]:
+    from .. import constants as K
+
+    system = ", ".join("'" + x.replace("'", "''") + "'" for x in K.SYSTEM)
+    reserved = ", ".join("'" + x.lower() + "'" for x in K.TARGETS[0]["reserved"])
+    inv = "WITH " + facts_cte() + """,
+inv AS (SELECT DISTINCT mailbox_id, unnest(labels) AS label FROM efacts),
+seg AS (
+  SELECT mailbox_id, label, trim(nfc_normalize(label)) AS normalized FROM inv),
+segs AS (
+  SELECT *, list_transform(string_split(normalized, '/'), lambda p:
+    CASE WHEN regexp_replace(regexp_replace(trim(p), '[\\x00-\\x1f\\x7f\\\\:*?"<>|]', '_', 'g'), '[ .]+$', '') IN ('', '.', '..')
+         THEN '_' ELSE regexp_replace(regexp_replace(trim(p), '[\\x00-\\x1f\\x7f\\\\:*?"<>|]', '_', 'g'), '[ .]+$', '') END) AS parts
+  FROM seg)"""
+    q: dict[str, str] = {}
+    q["folder_sanitize"] = inv + """
+SELECT mailbox_id, label, array_to_string(list_transform(string_split(label, '/'), lambda p:
+    CASE WHEN regexp_replace(regexp_replace(trim(p), '[\\x00-\\x1f\\x7f\\\\:*?"<>|]', '_', 'g'), '[ .]+$', '') IN ('', '.', '..')
+         THEN '_' ELSE regexp_replace(regexp_replace(trim(p), '[\\x00-\\x1f\\x7f\\\\:*?"<>|]', '_', 'g'), '[ .]+$', '') END), '/') AS sanitized
+FROM inv"""
+    plan = inv + f""",
+kept AS (
+  SELECT *, array_to_string(parts, '/') AS base, lower(normalized) IN ({reserved}) AS reserved FROM segs
+  WHERE NOT (lower(normalized) IN ({system}) OR regexp_replace(lower(normalized), '^\\[gmail\\]/', '') IN ({system})
+             OR regexp_matches(normalized, '(?i)^category:|^categories/|^\\\\(?:inbox|drafts?|junk|trash|flagged|all|important|seen)$'))),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY mailbox_id, lower(base) ORDER BY label)
+            + CASE WHEN lower(base) IN ({reserved}) THEN 1 ELSE 0 END AS n
+  FROM kept WHERE NOT reserved),
+plan AS (
+  SELECT mailbox_id, label, CASE WHEN n = 1 THEN base ELSE base || ' (' || CAST(n AS VARCHAR) || ')' END AS folder,
+    array_to_string(list_filter([
+      CASE WHEN base <> label THEN '{K.N_NORMALIZED}' END,
+      CASE WHEN len(parts) > 1 THEN '{K.N_NESTED}' END,
+      CASE WHEN length(base) > 255 THEN '{K.N_LONG}' END,
+      CASE WHEN n > 1 THEN '{K.N_COLLISION}' END], lambda x: x IS NOT NULL), ' | ') AS notes
+  FROM numbered
+  UNION ALL
+  SELECT mailbox_id, label, NULL, '{K.N_RESERVED}' FROM kept WHERE reserved)"""
+    q["folder_plan"] = plan + "\nSELECT * FROM plan"
+    q["mapping_errors"] = plan + f""",
+keyed AS (SELECT *, lower(trim(nfc_normalize(coalesce(folder, '')))) AS key,
+                 count(*) OVER (PARTITION BY mailbox_id, lower(trim(nfc_normalize(coalesce(folder, ''))))) > 1 AS clash
+          FROM plan)
+SELECT mailbox_id, label, folder, 'invalidFolder' AS error_key FROM keyed
+  WHERE trim(coalesce(folder, '')) = '' OR regexp_matches(coalesce(folder, ''), '[\\x00-\\x1f\\x7f-\\x{{9f}}]')
+UNION ALL SELECT mailbox_id, label, folder, 'reservedFolder' FROM keyed WHERE key IN ({reserved})
+UNION ALL SELECT mailbox_id, label, folder, 'collision' FROM keyed WHERE clash"""
+    return q
