@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as H
 from ..operators import mailbox as MB
-from ..session import spread
+from ..session import checkpoint_dir, spread
 from ..sources.adapters import view
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -106,8 +106,15 @@ def rule_builders() -> dict[str, Builder]:
     def rules_in(s: SparkSession, sf: str) -> DataFrame:
         return view(s, sf, "v_rules").withColumn("unknown", F.array().cast("array<string>"))
 
+    def converted(s: SparkSession, sf: str) -> DataFrame:
+        # The per-rule conversion is the expensive, CPU-bound step and feeds both
+        # sides of the per-mailbox join (and the script's require line): write it
+        # once to the shared checkpoint dir instead of recomputing it per branch.
+        checkpoint_dir(s)
+        return R.convert_rules(spread(rules_in(s, sf))).checkpoint(eager=True)
+
     def final(s: SparkSession, sf: str) -> DataFrame:
-        return R.finalize(R.convert_rules(rules_in(s, sf)))
+        return R.finalize(converted(s, sf))
 
     b: dict[str, Builder] = {}
     b["rule_active_fields"] = lambda s, sf: R.active_fields(rules_in(s, sf)).select(
@@ -131,7 +138,7 @@ def rule_builders() -> dict[str, Builder]:
         F.count_if(F.col("status") == "skipped").alias("skipped"))
     b["required_extensions"] = lambda s, sf: R.required_extensions(final(s, sf))
     b["rule_script"] = lambda s, sf: R.script_blocks(final(s, sf))
-    b["capability_check"] = lambda s, sf: R.capability_rows(R.convert_rules(rules_in(s, sf)))
+    b["capability_check"] = lambda s, sf: R.capability_rows(converted(s, sf))
     return b
 
 
