@@ -23,13 +23,13 @@ _SYSTEM_RE = r"(?i)^category:|^categories/|^\\(?:inbox|drafts?|junk|trash|flagge
 _UNSAFE_SEG = r"[\x00-\x1f\x7f\\:*?\"<>|]"
 
 
-@pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
+def _nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC (Arrow-batched; used on distinct labels only)."""
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
 def nfc_col(c: Column) -> Column:
+    nfc = pandas_udf(_nfc, "string")  # built lazily: needs an active session
     return F.when(c.rlike(r"[^\x00-\x7f]"), nfc(c)).otherwise(c)
 
 
