@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as H
 from ..operators import mailbox as MB
-from ..session import checkpoint_dir, spread
 from ..sources.adapters import view
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    return MB.message_facts(MB.messages_from_view(spread(view(spark, sf, "v_msgs"))))
+    return MB.message_facts(MB.messages_from_view(view(spark, sf, "v_msgs")))
 
 
 def mailbox_builders() -> dict[str, Builder]:
@@ -67,7 +66,7 @@ def search_builders() -> dict[str, Builder]:
     from ..operators import search as S
 
     def parsed(s: SparkSession, sf: str) -> DataFrame:
-        return S.parse_queries(spread(view(s, sf, "v_searches")))
+        return S.parse_queries(view(s, sf, "v_searches"))
 
     b: dict[str, Builder] = {}
     b["query_gates"] = lambda s, sf: parsed(s, sf).select(
@@ -107,11 +106,7 @@ def rule_builders() -> dict[str, Builder]:
         return view(s, sf, "v_rules").withColumn("unknown", F.array().cast("array<string>"))
 
     def converted(s: SparkSession, sf: str) -> DataFrame:
-        # The per-rule conversion is the expensive, CPU-bound step and feeds both
-        # sides of the per-mailbox join (and the script's require line): write it
-        # once to the shared checkpoint dir instead of recomputing it per branch.
-        checkpoint_dir(s)
-        return R.convert_rules(spread(rules_in(s, sf))).checkpoint(eager=True)
+        return R.convert_rules(rules_in(s, sf))
 
     def final(s: SparkSession, sf: str) -> DataFrame:
         return R.finalize(converted(s, sf))
