@@ -7,15 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
-from .common import read_table
+from . import mixing, oracle_sql, packing, token_counts, token_files
+from .common import read_table, shared_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return token_counts.with_counts(docs).drop("text")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (mixing.mixture(read_table(spark, sf_dir, "documents"))
+            .select(F.col("doc_id").cast("bigint").alias("doc_id"), "size", "source_size", "target", "taken"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
+    "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracle_sql.ORACLES
