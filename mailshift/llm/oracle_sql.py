@@ -41,6 +41,51 @@ JOIN wanted w ON w.source IS NOT DISTINCT FROM d.source
 JOIN under u ON u.source IS NOT DISTINCT FROM d.source
 """
 
+QUALITY = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, k AS start, array_to_string(words[k:k + 7], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS k FROM docs WHERE len(words) >= 8)),
+twice AS (
+  SELECT doc_id, start FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT word)::BIGINT AS n
+  FROM (SELECT doc_id, unnest(range(start, start + 8)) AS word FROM twice) GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id, d.lang, d.source, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM docs d LEFT JOIN covered c USING (doc_id)),
+measured AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols,
+         n_dup_lines / greatest(n_lines, 1) AS repeated, word_chars / greatest(n_words, 1) AS length
+  FROM base),
+levels AS (
+  SELECT grouping(lang, source) AS level, lang, source, count(*) AS n,
+         list_sort(list(symbols)) AS s, list_sort(list(repeated)) AS r, list_sort(list(length)) AS l
+  FROM measured WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+fences AS (
+  SELECT level, lang, source, n,
+         s[ceil(0.5 * n)::INT] + 3.0 * greatest(s[ceil(0.5 * n)::INT] - s[ceil(0.1 * n)::INT], 0.05) AS symbol_most,
+         r[ceil(0.5 * n)::INT] + 3.0 * greatest(r[ceil(0.5 * n)::INT] - r[ceil(0.1 * n)::INT], 0.15) AS line_most,
+         l[ceil(0.5 * n)::INT] - 3.0 * greatest(l[ceil(0.9 * n)::INT] - l[ceil(0.5 * n)::INT], 0.5) AS length_least,
+         l[ceil(0.5 * n)::INT] + 3.0 * greatest(l[ceil(0.5 * n)::INT] - l[ceil(0.1 * n)::INT], 0.5) AS length_most
+  FROM levels),
+chosen AS (
+  SELECT o.lang, o.source, CASE WHEN o.n >= 30 THEN o WHEN g.n >= 30 THEN g ELSE a END AS f
+  FROM (FROM fences WHERE level = 0) o JOIN (FROM fences WHERE level = 1) g ON g.lang = o.lang, (FROM fences WHERE level = 3) a)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(symbols <= f.symbol_most AND repeated <= f.line_most AND length BETWEEN f.length_least AND f.length_most, false) AS kept
+FROM measured m LEFT JOIN chosen c ON c.lang = m.lang AND c.source = m.source
+"""
+
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXING,
+    "op7_quality": QUALITY,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracle_sql, packing, token_counts, token_files, toxicity
+from . import mixing, oracle_sql, packing, quality, token_counts, token_files, toxicity
 from .common import read_table, shared_path
 
 
@@ -31,6 +31,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("doc_id").cast("bigint").alias("doc_id"), "size", "source_size", "target", "taken"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (quality.quality(read_table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+            .select("doc_id", *quality.BASE, "base_failed", "kept"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op7_quality": op7_quality,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = oracle_sql.ORACLES
