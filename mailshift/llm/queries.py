@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracle_sql, packing, quality, token_counts, token_files, toxicity
+from . import mixing, near_dups, oracle_sql, packing, quality, token_counts, token_files, toxicity
 from .common import read_table, shared_path
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("doc_id").cast("bigint").alias("doc_id"), "size", "source_size", "target", "taken"))
 
 
+def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.quality(read_table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
             .select("doc_id", *quality.BASE, "base_failed", "kept"))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_near_dups": op5_near_dups,
     "op7_quality": op7_quality,
     "op10_token_files": op10_token_files,
 }
