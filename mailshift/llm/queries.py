@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, oracle_sql, packing, quality, token_counts, token_files, toxicity
+from . import mixing, near_dups, neighbours, oracle_sql, packing, quality, token_counts, token_files, toxicity
 from .common import read_table, shared_path
 
 
@@ -35,6 +35,10 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.quality(read_table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
             .select("doc_id", *quality.BASE, "base_failed", "kept"))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_near_dups": op5_near_dups,
+    "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
     "op10_token_files": op10_token_files,
 }
