@@ -3,11 +3,12 @@
 Method: the pages of a host are merged into one style tree.  A node of it is a block
 element, named by the way to it (tags, classes and ids without digits).  Its
 presentations are the sequences of its child elements, its contents the texts
-right in it; both are counted over the host's different pages, and their
-entropies, 0 if all pages agree and 1 if all differ, say how much the node matters.
-The importance of a branch is that of its presentation and of all contents below it,
-weighed by GAMMA to the number of children: a part that says the same on every
-page is of none.  Branches under ``LOW`` are removed from every page, and with them what
+right in it; both are counted over the host's different pages.  Their entropies say
+how much the node matters: for presentations as a share of the entropy of pages
+that all differ, for contents as the number of different ones that the entropy
+amounts to, for each page.  The importance of a branch is that of its
+presentation and of all contents below it, weighed by GAMMA to the number of
+children: a part that says the same few things on every page is of little.  Branches under ``LOW`` are removed from every page, and with them what
 the page itself marks as no part of the article (menus, headers, footers, asides,
 forms, adverts, notices, reader comments: by element, role, or class and id).  If a
 page has an ``article`` or ``main`` element, only what is in it counts.  A host of under
@@ -257,12 +258,14 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 nodes, blocks = parse(text)
-                fingerprint = path_hash("\n".join(t for _, t in blocks))
                 merged: dict[str, tuple[Node, list[str], list[str]]] = {}
                 for node in nodes[1:]:
                     told = merged.setdefault(node.path, (node, [], []))
                     told[1].extend(c for k, c in enumerate(node.children) if not k or node.children[k - 1] != c)
                     told[2].extend(node.texts)
+                # Copies of a page, with other adverts perhaps, are one page of the tree: it is known by its longest part.
+                longest = max((texts for _, _, texts in merged.values()), key=lambda x: sum(map(len, x)), default=[])
+                fingerprint = path_hash("\n".join(longest))
                 for path, (node, children, texts) in merged.items():
                     way, up = [], node
                     while up is not None and up.path:
@@ -279,7 +282,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """For each host, low: the hashes of the branches of its style tree that are of low importance."""
-    nodes = style_nodes(pages).dropDuplicates(["host", "path", "page"])
+    nodes = style_nodes(pages).groupBy("host", "path", "page").agg(*[F.max(c).alias(c) for c in ("way", "children", "presentation", "content")])
     # Each presentation and each content of a node, with the number of different pages that have it.
     kinds = F.inline(F.array(F.struct(F.lit("p").alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("value"))))
     values = (nodes.select("host", "path", "way", "children", kinds).where(F.col("value").isNotNull())
@@ -287,11 +290,15 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
     def entropy(kind: str) -> Column:
         n = F.when(F.col("kind") == kind, F.col("n"))
-        m = F.sum(n)
-        return F.when(m > 1, 1 - F.sum(n * F.log(n)) / m / F.log(m)).when(m == 1, 1.0)
+        return F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)
 
-    node = keep(values.groupBy("host", "path").agg(F.sum(F.when(F.col("kind") == "p", F.col("n"))).alias("pages"), entropy("p").alias("presentation"),
-                                                   entropy("c").alias("content"), F.max("children").alias("children"), F.max("way").alias("way")))
+    pages_of = F.sum(F.when(F.col("kind") == "p", F.col("n")))
+    # For presentations, the entropy against that of pages which all differ; for contents, how many it amounts to, for each page.
+    presentation = F.when(pages_of > 1, entropy("p") / F.log(pages_of)).otherwise(1.0)
+    content = F.exp(entropy("c")) / F.sum(F.when(F.col("kind") == "c", F.col("n")))
+
+    node = keep(values.groupBy("host", "path").agg(pages_of.alias("pages"), presentation.alias("presentation"), content.alias("content"),
+                                                   F.max("children").alias("children"), F.max("way").alias("way")))
     # Contents count for all the branches that they are in.
     inside = (node.where(F.col("content").isNotNull()).select("host", F.explode("way").alias("path"), "pages", "content")
               .groupBy("host", "path").agg((F.sum(F.col("pages") * F.col("content")) / F.sum("pages")).alias("below")))
