@@ -60,7 +60,8 @@ def source_targets(sizes: DataFrame, *, share: float = 1.5, limit: float = 2.0,
     level = ((F.lit(share) * F.sum("source_size").over(everywhere) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
              / (F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
     sources = sources.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("weight") * F.col("level"))
-    common = F.min(F.when(~F.col("full"), F.col("level"))).over(everywhere)
+    # The first source that stays under its limit has the common level; further on, the running sums only fall.
+    common = F.max(F.when(~F.col("full"), F.col("level"))).over(everywhere)
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * common)
     return sources.select("no_source", "source_key", "source_size", target.alias("target"))
 

@@ -19,7 +19,7 @@ levels AS (
   WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_size,
-         CASE WHEN cap <= weight * level THEN cap ELSE weight * min(CASE WHEN cap > weight * level THEN level END) OVER () END AS target
+         CASE WHEN cap <= weight * level THEN cap ELSE weight * max(CASE WHEN cap > weight * level THEN level END) OVER () END AS target
   FROM levels),
 wanted AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
