@@ -36,6 +36,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 FENCE, LEAST, SALTS = 3.0, 30, 16
 #: The least spread of symbols per word, repeated lines per line and characters per word.
 SPREADS = {"symbol_share": 0.05, "line_share": 0.15, "word_length": 0.5}
+FENCES = ("symbol_most", "line_most", "length_least", "length_most")
 ACCURACY = 10_000
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -100,14 +101,16 @@ def thresholds(rows: DataFrame) -> DataFrame:
     def fence(c: str, upper: bool) -> Column:
         return F.get(c, F.lit(1)) + (spread(c, True) if upper else -spread(c, False))
 
-    fences = F.struct(fence("symbol_share", True).alias("symbol_most"), fence("line_share", True).alias("line_most"),
-                      fence("word_length", False).alias("length_least"), fence("word_length", True).alias("length_most"))
+    sides = [("symbol_share", True), ("line_share", True), ("word_length", False), ("word_length", True)]
+    fences = F.struct(*[fence(c, upper).alias(name) for name, (c, upper) in zip(FENCES, sides)])
     levels = keep(levels.select("group_lang", "group_source", "level", "rows", fences.alias("fences")))
-    own, langs, whole = (levels.where(F.col("level") == k) for k in (0, 1, 3))
-    langs = langs.select("group_lang", F.col("rows").alias("lang_rows"), F.col("fences").alias("lang_fences"), F.lit(1).alias("one"))
-    whole = whole.select(F.lit(1).alias("one"), F.col("fences").alias("all_fences"))
-    chosen = (F.when(F.col("rows") >= LEAST, F.col("fences")).when(F.col("lang_rows") >= LEAST, F.col("lang_fences")).otherwise(F.col("all_fences")))
-    return own.join(langs, "group_lang").join(whole, "one").select("group_lang", "group_source", chosen.alias("f")).select("group_lang", "group_source", "f.*")
+    own, langs = (levels.where(F.col("level") == k) for k in (0, 1))
+    langs = langs.select("group_lang", F.col("rows").alias("lang_rows"), F.col("fences").alias("lang_fences"))
+    # The fences of all rows are one row of four numbers.
+    whole = levels.where(F.col("level") == 3).select("fences.*").first()
+    of_all = F.struct(*[F.lit(v).cast("double").alias(c) for c, v in zip(FENCES, whole or [None] * len(FENCES))])
+    chosen = F.when(F.col("rows") >= LEAST, F.col("fences")).when(F.col("lang_rows") >= LEAST, F.col("lang_fences")).otherwise(of_all)
+    return own.join(langs, "group_lang").select("group_lang", "group_source", chosen.alias("f")).select("group_lang", "group_source", "f.*")
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
