@@ -138,7 +138,8 @@ _ADDR = (r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)
          r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+\z")
 # Java "." also stops at U+0085 (NEL), the only difference from the JavaScript dot here.
 _ANGLE = r"^(.*?)<([^<>]+)>\z"
-_QUOTED_DISPLAY = r'^"(?:[^"\\\r\n]|\\[^\r\n])*"\z'
+# Possessive: a plain star over a group recurses once for each character of a long name.
+_QUOTED_DISPLAY = r'^"(?:[^"\\\r\n]++|\\[^\r\n])*+"\z'
 
 
 @memo_column

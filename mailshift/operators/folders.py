@@ -1,36 +1,44 @@
 """Folder planning (F8, F9, P2, P3, W2, W3) over a label inventory.
 
-Input: distinct ``(mailbox_id, label)`` rows (the label inventory, A2) and the
-target's reserved names.  NFC normalisation has no built-in, so one Arrow
-(pandas) UDF runs on the *distinct* label table only, never per message.
-Suffix numbering is a window over (mailbox, lower(base)) - groups of labels
-that map to one folder name, so partitions stay small.
+Input: distinct ``(mailbox_id, label)`` rows (the label inventory, A2) and, for
+each, the reserved names of its mailbox's target.  NFC normalisation has no
+built-in, so one Arrow (pandas) UDF runs on the *distinct* label table; it is
+marked so that no filter moves it below the distinct.
+
+Numbering is greedy in label order.  Labels of different names can only get in
+each other's way if some name already ends in a number like the ones that are
+given out, so as a rule the labels of one folder name are numbered among
+themselves; only in a mailbox with such a name are all labels folded together.
+One pass and one shuffle either way.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .. import constants as K
-from ..functions.text import js_trim, lit_array
+from ..functions.text import js_trim, lit_array, utf16_length
 
 _SYSTEM_RE = r"(?i)^category:|^categories/|^\\(?:inbox|drafts?|junk|trash|flagged|all|important|seen)\z"
 _UNSAFE_SEG = r"[\x00-\x1f\x7f\\:*?\"<>|]"
 
 
-def _nfc(s: pd.Series) -> pd.Series:
-    """Unicode NFC (Arrow-batched; used on distinct labels only)."""
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+def nfc_col(c: Column) -> Column:
+    """Unicode NFC.  Defined here, so that it is shipped by value to workers."""
+    def nfc(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
+    return pandas_udf(nfc, "string").asNondeterministic()(c)
 
-def nfc_col(c: Column) -> Column:
-    nfc = pandas_udf(_nfc, "string")  # built lazily: needs an active session
-    return F.when(c.rlike(r"[^\x00-\x7f]"), nfc(c)).otherwise(c)
+
+def name_key(c: Column) -> Column:
+    """the key under which folder names are the same: NFC, trimmed, lower-cased."""
+    return F.lower(js_trim(nfc_col(c)))
 
 
 def sanitize_path(normalized: Column) -> Column:
@@ -42,48 +50,77 @@ def sanitize_path(normalized: Column) -> Column:
     return F.transform(F.split(normalized, "/"), seg)
 
 
-def plan_folders(labels: DataFrame, reserved: list[str]) -> DataFrame:
-    """One row per label: folder (NULL when reserved), notes; system labels dropped."""
-    reserved_keys = [r.strip().lower() for r in reserved]
-    df = labels.select("mailbox_id", "label").distinct().withColumn("normalized", js_trim(nfc_col(F.col("label"))))
+def reserved_of(target: Column) -> Column:
+    """The reserved keys of a target (six fixed rows)."""
+    lists = [x for t in K.TARGETS for x in (F.lit(t["id"]), lit_array([r.strip().lower() for r in t["reserved"]]).cast("array<string>"))]
+    return F.coalesce(F.try_element_at(F.create_map(*lists), target), F.array().cast("array<string>"))
+
+
+def plan_folders(labels: DataFrame) -> DataFrame:
+    """One row per label: folder (NULL when reserved), notes; system labels dropped.
+
+    labels: mailbox_id, label and reserved (the reserved keys of the mailbox's target).
+    """
+    df = (labels.groupBy("mailbox_id", "label").agg(F.first("reserved").alias("reserved"))
+          .withColumn("normalized", js_trim(nfc_col(F.col("label")))))
     lower = F.lower("normalized")
     system = (F.array_contains(lit_array(K.SYSTEM), lower)
               | F.array_contains(lit_array(K.SYSTEM), F.regexp_replace(lower, r"^\[gmail\]/", ""))
               | F.col("normalized").rlike(_SYSTEM_RE))
-    df = df.where(~system)
-    is_reserved = F.array_contains(lit_array(reserved_keys), lower)
-    parts = sanitize_path(F.col("normalized"))
-    df = df.select("mailbox_id", "label", is_reserved.alias("reserved"), parts.alias("parts"))
-    base = F.array_join("parts", "/")
-    df = df.withColumn("base", base)
-    w = Window.partitionBy("mailbox_id", F.lower("base")).orderBy("label")
-    taken = F.row_number().over(w) + F.when(
-        F.array_contains(lit_array(reserved_keys), F.lower("base")), 1).otherwise(0)
-    planned = df.where(~F.col("reserved")).withColumn("n", taken)
-    folder = F.when(F.col("n") == 1, F.col("base")).otherwise(
-        F.concat(F.col("base"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
+    df = df.where(~system).select("mailbox_id", "label", "reserved", F.array_contains("reserved", lower).alias("held"),
+                                  sanitize_path(F.col("normalized")).alias("parts"))
+    df = df.withColumn("base", F.array_join("parts", "/"))
+    numbered_name = F.max(F.lower("base").rlike(r" \(\d+\)\z")).over(Window.partitionBy("mailbox_id"))
+    df = df.withColumn("group_key", F.when(~numbered_name, F.lower("base")))
+    groups = df.groupBy("mailbox_id", "group_key").agg(
+        F.first("reserved").alias("reserved"), F.array_sort(F.collect_list(F.struct("label", "held", "base", "parts"))).alias("items"))
+
+    def named(x: Column, n: Column) -> Column:
+        return F.when(n == 1, x["base"]).otherwise(F.concat(x["base"], F.lit(" ("), n.cast("string"), F.lit(")")))
+
+    def step(acc: Column, x: Column) -> Column:
+        taken = F.concat(acc["used"], F.col("reserved"))
+        free = F.get(F.filter(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: ~F.array_contains(taken, F.lower(named(x, n)))), F.lit(0))
+        n = F.when(~x["held"], free)
+        used = F.when(x["held"], acc["used"]).otherwise(F.concat(acc["used"], F.array(F.lower(named(x, n)))))
+        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(x.alias("x"), n.alias("n")))).alias("out"))
+
+    item = "struct<label:string,held:boolean,base:string,parts:array<string>>"
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<struct<x:{item},n:int>>").alias("out"))
+    rows = groups.select("mailbox_id", F.explode(F.aggregate("items", start, step)["out"]).alias("r")).select("mailbox_id", "r.x.*", "r.n")
     notes = F.filter(F.array(
         F.when(F.col("base") != F.col("label"), F.lit(K.N_NORMALIZED)),
         F.when(F.size("parts") > 1, F.lit(K.N_NESTED)),
-        F.when(F.length("base") > 255, F.lit(K.N_LONG)),
+        F.when(utf16_length(F.col("base")) > 255, F.lit(K.N_LONG)),
         F.when(F.col("n") > 1, F.lit(K.N_COLLISION)),
     ), lambda x: x.isNotNull())
-    mapped = planned.select("mailbox_id", "label", folder.alias("folder"), notes.alias("notes"))
-    held = df.where("reserved").select("mailbox_id", "label", F.lit(None).cast("string").alias("folder"),
-                                       F.array(F.lit(K.N_RESERVED)).alias("notes"))
-    return mapped.unionByName(held)
-
-
-def mapping_errors(rows: DataFrame, reserved: list[str]) -> DataFrame:
-    """Invalid, reserved or colliding folder choices; both members of a clash are flagged."""
-    key = F.lower(js_trim(nfc_col(F.coalesce("folder", F.lit("")))))
-    reserved_keys = [r.strip().lower() for r in reserved]
-    w = Window.partitionBy("mailbox_id", "key")
-    df = rows.withColumn("key", key).withColumn("clash", F.count(F.lit(1)).over(w) > 1)
+    folder = F.when(F.col("n") == 1, F.col("base")).when(F.col("n") > 1, F.concat("base", F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
+    return rows.select("mailbox_id", "label", folder.alias("folder"), F.when(F.col("held"), F.array(F.lit(K.N_RESERVED))).otherwise(notes).alias("notes"))
+
+
+def mapping_rows(plan: DataFrame, rule_labels: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The plan, a row with an empty folder for each rule label that it lacks, and what the user chose instead.
+
+    plan: mailbox_id, label, folder, notes; rule_labels: mailbox_id, label; overrides: mailbox_id, label, folder.
+    """
+    missing = (rule_labels.select("mailbox_id", "label").where(F.col("label") != "").distinct()
+               .join(plan.select("mailbox_id", "label"), ["mailbox_id", "label"], "left_anti")
+               .select("mailbox_id", "label", F.lit("").alias("folder"), F.array(F.lit(K.N_RULE_MAPPING)).alias("notes")))
+    chosen = overrides.select("mailbox_id", "label", F.col("folder").alias("chosen"))
+    return (plan.unionByName(missing).join(chosen, ["mailbox_id", "label"], "left")
+            .select("mailbox_id", "label", F.coalesce("chosen", "folder", F.lit("")).alias("folder"), "notes"))
+
+
+def mapping_errors(rows: DataFrame) -> DataFrame:
+    """Invalid, reserved or colliding folder choices; both members of a clash are flagged.
+
+    rows: mailbox_id, label, folder and reserved (the reserved keys of the mailbox's target).
+    """
+    df = rows.withColumn("folder", F.coalesce("folder", F.lit(""))).withColumn("key", name_key(F.col("folder")))
+    df = df.withColumn("clash", F.count(F.lit(1)).over(Window.partitionBy("mailbox_id", "key")) > 1)
     err = F.filter(F.array(
-        F.when((js_trim(F.coalesce("folder", F.lit(""))) == "")
-               | F.coalesce("folder", F.lit("")).rlike(r"[\x00-\x1f\x7f-\x9f]"), F.lit("invalidFolder")),
-        F.when(F.array_contains(lit_array(reserved_keys), F.col("key")), F.lit("reservedFolder")),
+        F.when((js_trim(F.col("folder")) == "") | F.col("folder").rlike(r"[\x00-\x1f\x7f-\x9f]"), F.lit("invalidFolder")),
+        F.when(F.array_contains("reserved", F.col("key")), F.lit("reservedFolder")),
         F.when(F.col("clash"), F.lit("collision")),
     ), lambda x: x.isNotNull())
     return df.select("mailbox_id", "label", "folder", F.explode(err).alias("error_key"))

@@ -21,6 +21,7 @@ from .. import constants as K
 from ..functions.text import js_trim, sieve_quote, unsafe
 from . import search as S
 from . import targets as T
+from .folders import name_key
 
 PROPS = K.CRITERIA + K.ACTIONS
 _SUBJECT_OK = r"^[\p{L}\p{N}][\p{L}\p{N} .,_'!?@&%-]*\z"
@@ -46,8 +47,8 @@ def is_mailbox(c: Column) -> Column:
 
 
 def folder_key(c: Column) -> Column:
-    """trimmed, lower-cased folder name (NFC is applied by the folder planner)."""
-    return F.lower(js_trim(c))
+    """NFC, trimmed, lower-cased folder name."""
+    return name_key(c)
 
 
 def active_fields(rules: DataFrame) -> DataFrame:
@@ -122,19 +123,24 @@ def convert_rules(rules: DataFrame, folder_map: DataFrame | None = None) -> Data
     df = T.with_target(active_fields(rules))
     # Destinations (R4): an explicit map entry wins, else the label itself.
     if folder_map is not None:
-        fm = folder_map.select("mailbox_id", F.col("label").alias("a_label"), F.col("folder").alias("mapped"))
+        fm = folder_map.select("mailbox_id", F.col("label").alias("a_label"), F.col("folder").alias("mapped"), F.lit(True).alias("has_map"))
         df = df.join(fm, ["mailbox_id", "a_label"], "left")
         fm_sys = folder_map.where(F.col("label").isin("Archive", "Trash")).groupBy("mailbox_id").agg(
             F.max(F.when(F.col("label") == "Archive", F.col("folder"))).alias("fm_archive"),
-            F.max(F.when(F.col("label") == "Trash", F.col("folder"))).alias("fm_trash"))
+            F.max(F.when(F.col("label") == "Trash", F.col("folder"))).alias("fm_trash"),
+            F.max(F.col("label") == "Archive").alias("has_archive"), F.max(F.col("label") == "Trash").alias("has_trash"))
         df = df.join(fm_sys, "mailbox_id", "left")
     else:
-        df = (df.withColumn("mapped", F.lit(None).cast("string"))
-              .withColumn("fm_archive", F.lit(None).cast("string"))
-              .withColumn("fm_trash", F.lit(None).cast("string")))
-    df = df.withColumn("archive", F.coalesce("archive_folder", "fm_archive", "t_archiveFolder")) \
-           .withColumn("trash", F.coalesce("trash_folder", "fm_trash", "t_trashFolder")) \
-           .withColumn("label_dest", F.coalesce("mapped", "a_label"))
+        df = df.withColumns({c: F.lit(None).cast("string") for c in ("mapped", "fm_archive", "fm_trash")})
+        df = df.withColumns({c: F.lit(None).cast("boolean") for c in ("has_map", "has_archive", "has_trash")})
+    # A map row counts even where its folder is NULL (a reserved name): that destination is invalid.
+    df = df.withColumn("archive", F.when(F.col("archive_folder").isNotNull(), F.col("archive_folder"))
+                       .when(F.col("has_archive"), F.col("fm_archive")).otherwise(F.col("t_archiveFolder"))) \
+           .withColumn("trash", F.when(F.col("trash_folder").isNotNull(), F.col("trash_folder"))
+                       .when(F.col("has_trash"), F.col("fm_trash")).otherwise(F.col("t_trashFolder"))) \
+           .withColumn("label_dest", F.when(F.col("has_map"), F.col("mapped")).otherwise(F.col("a_label")))
+    # Keys are computed once, here: NFC is the one Python step of the conversion.
+    df = df.withColumn("archive_key", folder_key(F.col("archive"))).withColumn("trash_key", folder_key(F.col("trash")))
     # Inline saved-search parsing of both query fields (no join).
     df = S.parse_queries(df.withColumn("_hw", F.col("a_hasTheWord")), "_hw", "hw_")
     df = S.parse_queries(df.withColumn("_dw", F.col("a_doesNotHaveTheWord")), "_dw", "dw_")
@@ -209,7 +215,7 @@ def convert_rules(rules: DataFrame, folder_map: DataFrame | None = None) -> Data
     f_name, f_value = F.col("f_name"), F.col("f_value")
     f_system = trash | (~label & archive)
     f_invalid = f_value.isNull() | (js_trim(f_value) == "") | unsafe(f_value)
-    collide = _collision(f_name, f_value, f_system)
+    collide = _collision(f_system)
     fileinto = F.when(uses_folder & ~f_invalid & ~collide, F.concat(F.lit("fileinto "), sieve_quote(f_value), F.lit(";")))
     redirect = F.when(fwd & is_mailbox(a("forwardTo")),
                       F.concat(F.lit("redirect "), sieve_quote(a("forwardTo")), F.lit(";")))
@@ -260,19 +266,19 @@ def convert_rules(rules: DataFrame, folder_map: DataFrame | None = None) -> Data
     )
 
 
-def _collision(name: Column, value: Column, system: Column) -> Column:
+def _collision(system: Column) -> Column:
     """Inbox, archive = trash (system), user folder = archive/trash, or a shared key."""
-    key = folder_key(value)
-    return ((key == "inbox")
-            | (system & (folder_key(F.col("archive")) == folder_key(F.col("trash"))))
-            | (~system & ((key == folder_key(F.col("archive"))) | (key == folder_key(F.col("trash")))))
-            | F.coalesce(F.col("_other_dest"), F.lit(False)))
+    key = F.col("f_key")
+    return F.coalesce((key == "inbox")
+            | (system & (F.col("archive_key") == F.col("trash_key")))
+            | (~system & ((key == F.col("archive_key")) | (key == F.col("trash_key"))))
+            | F.coalesce(F.col("_other_dest"), F.lit(False)), F.lit(False))
 
 
 def finalize(converted: DataFrame) -> DataFrame:
     """Limit, cross-rule downgrade (per-mailbox aggregate joined back), enable flag, text."""
     per_mb = converted.groupBy("mailbox_id").agg(
-        F.count_if(F.col("status") != "skipped").alias("n_valid"),
+        F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("status") != "skipped").alias("n_valid"),
         F.max((F.col("status") != "skipped") & F.col("delivery")).alias("any_delivery"))
     df = converted.join(per_mb, "mailbox_id", "left")
     limited = (F.col("status") != "skipped") & (F.size("limit_issues") > 0)
@@ -300,7 +306,7 @@ def finalize(converted: DataFrame) -> DataFrame:
         "mailbox_id", "rule_seq", "rule_id", "target", F.col("final_status").alias("status"),
         "description", issues3.alias("issues"), "required_extensions",
         ((F.col("final_status") != "skipped") & ~disabled).alias("enabled"),
-        "needed", generated.alias("generated"),
+        "needed", generated.alias("generated"), (F.col("rule_seq") == F.col("n_rules")).alias("last"),
     )
 
 
@@ -330,8 +336,8 @@ def script_blocks(final: DataFrame) -> DataFrame:
     """The rule script per mailbox as ordered blocks (never one collected string).
 
     Block 0 is the header plus the ``require`` line; block n is rule n's text.
-    Concatenating blocks in ``block`` order with blank lines gives the script,
-    which a writer can stream per mailbox.
+    Every block ends with its own separator, so the blocks of a mailbox in
+    ``block`` order are the script as it is; a writer can stream them.
     """
     reqs = required_extensions(final)
     mailboxes = final.select("mailbox_id").distinct().join(reqs, "mailbox_id", "left")
@@ -341,9 +347,9 @@ def script_blocks(final: DataFrame) -> DataFrame:
                  F.when(F.coalesce(F.col("required_extensions"), F.lit("")) != "", F.concat(
                      F.lit("require ["),
                      F.array_join(F.transform(F.split("required_extensions", ","), sieve_quote), ", "),
-                     F.lit("];\n"))).otherwise(F.lit(""))).alias("text"))
+                     F.lit("];\n\n"))).otherwise(F.lit(""))).alias("text"))
     blocks = final.select("mailbox_id", F.col("rule_seq").cast("long").alias("block"),
-                          F.col("generated").alias("text"))
+                          F.concat("generated", F.when(F.col("last"), F.lit("\n")).otherwise(F.lit("\n\n"))).alias("text"))
     return head.unionByName(blocks)
 
 

@@ -21,7 +21,7 @@ _TERMINATED = rf'\A(?:[^"]|{_SPAN})*+\z'
 _SPANS = r'"(?:\\[\s\S]?|[^"\\])*+"?|[^"]++'
 _TOKEN = rf'(?:[^"{WS}]|"(?:\\[\s\S]|[^"\\])*+(?:"|\z))++'
 _KEY = r"^([a-zA-Z_]+):"
-_QUOTED_VALUE = r'^"(?:[^"\\]|\\["\\])*"\z'
+_QUOTED_VALUE = r'^"(?:[^"\\]++|\\["\\])*+"\z'
 _NESTED = rf"(?:^|[{WS}])(?:AND|OR|NOT)(?:[{WS}]|\z)"
 _SIZE = r"(?i)^(\d+)([KMG]?)\z"
 MAILBOX = (r"(?i)^[a-z0-9!#$%&'+/=?^_`~-]+(?:\.[a-z0-9!#$%&'+/=?^_`~-]+)*"

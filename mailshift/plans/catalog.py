@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import headers as H
 from ..operators import mailbox as MB
 from ..sources.adapters import view
@@ -142,32 +143,53 @@ def input_builders() -> dict[str, Builder]:
     from ..sources import files as FL
 
     def audit(s: SparkSession, sf: str) -> DataFrame:
-        return A.entry_audit(view(s, sf, "v_archives"))
+        return A.entry_audit(view(s, sf, "v_archives"), A.REFERENCE)
 
     b: dict[str, Builder] = {}
     b["archive_audit"] = audit
-    b["archive_atomic"] = lambda s, sf: A.atomic_files(view(s, sf, "v_archives"), audit(s, sf))
-    b["archive_batch_budget"] = lambda s, sf: A.batch_budget(audit(s, sf))
-    b["input_admission"] = lambda s, sf: FL.admission(view(s, sf, "v_files")).select(
+    b["archive_atomic"] = lambda s, sf: A.atomic_files(view(s, sf, "v_archives"), A.REFERENCE)
+    b["archive_batch_budget"] = lambda s, sf: A.batch_budget(audit(s, sf), K.MAX_BATCH_EXPANDED)
+    b["input_admission"] = lambda s, sf: FL.admission(view(s, sf, "v_files"), K.MAX_XML, K.MAX_ARCHIVE).select(
         "file_seq", "path", "size", "kind", "verdict")
     b["sent_hint"] = lambda s, sf: FL.sent_hint(view(s, sf, "v_files"))
-    b["import_dedup"] = lambda s, sf: FL.import_dedup(view(s, sf, "v_files"))
+    b["import_dedup"] = lambda s, sf: FL.import_dedup(view(s, sf, "v_files"), K.MAX_XML)
     return b
 
 
 def folder_builders() -> dict[str, Builder]:
-    from .. import constants as K
     from ..operators import folders as FD
+    from ..operators import rules as R
+
+    # The target of a mailbox; v_rules has the same.
+    target = F.element_at(F.array(*[F.lit(t["id"]) for t in K.TARGETS]), (F.col("mailbox_id") % len(K.TARGETS) + 1).cast("int"))
 
-    reserved = K.TARGETS[0]["reserved"]
+    def labels(s: SparkSession, sf: str) -> DataFrame:
+        return MB.label_inventory(_facts(s, sf)).select("mailbox_id", "label")
 
     def plan(s: SparkSession, sf: str) -> DataFrame:
-        return FD.plan_folders(MB.label_inventory(_facts(s, sf)), reserved)
+        return FD.plan_folders(labels(s, sf).withColumn("reserved", FD.reserved_of(target)))
+
+    def rule_labels(s: SparkSession, sf: str) -> DataFrame:
+        return view(s, sf, "v_rules").select("mailbox_id", F.col("p_label").alias("label"))
+
+    def mapping(s: SparkSession, sf: str) -> DataFrame:
+        chosen = view(s, sf, "v_overrides").where(F.col("pick").isin(3, 5, 7, 9, 11))
+        return FD.mapping_rows(plan(s, sf), rule_labels(s, sf), chosen)
+
+    def mapped_rules(s: SparkSession, sf: str) -> DataFrame:
+        rules = view(s, sf, "v_rules").withColumn("unknown", F.array().cast("array<string>"))
+        return R.convert_rules(rules, mapping(s, sf).select("mailbox_id", "label", "folder"))
 
     b: dict[str, Builder] = {}
     b["folder_plan"] = lambda s, sf: plan(s, sf).select(
         "mailbox_id", "label", "folder", F.array_join("notes", " | ").alias("notes"))
-    b["folder_sanitize"] = lambda s, sf: MB.label_inventory(_facts(s, sf)).select(
+    b["folder_sanitize"] = lambda s, sf: labels(s, sf).select(
         "mailbox_id", "label", F.array_join(FD.sanitize_path(F.col("label")), "/").alias("sanitized"))
-    b["mapping_errors"] = lambda s, sf: FD.mapping_errors(plan(s, sf), reserved)
+    b["all_labels"] = lambda s, sf: (labels(s, sf).union(rule_labels(s, sf).where(F.col("label") != "")).distinct())
+    b["folder_mapping"] = lambda s, sf: mapping(s, sf).select(
+        "mailbox_id", "label", "folder", F.array_join("notes", " | ").alias("notes"))
+    b["mapping_errors"] = lambda s, sf: FD.mapping_errors(mapping(s, sf).withColumn("reserved", FD.reserved_of(target)))
+    b["rule_destinations"] = lambda s, sf: mapped_rules(s, sf).select(
+        "mailbox_id", "rule_seq", F.array_join(F.filter("commands", lambda c: c.startswith("fileinto ")), "").alias("destination"),
+        F.exists("issues", lambda i: i.contains("folder") | i.contains("destination") | i.contains("Folder")).alias("flagged"))
     return b

@@ -324,7 +324,7 @@ counts AS (SELECT batch_id, archive_id, count(*) AS entry_count FROM v_archives
 e AS (
   SELECT a.*, NOT ends_with(entry_name, '/') AND (ends_with(lower(entry_name), '.xml')
          OR ends_with(lower(entry_name), '.mbox')) AND NOT starts_with(entry_name, '__MACOSX/') AS wanted
-  FROM v_archives a JOIN counts c USING (batch_id, archive_id) WHERE c.entry_count <= {K.MAX_ENTRIES}),
+  FROM v_archives a),
 e2 AS (
   SELECT *, sum(CASE WHEN wanted THEN uncompressed ELSE 0 END) OVER (
     PARTITION BY batch_id, archive_id ORDER BY entry_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
@@ -348,7 +348,7 @@ audit AS (
   SELECT c.batch_id, c.archive_id, c.entry_count, coalesce(p.expanded, 0) AS expanded,
     coalesce(p.accepted_count, 0) AS accepted_count,
     CASE WHEN c.entry_count > {K.MAX_ENTRIES} THEN 'too_many_entries' ELSE p.first_error END AS error,
-    p.error_entry
+    CASE WHEN c.entry_count <= {K.MAX_ENTRIES} THEN p.error_entry END AS error_entry
   FROM counts c LEFT JOIN per p USING (batch_id, archive_id))"""
     q: dict[str, str] = {}
     q["archive_audit"] = "WITH " + audit + "\nSELECT *, error IS NULL AS ok FROM audit"
@@ -382,12 +382,12 @@ adm2 AS (
   FROM adm)"""
     q["input_admission"] = adm + "\nSELECT file_seq, path, size, kind, verdict FROM adm2"
     q["sent_hint"] = files.rstrip(",\n") + """
-SELECT file_seq, path, regexp_matches(regexp_extract(path, '([^/\\\\]*)$', 1),
+SELECT file_seq, path, regexp_matches(regexp_extract(lower(path), '([^/\\\\]*)$', 1),
   '(?i)^(sent|sent mail|已发送|已发送邮件|寄件備份|gesendet|envoyés)\\.mbox$') AS sent_hint FROM v_files"""
     q["import_dedup"] = adm + """,
 sig AS (SELECT *, path || ':' || CAST(size AS VARCHAR) || ':' || CAST(mtime AS VARCHAR) AS signature FROM adm2)
 SELECT file_seq, path, signature, verdict,
-  verdict IN ('accepted', 'archive') AND file_seq > min(file_seq) OVER (PARTITION BY signature) AS duplicate
+  verdict = 'accepted' AND file_seq > min(file_seq) OVER (PARTITION BY signature) AS duplicate
 FROM sig"""
     return q
 
@@ -396,8 +396,9 @@ def folder_queries() -> dict[str, str]:
     from .. import constants as K
 
     system = ", ".join("'" + x.replace("'", "''") + "'" for x in K.SYSTEM)
-    reserved = ", ".join("'" + x.lower() + "'" for x in K.TARGETS[0]["reserved"])
-    inv = "WITH " + facts_cte() + """,
+    lists = " ".join(f"WHEN {k} THEN [" + ", ".join("'" + x.lower() + "'" for x in t["reserved"]) + "]" for k, t in enumerate(K.TARGETS))
+    reserved = f"(CASE mailbox_id % {len(K.TARGETS)} {lists} END)"
+    inv = "WITH RECURSIVE " + facts_cte() + """,
 inv AS (SELECT DISTINCT mailbox_id, unnest(labels) AS label FROM efacts),
 seg AS (
   SELECT mailbox_id, label, trim(nfc_normalize(label)) AS normalized FROM inv),
@@ -413,31 +414,51 @@ SELECT mailbox_id, label, array_to_string(list_transform(string_split(label, '/'
          THEN '_' ELSE regexp_replace(regexp_replace(trim(p), '[\\x00-\\x1f\\x7f\\\\:*?"<>|]', '_', 'g'), '[ .]+$', '') END), '/') AS sanitized
 FROM inv"""
     plan = inv + f""",
+v_rules AS ({view_sql('v_rules')}),
+v_overrides AS ({view_sql('v_overrides')}),
 kept AS (
-  SELECT *, array_to_string(parts, '/') AS base, lower(normalized) IN ({reserved}) AS reserved FROM segs
+  SELECT *, array_to_string(parts, '/') AS base, {reserved} AS reserved, list_contains({reserved}, lower(normalized)) AS held FROM segs
   WHERE NOT (lower(normalized) IN ({system}) OR regexp_replace(lower(normalized), '^\\[gmail\\]/', '') IN ({system})
              OR regexp_matches(normalized, '(?i)^category:|^categories/|^\\\\(?:inbox|drafts?|junk|trash|flagged|all|important|seen)$'))),
-numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY mailbox_id, lower(base) ORDER BY label)
-            + CASE WHEN lower(base) IN ({reserved}) THEN 1 ELSE 0 END AS n
-  FROM kept WHERE NOT reserved),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY label) AS rn FROM kept WHERE NOT held),
+-- Label after label, the first free name: as it is, then with (2), (3) and so on.
+greedy AS (
+  SELECT mailbox_id, 0::BIGINT AS rn, NULL::VARCHAR AS label, NULL::VARCHAR AS folder, 0::BIGINT AS n, []::VARCHAR[] AS used FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT mailbox_id, rn, label, CASE WHEN n = 1 THEN base ELSE base || ' (' || n || ')' END, n,
+         list_append(used, lower(CASE WHEN n = 1 THEN base ELSE base || ' (' || n || ')' END))
+  FROM (SELECT o.mailbox_id, o.rn, o.label, o.base, g.used,
+               list_filter(range(1, len(g.used) + len(o.reserved) + 2), lambda k:
+                 NOT list_contains(list_concat(g.used, o.reserved), lower(CASE WHEN k = 1 THEN o.base ELSE o.base || ' (' || k || ')' END)))[1] AS n
+        FROM greedy g JOIN ordered o ON o.mailbox_id = g.mailbox_id AND o.rn = g.rn + 1)),
 plan AS (
-  SELECT mailbox_id, label, CASE WHEN n = 1 THEN base ELSE base || ' (' || CAST(n AS VARCHAR) || ')' END AS folder,
+  SELECT k.mailbox_id, k.label, g.folder,
     array_to_string(list_filter([
-      CASE WHEN base <> label THEN '{K.N_NORMALIZED}' END,
+      CASE WHEN base <> k.label THEN '{K.N_NORMALIZED}' END,
       CASE WHEN len(parts) > 1 THEN '{K.N_NESTED}' END,
       CASE WHEN length(base) > 255 THEN '{K.N_LONG}' END,
-      CASE WHEN n > 1 THEN '{K.N_COLLISION}' END], lambda x: x IS NOT NULL), ' | ') AS notes
-  FROM numbered
+      CASE WHEN g.n > 1 THEN '{K.N_COLLISION}' END], lambda x: x IS NOT NULL), ' | ') AS notes
+  FROM kept k JOIN greedy g ON g.mailbox_id = k.mailbox_id AND g.label = k.label
+  UNION ALL
+  SELECT mailbox_id, label, NULL, '{K.N_RESERVED}' FROM kept WHERE held),
+rows AS (
+  SELECT * FROM plan
   UNION ALL
-  SELECT mailbox_id, label, NULL, '{K.N_RESERVED}' FROM kept WHERE reserved)"""
+  SELECT DISTINCT mailbox_id, p_label, '', '{K.N_RULE_MAPPING}' FROM v_rules r
+  WHERE p_label <> '' AND NOT EXISTS (SELECT 1 FROM plan p WHERE p.mailbox_id = r.mailbox_id AND p.label = r.p_label)),
+mapping AS (
+  SELECT r.mailbox_id, r.label, coalesce(o.folder, r.folder, '') AS folder, notes
+  FROM rows r LEFT JOIN (FROM v_overrides WHERE pick IN (3, 5, 7, 9, 11)) o ON o.mailbox_id = r.mailbox_id AND o.label = r.label)"""
     q["folder_plan"] = plan + "\nSELECT * FROM plan"
+    q["folder_mapping"] = plan + "\nSELECT * FROM mapping"
+    q["all_labels"] = plan + """
+SELECT mailbox_id, label FROM inv UNION SELECT mailbox_id, p_label FROM v_rules WHERE p_label <> ''"""
     q["mapping_errors"] = plan + f""",
-keyed AS (SELECT *, lower(trim(nfc_normalize(coalesce(folder, '')))) AS key,
-                 count(*) OVER (PARTITION BY mailbox_id, lower(trim(nfc_normalize(coalesce(folder, ''))))) > 1 AS clash
-          FROM plan)
+keyed AS (SELECT *, lower(trim(nfc_normalize(folder))) AS key, {reserved} AS reserved,
+                 count(*) OVER (PARTITION BY mailbox_id, lower(trim(nfc_normalize(folder)))) > 1 AS clash
+          FROM mapping)
 SELECT mailbox_id, label, folder, 'invalidFolder' AS error_key FROM keyed
-  WHERE trim(coalesce(folder, '')) = '' OR regexp_matches(coalesce(folder, ''), '[\\x00-\\x1f\\x7f-\\x{{9f}}]')
-UNION ALL SELECT mailbox_id, label, folder, 'reservedFolder' FROM keyed WHERE key IN ({reserved})
+  WHERE trim(folder) = '' OR regexp_matches(folder, '[\\x00-\\x1f\\x7f-\\x{{9f}}]')
+UNION ALL SELECT mailbox_id, label, folder, 'reservedFolder' FROM keyed WHERE list_contains(reserved, key)
 UNION ALL SELECT mailbox_id, label, folder, 'collision' FROM keyed WHERE clash"""
     return q

@@ -47,7 +47,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 7 THEN '=?utf-8?B?5bey5Y+R6YCB?=,Client-' || CAST(user_id % 7 AS STRING) "
         "WHEN 8 THEN '[Gmail]/Sent Mail,Travel.' "
         "ELSE NULL END AS label1",
-        "CASE WHEN event_id % 20 = 19 THEN 'sent' END AS label2",
+        "CASE event_id % 40 WHEN 19 THEN 'sent' WHEN 39 THEN 'sent' WHEN 7 THEN 'work,Work (2),WORK' "
+        "WHEN 8 THEN 'Junk,Archive/x,Drafts ' WHEN 17 THEN 'work/reports 1,Trips/1' END AS label2",
         "CAST(floor(value) AS BIGINT) * 1024 AS size_bytes",
     ]),
     # Saved searches: one per order, drawn from accept and reject shapes.
@@ -80,14 +81,14 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "ELSE 'from:x' || CAST(o_custkey % 7 AS STRING) || '@example.com -to:boss@example.com smaller:' "
         "|| CAST(o_custkey % 100 AS STRING) || 'K' END AS text",
     ]),
-    # Filter rules: one per customer; mailbox = nation; templates of the rule tests.
+    # Filter rules: one per customer, 64 to a mailbox; templates of the rule tests.
     "v_rules": ("customer", [
-        "c_nationkey AS mailbox_id",
-        "c_custkey + 1 AS rule_seq",
+        "CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) AS mailbox_id",
+        "c_custkey % 64 + 1 AS rule_seq",
         "'rule-' || CAST(c_custkey AS STRING) AS rule_id",
-        "CASE c_nationkey % 6 WHEN 0 THEN 'generic' WHEN 1 THEN 'fastmail' WHEN 2 THEN 'proton' "
-        "WHEN 3 THEN 'outlook' WHEN 4 THEN 'yahoo' ELSE 'unknown' END AS target",
-        "c_nationkey % 4 = 1 AS include_approximate",
+        "CASE (c_custkey - c_custkey % 64) % 384 WHEN 0 THEN 'generic' WHEN 64 THEN 'fastmail' WHEN 128 THEN 'proton' "
+        "WHEN 192 THEN 'outlook' WHEN 256 THEN 'yahoo' ELSE 'unknown' END AS target",
+        "(c_custkey - c_custkey % 64) % 256 = 64 AS include_approximate",
         "CAST(NULL AS STRING) AS archive_folder",
         "CAST(NULL AS STRING) AS trash_folder",
         "CASE c_custkey % 16 WHEN 0 THEN 'boss@example.com' WHEN 1 THEN 'boss@example.com' "
@@ -116,10 +117,17 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CAST(NULL AS STRING) AS p_shouldNeverMarkAsImportant",
         "CAST(NULL AS STRING) AS p_smartLabelToApply",
     ]),
+    # Folders that users chose themselves: for a few labels of each mailbox.
+    "v_overrides": ("customer", [
+        "CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) AS mailbox_id",
+        "CASE c_custkey % 64 WHEN 3 THEN 'Work' WHEN 5 THEN 'Receipts' WHEN 7 THEN 'Trips/1' WHEN 9 THEN 'Project 1' ELSE 'Travel.' END AS label",
+        "CASE c_custkey % 64 WHEN 3 THEN 'Jobs' WHEN 5 THEN ' trash' WHEN 7 THEN 'JOBS ' WHEN 9 THEN 'a' || chr(9) ELSE 'Travel' END AS folder",
+        "c_custkey % 64 AS pick",
+    ]),
     # Archive entries: one per line item; archive = order, entry = line number.
     "v_archives": ("lineitem", [
         "l_orderkey AS archive_id",
-        "l_orderkey % 16 AS batch_id",
+        "l_orderkey - l_orderkey % 64 AS batch_id",
         "l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS entry_seq",
         "CASE l_partkey % 7 WHEN 0 THEN 'mail/' || CAST(l_partkey AS STRING) || '.mbox' "
         "WHEN 1 THEN 'filters/' || CAST(l_partkey AS STRING) || '.xml' "
@@ -143,7 +151,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE (page_id - page_id % 2) % 10 WHEN 0 THEN '.mbox' WHEN 2 THEN '.XML' WHEN 4 THEN '.zip' "
         "WHEN 6 THEN '.txt' ELSE '/Sent.mbox' END AS path",
         "CAST(page_id - page_id % 2 AS BIGINT) * 300000 AS size",
-        "CAST(page_id % 3 AS BIGINT) AS mtime",
+        "CASE WHEN page_id % 8 < 4 THEN 0 ELSE CAST(page_id % 3 AS BIGINT) END AS mtime",
     ]),
 }
 

@@ -4,14 +4,16 @@ Input: archive directory entries ``(batch_id, archive_id, entry_seq,
 entry_name, uncompressed, compressed, method, flags)`` in directory order —
 e.g. listed per archive by a ``mapInPandas`` over ``binaryFile`` rows.
 
-Scale: the entry count per archive is aggregated first; only archives within
-the 2000-entry limit reach the per-entry running-sum window, so no window
-partition exceeds 2000 rows however large one archive is.
+Scale: entries are shuffled once, by archive; the running sum streams over the
+sorted entries, and counts and sums always cover every entry.  Limits are
+verdicts, and only where they are given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -23,48 +25,71 @@ def _wanted(name):
             & ~name.startswith("__MACOSX/"))
 
 
-def entry_audit(entries: DataFrame) -> DataFrame:
-    """Per-archive verdict with the first failing check (declared sizes)."""
-    counts = entries.groupBy("batch_id", "archive_id").agg(F.count(F.lit(1)).alias("entry_count"))
-    small = entries.join(counts.where(F.col("entry_count") <= K.MAX_ENTRIES), ["batch_id", "archive_id"])
-    wanted = _wanted(F.col("entry_name"))
+@dataclass(frozen=True)
+class Limits:
+    """Limits that an archive is held against; None is no limit."""
+
+    entries: int | None = None
+    entry_bytes: int | None = None
+    archive_bytes: int | None = None
+
+
+REFERENCE = Limits(K.MAX_ENTRIES, K.MAX_ENTRY, K.MAX_EXPANDED)
+
+
+def _over(value: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else value > limit
+
+
+def _checked(entries: DataFrame, limits: Limits) -> DataFrame:
+    """Entries with wanted and error, the first check that each fails (declared sizes)."""
     w = (Window.partitionBy("batch_id", "archive_id").orderBy("entry_seq")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    e = small.withColumn("wanted", wanted).withColumn(
+    e = entries.withColumn("wanted", _wanted(F.col("entry_name"))).withColumn(
         "running", F.sum(F.when(F.col("wanted"), F.col("uncompressed")).otherwise(F.lit(0))).over(w))
-    is_dir = F.col("entry_name").endswith("/")
-    error = (F.when(is_dir & (F.col("uncompressed") > 0), F.lit("directory_with_data"))
-             .when(F.col("wanted") & (F.col("uncompressed") > K.MAX_ENTRY), F.lit("entry_too_large"))
-             .when(F.col("wanted") & (F.col("running") > K.MAX_EXPANDED), F.lit("archive_too_large"))
+    error = (F.when(F.col("entry_name").endswith("/") & (F.col("uncompressed") > 0), F.lit("directory_with_data"))
+             .when(F.col("wanted") & _over(F.col("uncompressed"), limits.entry_bytes), F.lit("entry_too_large"))
+             .when(F.col("wanted") & _over(F.col("running"), limits.archive_bytes), F.lit("archive_too_large"))
              .when(F.col("wanted") & (((F.col("flags") % 2) == 1) | ~F.col("method").isin(0, 8)),
                    F.lit("unsupported_method"))
              .when(F.col("wanted") & (F.col("method") == 0) & (F.col("compressed") != F.col("uncompressed")),
                    F.lit("stored_size_mismatch")))
-    per = e.withColumn("error", error).groupBy("batch_id", "archive_id").agg(
-        F.min(F.when(F.col("error").isNotNull(), F.struct("entry_seq", "error")))["error"].alias("first_error"),
-        F.min(F.when(F.col("error").isNotNull(), F.col("entry_seq"))).alias("error_entry"),
+    return e.withColumn("error", error)
+
+
+def entry_audit(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Per-archive verdict with the first failing check; sums cover every entry whatever the verdict."""
+    bad = F.col("error").isNotNull()
+    per = _checked(entries, limits).groupBy("batch_id", "archive_id").agg(
+        F.count(F.lit(1)).alias("entry_count"),
         F.sum(F.when(F.col("wanted"), F.col("uncompressed")).otherwise(F.lit(0))).cast("long").alias("expanded"),
-        F.count_if("wanted").alias("accepted_count"))
-    return counts.join(per, ["batch_id", "archive_id"], "left").select(
-        "batch_id", "archive_id", "entry_count",
-        F.coalesce("expanded", F.lit(0)).cast("long").alias("expanded"),
-        F.coalesce("accepted_count", F.lit(0)).cast("long").alias("accepted_count"),
-        F.when(F.col("entry_count") > K.MAX_ENTRIES, F.lit("too_many_entries"))
-        .otherwise(F.col("first_error")).alias("error"),
-        "error_entry",
+        F.count_if("wanted").alias("accepted_count"),
+        F.min(F.when(bad, F.struct("entry_seq", "error"))).alias("first"))
+    many = _over(F.col("entry_count"), limits.entries)
+    return per.select(
+        "batch_id", "archive_id", "entry_count", "expanded", "accepted_count",
+        F.when(many, F.lit("too_many_entries")).otherwise(F.col("first.error")).alias("error"),
+        F.when(~many, F.col("first.entry_seq")).alias("error_entry"),
     ).withColumn("ok", F.col("error").isNull())
 
 
-def atomic_files(entries: DataFrame, audit: DataFrame) -> DataFrame:
+def archive_files(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The wanted entries, each with kept: false throughout an archive with any bad entry."""
+    whole = Window.partitionBy("batch_id", "archive_id")
+    kept = F.min(F.col("error").isNull()).over(whole)
+    if limits.entries is not None:
+        kept = kept & (F.count(F.lit(1)).over(whole) <= limits.entries)
+    return (_checked(entries, limits).withColumn("kept", kept).where("wanted")
+            .select("batch_id", "archive_id", "entry_seq", "entry_name", "uncompressed", "kept"))
+
+
+def atomic_files(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Wanted entries of archives that passed; one bad entry discards its whole archive."""
-    good = audit.where("ok").select("batch_id", "archive_id")
-    return (entries.where(_wanted(F.col("entry_name")))
-            .join(good, ["batch_id", "archive_id"], "left_semi")
-            .select("batch_id", "archive_id", "entry_seq", "entry_name", "uncompressed"))
+    return archive_files(entries, limits).where("kept").drop("kept")
 
 
-def batch_budget(audit: DataFrame) -> DataFrame:
-    """Archives taken in selection order while the batch total stays <= 512 MiB.
+def batch_budget(audit: DataFrame, max_bytes: int) -> DataFrame:
+    """Archives taken in selection order while the batch total stays within max_bytes.
 
     A refused archive (bad, or over budget) does not consume budget, so this is
     a greedy fold, not a window sum: per batch (one user selection) the ordered
@@ -76,7 +101,7 @@ def batch_budget(audit: DataFrame) -> DataFrame:
                     F.array().cast("array<struct<archive_id:bigint,taken:boolean>>").alias("out"))
 
     def step(acc, x):
-        take = x["ok"] & (acc["total"] + x["expanded"] <= K.MAX_BATCH_EXPANDED)
+        take = x["ok"] & (acc["total"] + x["expanded"] <= max_bytes)
         return F.struct(
             F.when(take, acc["total"] + x["expanded"]).otherwise(acc["total"]).alias("total"),
             F.concat(acc["out"], F.array(F.struct(x["archive_id"].alias("archive_id"), take.alias("taken"))))

@@ -7,20 +7,24 @@ the files were selected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
 
-def admission(files: DataFrame) -> DataFrame:
-    """Kind of each input and its verdict (accepted, archive, or a refusal)."""
+def _over(column: str, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else F.col(column) > limit
+
+
+def admission(files: DataFrame, max_xml: int | None = None, max_archive: int | None = None) -> DataFrame:
+    """Kind of each input and its verdict (accepted, archive, or a refusal where a limit is given)."""
     lower = F.lower("path")
     kind = (F.when(lower.endswith(".xml"), F.lit("xml")).when(lower.endswith(".mbox"), F.lit("mbox"))
             .when(lower.endswith(".zip"), F.lit("zip")).otherwise(F.lit("other")))
-    verdict = (F.when((kind == "xml") & (F.col("size") > K.MAX_XML), F.lit("xml_too_large"))
+    verdict = (F.when((kind == "xml") & _over("size", max_xml), F.lit("xml_too_large"))
                .when(kind.isin("xml", "mbox"), F.lit("accepted"))
-               .when((kind == "zip") & (F.col("size") > K.MAX_ARCHIVE), F.lit("archive_too_large"))
+               .when((kind == "zip") & _over("size", max_archive), F.lit("archive_too_large"))
                .when(kind == "zip", F.lit("archive"))
                .otherwise(F.lit("unsupported")))
     return files.select("*", kind.alias("kind"), verdict.alias("verdict"))
@@ -28,22 +32,23 @@ def admission(files: DataFrame) -> DataFrame:
 
 def sent_hint(files: DataFrame) -> DataFrame:
     """A whole mbox file is sent mail when its last path segment is a sent name."""
-    last = F.element_at(F.split("path", r"[/\\\\]"), -1)
+    last = F.element_at(F.split(F.lower("path"), r"[/\\\\]"), -1)
     return files.select("file_seq", "path", last.rlike(K.SENT_FILE_PATTERN).alias("sent_hint"))
 
 
-def import_dedup(files: DataFrame) -> DataFrame:
+def import_dedup(files: DataFrame, max_xml: int | None = None) -> DataFrame:
     """Signature ``path:size:mtime``; a later copy of a successful import is skipped.
 
-    Only successful imports register, and the verdict is a function of the
+    Only successful imports of rules and mailboxes register (an archive is expanded
+    anew, and its entries are checked instead), and the verdict is a function of the
     signature, so "an earlier success exists" = verdict succeeds and this is
     not the first row of the signature.  One aggregate per signature, joined
     back (signatures are near-unique, so no group is hot).
     """
-    adm = admission(files).withColumn(
+    adm = admission(files, max_xml).withColumn(
         "signature", F.concat_ws(":", "path", F.col("size").cast("string"), F.col("mtime").cast("string")))
     first = adm.groupBy("signature").agg(F.min("file_seq").alias("first_seq"))
-    ok = F.col("verdict").isin("accepted", "archive")
+    ok = F.col("verdict") == "accepted"
     return adm.join(first, "signature").select(
         "file_seq", "path", "signature", "verdict",
         (ok & (F.col("file_seq") > F.col("first_seq"))).alias("duplicate"))
