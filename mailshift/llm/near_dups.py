@@ -15,12 +15,14 @@ candidates.  A pair at the least similarity is missed by all 30 bands with
 probability (1 - 0.8^5)^30, under 1 in 100,000.  Candidates are compared exactly,
 on whole shingle multisets.
 
-Texts that are equal but for white space and case are one node from the start (a
-64-bit hash), so thousands of copies cost one comparison.  The pairs within a band are
-never all emitted.  Each node is first compared with one other, the smallest that
-shares a band with it; then with the smallest of each of its bands, where they
-are not yet in one class; and last, where a band still holds several classes,
-members of different classes are compared with each other.  No link between
+Equal texts are one node from the start (a 64-bit hash), so thousands of copies
+cost one comparison.  The pairs within a band are never all emitted.  The centre
+of a band is the node that meets most others in all its bands, as the original of
+many edited copies does.  Each node is first compared with the best centre that it
+meets, then with the centres of its other bands, where they are not yet in one
+class.  Last, where a band still holds several classes, the nodes outside its
+largest class are held against all of its nodes, in cells of bounded size; of
+these comparisons only links that join classes leave the cell.  No link between
 different classes is left untested, and links within a class change nothing.
 Classes are found by passing on the smallest label, with jumps over labels.
 Tables that later steps read are checkpointed in the shared folder.
@@ -33,6 +35,7 @@ gives no rows; other columns are ignored (``distinct_documents``: carried along)
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from zlib import crc32
@@ -48,8 +51,8 @@ WIDTH, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 150, 5
 #: Pairs whose signatures agree in less than this share are not compared: six standard deviations under the least similarity.
 CLEARLY_LESS = 0.6
-WHITE = r"[\x20\x09-\x0D]+"
-
+#: Rows of a cell from outside a band's largest class, and from all of the band.
+CELL_ROWS, CELL_OTHERS = 512, 1024
 _U = np.uint64
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype="uint64")
 
@@ -123,34 +126,89 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _packed(elements: np.ndarray, counts: np.ndarray) -> bytes:
-    return elements.tobytes() + counts.astype("<u4").tobytes()
+    """A multiset by 32 bits of its hashes; counts only where one is above 1."""
+    short = (elements >> _U(32)).astype("<u4")
+    new = np.append(True, short[1:] != short[:-1])
+    if not new.all():
+        short, counts = short[new], np.add.reduceat(counts, np.flatnonzero(new))
+    if (counts == 1).all():
+        return b"\0" + short.tobytes()
+    return b"\1" + short.tobytes() + counts.astype("<u4").tobytes()
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.frombuffer(data, "uint64", n), np.frombuffer(data, "<u4", n, 8 * n).astype("int64")
+    n = (len(data) - 1) // (8 if data[0] else 4)
+    short = np.frombuffer(data, "<u4", n, 1)
+    return short, np.frombuffer(data, "<u4", n, 1 + 4 * n).astype("int64") if data[0] else np.ones(n, "int64")
 
 
 def node_of(text: Column) -> Column:
-    """A text's node: equal for texts that differ only in white space and case; null without words."""
-    plain = F.lower(F.trim(F.regexp_replace(text, WHITE, " ")))
-    return F.when(plain != "", F.xxhash64(plain))
+    """A text's node: equal for equal texts; null for texts without words."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))
+
+
+def joining_links(band: int, own: list[tuple], others: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Links from nodes to other nodes of a band that join different classes.
+
+    Rows are node, label, bands and multiset.  A pair is tested in the first band that it shares only.
+    """
+    sets = [_unpacked(o[3]) for o in others]
+    elements = np.concatenate([x for x, _ in sets])
+    counts = np.concatenate([m for _, m in sets])
+    owner = np.repeat(np.arange(len(others)), [len(x) for x, _ in sets])
+    order = np.argsort(elements, kind="stable")
+    elements, counts, owner = elements[order], counts[order], owner[order]
+    totals = np.array([m.sum() for _, m in sets])
+    theirs = np.frombuffer(b"".join(o[2] for o in others), "int64").reshape(len(others), -1)
+    labels = np.array([o[1] for o in others])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    links = []
+    for node, label, bands_, packed in own:
+        mine = np.frombuffer(bands_, "int64")
+        same = theirs == mine
+        first = mine[same.argmax(axis=1)] == band
+        now = find(label)
+        current = np.array([find(x) for x in labels.tolist()]) if root else labels
+        open_ = first & same.any(axis=1) & (current != now)
+        if not open_.any():
+            continue
+        x, m = _unpacked(packed)
+        total = m.sum()
+        open_ &= (np.minimum(totals, total) >= least * np.maximum(totals, total))
+        if not open_.any():
+            continue
+        low, high = np.searchsorted(elements, x, "left"), np.searchsorted(elements, x, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], weights=np.minimum(counts[at], np.repeat(m, n)), minlength=len(others))
+        for k in np.flatnonzero(open_ & (both >= least * (totals + total - both))):
+            a, b = find(label), find(int(labels[k]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((node, others[k][0]))
+    return links
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """From node, doc_id and text: node, doc_id, bands and a byte of each value of the signature."""
+    """From node, doc_id and text: node, doc_id, bands and a byte of each value of the signature (both null where node is)."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, short = [], []
-            for text in batch.column(2):
-                signature = dart_minhash(*shingles(text.as_py(), width))
-                found.append(bands(signature))
-                short.append(signature.astype("uint8").tobytes())
+            for node, text in zip(batch.column(0), batch.column(2)):
+                signature = dart_minhash(*shingles(text.as_py(), width)) if node.is_valid else None
+                found.append(None if signature is None else bands(signature))
+                short.append(None if signature is None else signature.astype("uint8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["node", "doc_id", "bands", "short"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"node bigint, doc_id {kind}, bands array<bigint>, short binary")
+    return rows.select("node", "doc_id", "text").mapInArrow(sign, f"node bigint, doc_id {kind}, bands array<bigint>, short binary")
 
 
 def _multisets(rows: DataFrame, width: int) -> DataFrame:
@@ -208,62 +266,88 @@ def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return keep(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
-def classes(rows: DataFrame, *, width: int = WIDTH, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """From rows of node (not null), doc_id and text: the rows' node and doc_id, and node, label, class_id, class_size of each node."""
+def _cells(held: DataFrame) -> DataFrame:
+    """Of band, node and label where a band holds several classes: band, part and other (the cell), own, node and label."""
+    sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = (sizes.groupBy("band").agg(F.max_by("label", "n").alias("largest"), F.max("n").alias("top"), F.sum("n").alias("n"))
+             .where("n > top").select("band", "largest", F.ceil((F.col("n") - F.col("top")) / CELL_ROWS).cast("int").alias("parts"),
+                                      F.ceil(F.col("n") / CELL_OTHERS).cast("int").alias("others")))
+    rows = held.join(sizes, "band")
+    mine = (rows.where("label <> largest").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), "parts").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("own", F.lit(True)))
+    every = (rows.withColumn("other", F.pmod(F.xxhash64(F.lit(2), "node"), "others").cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("own", F.lit(False)))
+    columns = ["band", "part", "other", "own", "node", "label"]
+    return mine.select(columns).union(every.select(columns))
+
+
+def _links_across(held: DataFrame, nodes: DataFrame, multisets: DataFrame, least: float) -> DataFrame:
+    rows = (_cells(held).join(nodes.select("node", "bands"), "node").join(multisets, "node")
+            .select("band", "part", "other", "own", "node", "label", "bands", "multiset")
+            .repartition("band", "part", "other").sortWithinPartitions("band", "part", "other"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(row: tuple) -> tuple:
+            return row[4], row[5], np.array(row[6], "int64").tobytes(), row[7]
+
+        every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        found: list[tuple[int, int]] = []
+        for key, cell in itertools.groupby(every, key=lambda r: r[:3]):
+            rows_ = list(cell)
+            own, others = [told(r) for r in rows_ if r[3]], [told(r) for r in rows_ if not r[3]]
+            if own and others:
+                found += joining_links(key[0], own, others, least)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(link, "a bigint, b bigint")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """node (null without words) and doc_id of each document; and of each node first_id, label, class_id, class_size."""
+    rows = docs.select(node_of(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     signed = keep(_signed(rows, width))
-    nodes = keep(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
-                                            F.first("bands").alias("bands"), F.first("short").alias("short")))
+    nodes = keep(signed.where(F.col("node").isNotNull()).groupBy("node")
+                 .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("short").alias("short")))
     band = nodes.select("node", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     # Only bands that hold two nodes or more stay.
-    band = keep(band.join(shared.select("band", "least"), "band").where("node >= least"))
+    band = keep(band.join(band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band"))
+    degree = band.groupBy("node").agg(F.sum("n").alias("degree"))
+    band = band.join(degree, "node").select("band", "node", "degree")
+    centre = band.groupBy("band").agg(F.max_by("node", "degree").alias("centre"), F.max("degree").alias("most"))
+    band = keep(band.join(centre, "band").select("band", "node", "centre", "most"))
     labels = keep(band.select("node").distinct().withColumn("label", F.col("node")))
-    picked = labels.join(nodes.select("node", F.col("first_id").alias("doc_id")), "node").select("node", "doc_id")
-    # One text of each node; copies have ids of their own, so no node gathers its copies.
-    texts = rows.join(picked, (rows["node"] == picked["node"]) & rows["doc_id"].eqNullSafe(picked["doc_id"]), "left_semi").dropDuplicates(["node", "doc_id"])
+    # One text of each node that met another; copies have ids of their own, so no node gathers its copies.
+    met = labels.select("node").join(nodes.select("node", "first_id"), "node").withColumnRenamed("node", "met")
+    texts = rows.join(met, (F.col("node") == F.col("met")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["node", "doc_id"])
     multisets = keep(_multisets(texts, width))
 
-    first = band.where("node <> least").groupBy(F.col("node").alias("a")).agg(F.min("least").alias("b"))
-    tested = keep(first)
-    labels = _merged(labels, _linked(tested, nodes, multisets, least))
-    # The smallest node of each band, where it is not in the same class yet.
-    rest = band.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    best = keep(band.where("node <> centre").groupBy(F.col("node").alias("a")).agg(F.max_by("centre", "most").alias("b")))
+    labels = _merged(labels, _linked(best, nodes, multisets, least))
+    rest = band.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
     pairs = keep(_both(rest, labels, "label").where("x <> y").select("a", "b"))
     labels = _merged(labels, _linked(pairs, nodes, multisets, least))
-    tested = tested.union(pairs)
-    # Members of different classes that still share a band.
-    held = band.join(labels, "node")
-    mixed_bands = held.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    held = keep(held.join(mixed_bands, "band").select("band", "node", "label"))
-    across = (held.alias("p").join(held.alias("q"), "band").where("p.label <> q.label and p.node > q.node")
-              .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    labels = _merged(labels, _linked(keep(across), nodes, multisets, least))
+    labels = _merged(labels, _links_across(band.select("band", "node").join(labels, "node"), nodes, multisets, least))
 
     known = nodes.select("node", "first_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return signed.select("node", "doc_id"), known.select("node", "label").join(sizes, "label")
-
-
-def _noded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(node_of(F.col(f"`{text_col}`")).alias("node"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    whole = known.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    return signed.select("node", "doc_id"), known.select("node", "first_id", "label").join(whole, "label")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """For each document: doc_id, class_id (the smallest id of its class) and class_size."""
-    rows = _noded(docs, id_col, text_col)
-    members, found = classes(rows.where(F.col("node").isNotNull()), width=width, least=least)
-    alone = rows.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
-    return members.join(found, "node").select("doc_id", "class_id", "class_size").unionByName(alone)
+    members, found = classes(docs, id_col, text_col, width, least)
+    alone = members.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    return members.where(F.col("node").isNotNull()).join(found, "node").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """One document of each class, with all its columns: the one of the smallest id."""
-    rows = _noded(docs, id_col, text_col).where(F.col("node").isNotNull())
-    members, found = classes(rows, width=width, least=least)
-    first = (members.join(found.select("node", "label"), "node").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("m"))
-             .select(F.col("m.node").alias("kept_node"), F.col("m.doc_id").alias("kept_id")))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col(f"`{id_col}`").alias("row_id"),
-                      node_of(F.col(f"`{text_col}`")).alias("row_node"))
-    one = (row.where(F.col("row_node").isNotNull()).join(first, (F.col("row_node") == F.col("kept_node")) & F.col("row_id").eqNullSafe(F.col("kept_id")), "left_semi")
-           .dropDuplicates(["row_node", "row_id"]))
-    return one.select("document.*").unionByName(row.where(F.col("row_node").isNull()).select("document.*"))
+    _, found = classes(docs, id_col, text_col, width, least)
+    first = (found.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("m"))
+             .select(F.col("m.node").alias("node"), F.col("m.first_id").alias("first_id")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), node_of(text).alias("row_node"), row)
+    one = (rows.where(F.col("row_node").isNotNull())
+           .join(first, (F.col("row_node") == F.col("node")) & F.col("row_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["row_node", "row_id"]))
+    return one.select("document.*").unionByName(rows.where(F.col("row_node").isNull()).select("document.*"))
