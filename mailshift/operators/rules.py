@@ -7,14 +7,14 @@ source produces).  ``rule_seq`` is the 1-based position of the rule in its
 mailbox's feed.
 
 Every per-rule step is a projection (the saved-search parser runs inline on the
-rule row, no join); the only shuffles are the per-mailbox rule aggregate (R10,
-combined map-side, joined back) and the destination-key aggregate (R5).  The
-targets table (6 rows) is broadcast.
+rule row, no join) but for the folder keys, whose NFC is an Arrow UDF; the only
+shuffles are that of the mailboxes' rules (R10) and the destination-key
+aggregate (R5).  The targets table (6 rows) is broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -276,11 +276,12 @@ def _collision(system: Column) -> Column:
 
 
 def finalize(converted: DataFrame) -> DataFrame:
-    """Limit, cross-rule downgrade (per-mailbox aggregate joined back), enable flag, text."""
-    per_mb = converted.groupBy("mailbox_id").agg(
-        F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("status") != "skipped").alias("n_valid"),
-        F.max((F.col("status") != "skipped") & F.col("delivery")).alias("any_delivery"))
-    df = converted.join(per_mb, "mailbox_id", "left")
+    """Limit, cross-rule downgrade (over the mailbox), enable flag, text."""
+    # One shuffle of the converted rows; a mailbox's rules are few, and the conversion runs once.
+    mailbox = Window.partitionBy("mailbox_id")
+    df = converted.withColumns({
+        "n_rules": F.count(F.lit(1)).over(mailbox), "n_valid": F.count_if(F.col("status") != "skipped").over(mailbox),
+        "any_delivery": F.max((F.col("status") != "skipped") & F.col("delivery")).over(mailbox)})
     limited = (F.col("status") != "skipped") & (F.size("limit_issues") > 0)
     status1 = F.when(limited, F.lit("skipped")).otherwise(F.col("status"))
     issues1 = F.when(limited, F.concat("issues", "limit_issues")).otherwise(F.col("issues"))
@@ -339,18 +340,20 @@ def script_blocks(final: DataFrame) -> DataFrame:
     Every block ends with its own separator, so the blocks of a mailbox in
     ``block`` order are the script as it is; a writer can stream them.
     """
-    reqs = required_extensions(final)
-    mailboxes = final.select("mailbox_id").distinct().join(reqs, "mailbox_id", "left")
-    head = mailboxes.select(
-        "mailbox_id", F.lit(0).cast("long").alias("block"),
+    needed = F.flatten(F.collect_set(F.when(F.col("enabled"), F.col("needed"))).over(Window.partitionBy("mailbox_id")))
+    exts = F.array_sort(F.array_distinct(needed))
+    rows = final.withColumn("exts", exts)
+    # The first rule of a mailbox brings the header along: one pass over the rules.
+    head = F.when(F.col("rule_seq") == 1, F.struct(
+        F.lit(0).cast("long").alias("block"),
         F.concat(F.lit(K.SCRIPT_HEADER),
-                 F.when(F.coalesce(F.col("required_extensions"), F.lit("")) != "", F.concat(
+                 F.when(F.size("exts") > 0, F.concat(
                      F.lit("require ["),
-                     F.array_join(F.transform(F.split("required_extensions", ","), sieve_quote), ", "),
-                     F.lit("];\n\n"))).otherwise(F.lit(""))).alias("text"))
-    blocks = final.select("mailbox_id", F.col("rule_seq").cast("long").alias("block"),
-                          F.concat("generated", F.when(F.col("last"), F.lit("\n")).otherwise(F.lit("\n\n"))).alias("text"))
-    return head.unionByName(blocks)
+                     F.array_join(F.transform("exts", sieve_quote), ", "),
+                     F.lit("];\n\n"))).otherwise(F.lit(""))).alias("text")))
+    own = F.struct(F.col("rule_seq").cast("long").alias("block"),
+                   F.concat("generated", F.when(F.col("last"), F.lit("\n")).otherwise(F.lit("\n\n"))).alias("text"))
+    return rows.select("mailbox_id", F.inline(F.filter(F.array(head, own), lambda x: x.isNotNull())))
 
 
 def capability_rows(converted: DataFrame) -> DataFrame:

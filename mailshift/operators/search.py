@@ -80,7 +80,7 @@ def _token(raw: Column, i: Column) -> Column:
     op = (F.when(is_addr_key & literal.contains("@"), F.lit("is"))
           .when(key == "smaller", F.lit("under")).when(is_size_key, F.lit("over"))
           .when(key == "has", F.lit("is")).otherwise(F.lit("contains")))
-    num = F.when(is_size_key, amount.cast("bigint"))
+    num = F.when(is_size_key, amount.try_cast("bigint"))
     value = (F.when(is_addr_key & literal.contains("@"), F.lower(literal))
              .when(is_size_key, num.cast("string")).when(key == "has", F.lit("attachment"))
              .otherwise(literal))

@@ -49,6 +49,7 @@ def builders() -> dict[str, Builder]:
     out.update(rule_builders())
     out.update(input_builders())
     out.update(folder_builders())
+    out.update(matching_builders())
     return out
 
 
@@ -60,6 +61,7 @@ def oracles() -> dict[str, str]:
     out.update(O.rule_queries())
     out.update(O.input_queries())
     out.update(O.folder_queries())
+    out.update(O.matching_queries())
     return out
 
 
@@ -189,7 +191,34 @@ def folder_builders() -> dict[str, Builder]:
     b["folder_mapping"] = lambda s, sf: mapping(s, sf).select(
         "mailbox_id", "label", "folder", F.array_join("notes", " | ").alias("notes"))
     b["mapping_errors"] = lambda s, sf: FD.mapping_errors(mapping(s, sf).withColumn("reserved", FD.reserved_of(target)))
+    from ..sinks import reports as RP
+
+    b["folder_manifest"] = lambda s, sf: RP.manifest_rows(mapping(s, sf))
+    b["senders_csv"] = lambda s, sf: RP.sender_lines(MB.sender_counts(_facts(s, sf)))
+    b["redact_issues"] = lambda s, sf: view(s, sf, "v_rules").select(
+        "mailbox_id", "rule_seq", RP.redacted(
+            F.concat_ws(" ", F.lit("see <a@example.com>,"), F.coalesce("p_from", F.lit("-")), F.coalesce("p_forwardTo", F.lit("x@y"))),
+            R.description(view(s, sf, "v_rules").columns)).alias("issue"))
     b["rule_destinations"] = lambda s, sf: mapped_rules(s, sf).select(
         "mailbox_id", "rule_seq", F.array_join(F.filter("commands", lambda c: c.startswith("fileinto ")), "").alias("destination"),
         F.exists("issues", lambda i: i.contains("folder") | i.contains("destination") | i.contains("Folder")).alias("flagged"))
     return b
+
+
+def matching_builders() -> dict[str, Builder]:
+    from ..operators import matching as MA
+
+    def matches(s: SparkSession, sf: str) -> DataFrame:
+        sizes = view(s, sf, "v_msgs").select("mailbox_id", "file_seq", "msg_seq", "size_bytes")
+        messages = _facts(s, sf).select("mailbox_id", "file_seq", "msg_seq", "email").join(sizes, ["mailbox_id", "file_seq", "msg_seq"])
+        rules = view(s, sf, "v_rules").withColumn("unknown", F.array().cast("array<string>"))
+        return MA.rule_matches(messages, MA.rule_tests(rules))
+
+    b: dict[str, Builder] = {}
+    b["rule_match"] = matches
+    b["rule_hits"] = lambda s, sf: MA.rule_hits(matches(s, sf))
+    b["rule_overlap"] = lambda s, sf: MA.rule_overlap(matches(s, sf))
+    b["source_summary"] = lambda s, sf: _facts(s, sf).groupBy("mailbox_id", "file_seq").agg(F.count(F.lit(1)).alias("records"))
+    b["replacement_count"] = lambda s, sf: view(s, sf, "v_msgs").select(
+        "mailbox_id", "msg_seq", H.replacement_count(F.concat(F.lit("\ufffd"), F.replace("label1", F.lit("o"), F.lit("\ufffd")))).alias("n"))
+    return b

@@ -450,6 +450,12 @@ mapping AS (
   SELECT r.mailbox_id, r.label, coalesce(o.folder, r.folder, '') AS folder, notes
   FROM rows r LEFT JOIN (FROM v_overrides WHERE pick IN (3, 5, 7, 9, 11)) o ON o.mailbox_id = r.mailbox_id AND o.label = r.label)"""
     q["folder_plan"] = plan + "\nSELECT * FROM plan"
+    note = "'[' || array_to_string(list_transform(list_filter(string_split(notes, ' | '), lambda x: x <> ''), lambda x: to_json(x)::VARCHAR), ',') || ']'"
+    q["folder_manifest"] = plan + f"""
+SELECT mailbox_id, label, CASE WHEN folder <> '' THEN 'folders' ELSE 'omitted' END AS part,
+  '{{"gmailLabel":' || to_json(label)::VARCHAR || CASE WHEN folder <> '' THEN ',"targetFolder":' || to_json(folder)::VARCHAR || ',"create":true' ELSE '' END
+  || ',"notes":' || {note} || '}}' AS entry
+FROM mapping"""
     q["folder_mapping"] = plan + "\nSELECT * FROM mapping"
     q["all_labels"] = plan + """
 SELECT mailbox_id, label FROM inv UNION SELECT mailbox_id, p_label FROM v_rules WHERE p_label <> ''"""
@@ -462,3 +468,38 @@ SELECT mailbox_id, label, folder, 'invalidFolder' AS error_key FROM keyed
 UNION ALL SELECT mailbox_id, label, folder, 'reservedFolder' FROM keyed WHERE list_contains(reserved, key)
 UNION ALL SELECT mailbox_id, label, folder, 'collision' FROM keyed WHERE clash"""
     return q
+
+
+def matching_queries() -> dict[str, str]:
+    facts = facts_cte()
+    matches = "WITH " + facts + f""",
+v_rules AS ({view_sql('v_rules')}),
+tests AS (
+  SELECT mailbox_id, rule_seq, lower(p_from) AS address, p_sizeOperator AS side,
+         TRY_CAST(p_size AS BIGINT) * CASE p_sizeUnit WHEN 's_sb' THEN 1 WHEN 's_skb' THEN 1024 WHEN 's_smb' THEN 1048576 END AS amount
+  FROM v_rules
+  WHERE p_to IS NULL AND p_subject IS NULL AND p_hasTheWord IS NULL AND p_doesNotHaveTheWord IS NULL AND p_hasAttachment IS NULL
+    AND (p_from IS NULL OR strpos(p_from, ' ') = 0) AND (p_from IS NOT NULL OR p_size IS NOT NULL)),
+matches AS (
+  SELECT m.mailbox_id, m.msg_seq, t.rule_seq
+  FROM efacts m JOIN v_msgs v ON v.mailbox_id = m.mailbox_id AND v.file_seq = m.file_seq AND v.msg_seq = m.msg_seq
+  JOIN tests t ON t.mailbox_id = m.mailbox_id
+  WHERE (t.address IS NULL OR t.address = m.email)
+    AND (t.amount IS NULL OR CASE t.side WHEN 's_sl' THEN v.size_bytes > t.amount WHEN 's_ss' THEN v.size_bytes < t.amount END))"""
+    q = {"rule_match": matches + "\nSELECT * FROM matches",
+         "rule_hits": matches + "\nSELECT mailbox_id, rule_seq, count(*) AS hits FROM matches GROUP BY ALL",
+         "rule_overlap": matches + """
+SELECT mailbox_id, count(*) AS matched, count(*) FILTER (WHERE n > 1) AS overlapping
+FROM (SELECT mailbox_id, msg_seq, count(*) AS n FROM matches GROUP BY ALL) GROUP BY mailbox_id"""}
+    base = f"WITH v_msgs AS ({view_sql('v_msgs')})\n"
+    q["source_summary"] = base + "SELECT mailbox_id, file_seq, count(*) AS records FROM v_msgs GROUP BY ALL"
+    q["replacement_count"] = base + "SELECT mailbox_id, msg_seq, 1 + length(label1) - length(replace(label1, 'o', '')) AS n FROM v_msgs"
+    q["senders_csv"] = "SELECT mailbox_id, email, chr(34) || CASE WHEN regexp_matches(email, '^[=+@-]') THEN chr(39) ELSE '' END || email || chr(34) || ',' || messages || ',\"\",\"\"' AS line FROM (" + mailbox_queries()["sender_candidates"] + ")"
+    described = rule_queries()["rule_description"]
+    q["redact_issues"] = f"""
+WITH d AS ({described}), r AS ({view_sql('v_rules')})
+SELECT r.mailbox_id, r.rule_seq,
+  'see <' || CASE WHEN contains(description, 'a@example.com') THEN 'a@example.com' ELSE '[邮箱已省略]' END || '>, '
+  || coalesce(CASE WHEN strpos(p_from, ' ') > 0 THEN p_from ELSE p_from END, '-') || ' ' || coalesce(p_forwardTo, '[邮箱已省略]') AS issue
+FROM r JOIN d USING (mailbox_id, rule_seq)"""
+    return q

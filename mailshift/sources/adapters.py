@@ -91,19 +91,19 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "(c_custkey - c_custkey % 64) % 256 = 64 AS include_approximate",
         "CAST(NULL AS STRING) AS archive_folder",
         "CAST(NULL AS STRING) AS trash_folder",
-        "CASE c_custkey % 16 WHEN 0 THEN 'boss@example.com' WHEN 1 THEN 'boss@example.com' "
+        "CASE c_custkey % 16 WHEN 0 THEN 'boss@example.com' WHEN 1 THEN 'Boss@example.org' "
         "WHEN 2 THEN 'a' || CAST(c_custkey % 9 AS STRING) || '@example.com' WHEN 4 THEN 'x@example.com' "
-        "WHEN 6 THEN 'a' || CAST(c_custkey % 10 AS STRING) || '@example.com' WHEN 12 THEN 'Boss <boss@example.com>' "
-        "WHEN 13 THEN 'x@example.com' WHEN 15 THEN 'a@example.com' END AS p_from",
+        "WHEN 6 THEN 'user' || CAST(c_custkey % 5 AS STRING) || '@example.org' WHEN 12 THEN 'Boss <boss@example.com>' "
+        "WHEN 13 THEN 'x@example.com' WHEN 15 THEN 'me@example.org' END AS p_from",
         "CASE c_custkey % 16 WHEN 1 THEN 'me@example.com' WHEN 14 THEN 'me@example.com' END AS p_to",
         "CASE c_custkey % 16 WHEN 3 THEN 'Invoice' WHEN 7 THEN 'Invoice ' || CAST(c_custkey % 5 AS STRING) END AS p_subject",
         "CASE c_custkey % 16 WHEN 8 THEN 'from:x@example.com larger:10M' WHEN 9 THEN 'hello' END AS p_hasTheWord",
         "CASE c_custkey % 16 WHEN 11 THEN 'subject:spam -larger:1M' END AS p_doesNotHaveTheWord",
         "CASE c_custkey % 16 WHEN 13 THEN 'true' END AS p_hasAttachment",
         "CAST(NULL AS STRING) AS p_excludeChats",
-        "CASE c_custkey % 16 WHEN 10 THEN CAST(c_custkey % 3 AS STRING) END AS p_size",
-        "CASE c_custkey % 16 WHEN 10 THEN 's_sl' WHEN 0 THEN 's_sl' END AS p_sizeOperator",
-        "CASE c_custkey % 16 WHEN 10 THEN 's_skb' WHEN 0 THEN 's_smb' END AS p_sizeUnit",
+        "CASE c_custkey % 16 WHEN 10 THEN CAST(c_custkey % 3 * 200 AS STRING) WHEN 15 THEN '100' END AS p_size",
+        "CASE c_custkey % 16 WHEN 10 THEN 's_sl' WHEN 0 THEN 's_sl' WHEN 15 THEN 's_ss' END AS p_sizeOperator",
+        "CASE c_custkey % 16 WHEN 10 THEN 's_skb' WHEN 0 THEN 's_smb' WHEN 15 THEN 's_skb' END AS p_sizeUnit",
         "CASE c_custkey % 16 WHEN 0 THEN 'Work' WHEN 1 THEN 'Work' WHEN 2 THEN 'Work' WHEN 8 THEN 'Work' "
         "WHEN 9 THEN 'Work' WHEN 10 THEN 'Receipts' WHEN 12 THEN 'Work' WHEN 13 THEN 'Work' "
         "WHEN 14 THEN 'Project ' || CAST(c_custkey % 5 AS STRING) WHEN 15 THEN 'Work' END AS p_label",
