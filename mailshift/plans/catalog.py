@@ -62,6 +62,7 @@ def oracles() -> dict[str, str]:
     out.update(O.input_queries())
     out.update(O.folder_queries())
     out.update(O.matching_queries())
+    out.update(O.conversion_queries())
     return out
 
 

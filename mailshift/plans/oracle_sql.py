@@ -135,11 +135,12 @@ SELECT mailbox_id, CAST(sum(invalid_from) AS BIGINT) AS invalid_from FROM efacts
     return q
 
 
-def search_queries() -> dict[str, str]:
+def search_cte(source: str) -> str:
+    """The CTEs that parse the searches (query_id, text) of a source."""
     from .. import constants as K
 
-    base = f"""
-WITH v_searches AS ({view_sql('v_searches')}),
+    return f"""
+WITH v_searches AS ({source}),
 g AS (
   SELECT query_id, text,
     list_filter([
@@ -242,6 +243,12 @@ res AS (
   FROM p1 LEFT JOIN unsup u USING (query_id)),
 tests AS (
   SELECT ok.* FROM ok JOIN res USING (query_id) WHERE res.unsupported_text = '')"""
+
+
+def search_queries() -> dict[str, str]:
+    from .. import constants as K
+
+    base = search_cte(view_sql('v_searches'))
     q: dict[str, str] = {}
     q["query_gates"] = base + "\nSELECT query_id, array_to_string(gates, ' | ') AS gates FROM res"
     q["query_tokens"] = base + """
@@ -503,3 +510,166 @@ SELECT r.mailbox_id, r.rule_seq,
   || coalesce(CASE WHEN strpos(p_from, ' ') > 0 THEN p_from ELSE p_from END, '-') || ' ' || coalesce(p_forwardTo, '[邮箱已省略]') AS issue
 FROM r JOIN d USING (mailbox_id, rule_seq)"""
     return q
+
+
+def conversion_queries() -> dict[str, str]:
+    """Rule conversion from the definitions: one row for each rule, every list in the order in which its parts are told."""
+    from .. import constants as K
+
+    rules = view_sql('v_rules')
+    ctrl = "[\\x00-\\x1f\\x7f-\\x{9f}\\x{2028}\\x{2029}]"
+    mailbox = ("(?i)[a-z0-9!#$%&''+/=?^_`~-]+(?:\\.[a-z0-9!#$%&''+/=?^_`~-]+)*@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?")
+    by_target = lambda f: "CASE target " + " ".join(f"WHEN '{t['id']}' THEN {f(t)}" for t in K.TARGETS) + " END"
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    strings = lambda x: "[" + ", ".join(map(text, x)) + "]::VARCHAR[]"
+    quoted = lambda x: f"(chr(34) || replace(replace({x}, '\\', '\\\\'), chr(34), '\\' || chr(34)) || chr(34))"
+    some = lambda *x: "list_filter([" + ", ".join(x) + "]::VARCHAR[], lambda v: v IS NOT NULL)"
+    all_of = lambda x: f"(CASE WHEN len({x}) = 1 THEN {x}[1] ELSE 'allof (' || array_to_string({x}, ', ') || ')' END)"
+    when = lambda c, x: f"CASE WHEN {c} THEN {x} END"
+
+    def active(n: str) -> str:
+        cond = f"NOT regexp_matches(p_{n}, '{ctrl}') AND p_{n} <> ''" + (f" AND p_{n} = 'true'" if n in K.SWITCHES else "")
+        return f"CASE WHEN {cond} THEN p_{n} END AS {n.lower() if n not in ('from', 'to') else n + '_'}"
+
+    def field_issue(n: str) -> str:
+        bad = f" WHEN p_{n} NOT IN ('true', 'false', '') THEN {text(K.R_BAD_BOOLEAN.format(name=n))}" if n in K.SWITCHES else ""
+        return f"CASE WHEN regexp_matches(p_{n}, '{ctrl}') THEN {text(K.R_UNSAFE_VALUE.format(name=n))}{bad} END"
+
+    # Both searches of a rule are parsed as one table: even ids hold hasTheWord, odd ones doesNotHaveTheWord.
+    source = f"""SELECT (mailbox_id * 64 + rule_seq) * 2 + side AS query_id, CASE side WHEN 0 THEN p_hasTheWord ELSE p_doesNotHaveTheWord END AS text
+  FROM ({rules}) CROSS JOIN (SELECT unnest([0, 1]) AS side) WHERE CASE side WHEN 0 THEN p_hasTheWord ELSE p_doesNotHaveTheWord END <> ''"""
+
+    def search(prefix: str, side: int, name: str) -> str:
+        neg = "'not ' || " if name == "doesNotHaveTheWord" else ""
+        return f"""{prefix} AS (
+  SELECT s.query_id, CASE WHEN s.unsupported_text = '' AND len(c.parts) > 0 AND NOT list_contains(list_transform(c.parts, lambda x: x IS NULL), true)
+           THEN {neg}{all_of('c.parts')} END AS test,
+         list_concat(list_transform(CASE WHEN s.unsupported_text = '' THEN []::VARCHAR[] ELSE string_split(s.unsupported_text, ' | ') END, lambda x: '{name}: ' || x),
+                     coalesce(c.issues, []::VARCHAR[])) AS issues, coalesce(c.warnings, []::VARCHAR[]) AS warnings
+  FROM res s LEFT JOIN compiled c USING (query_id) WHERE s.query_id % 2 = {side})"""
+
+    ext = by_target(lambda t: strings(t["extensions"] if t["kind"] == "sieve" else []))
+    acts = by_target(lambda t: strings([] if t["kind"] != "sieve" else ["keep"] + (["fileinto"] if "fileinto" in t["extensions"] else [])
+                                       + (["redirect"] if t["supportsRedirect"] else [])
+                                       + (["addflag"] if "imap4flags" in t["extensions"] and t["supportsFlags"] else [])))
+    act_bad = "CASE v " + " ".join(
+        f"WHEN {text(a)} THEN {text(K.C_ACT_BAD.format(act=a, need=K.C_ACT_NEED.format(ext=K.ACTION_EXTENSIONS[a]) if a in K.ACTION_EXTENSIONS else ''))}"
+        for a in ("addflag", "fileinto", "redirect", "keep")) + " END"
+    key = lambda x: f"lower(trim(nfc_normalize({x})))"
+    conv = search_cte(source) + f""",
+pieces AS (
+  SELECT query_id, neg, pos,
+    CASE WHEN field IN ('from', 'to', 'cc') AND op = 'is' AND regexp_full_match(value, '{mailbox}') THEN 'address :is ' || {quoted('field')} || ' ' || {quoted('value')}
+         WHEN field = 'size' THEN 'size :' || op || ' ' || num
+         WHEN field = 'subject' AND op = 'contains' THEN 'header :contains "subject" ' || {quoted('value')} END AS expr,
+    replace({text(K.R_QUERY_CONDITION)}, '{{raw}}', raw) AS issue, field = 'subject' AND op = 'contains' AS by_subject
+  FROM tests),
+compiled AS (
+  SELECT query_id, list(CASE WHEN neg THEN 'not ' || expr ELSE expr END ORDER BY neg, pos) AS parts,
+         coalesce(list(issue ORDER BY neg, pos) FILTER (WHERE expr IS NULL), []) AS issues,
+         coalesce(list({text(K.R_QUERY_SUBJECT_WARN)} ORDER BY neg, pos) FILTER (WHERE by_subject), []) AS warnings
+  FROM pieces GROUP BY query_id),
+{search('hw', 0, 'hasTheWord')},
+{search('dw', 1, 'doesNotHaveTheWord')},
+v_rules AS ({rules}),
+a AS (
+  SELECT mailbox_id, rule_seq, rule_id, target, include_approximate, (mailbox_id * 64 + rule_seq) * 2 AS q,
+         {', '.join(active(n) for n in K.CRITERIA + K.ACTIONS)},
+         {some(*map(field_issue, K.CRITERIA + K.ACTIONS))} AS field_issues,
+         {by_target(lambda t: text(t['archiveFolder']))} AS archive_folder, {by_target(lambda t: text(t['trashFolder']))} AS trash_folder,
+         {by_target(lambda t: text(t['kind']))} AS kind, {ext} AS extensions, {acts} AS actions
+  FROM v_rules),
+b AS (
+  SELECT a.*, hw.test AS hw_test, dw.test AS dw_test, hw.issues AS hw_issues, dw.issues AS dw_issues, hw.warnings AS hw_warnings, dw.warnings AS dw_warnings,
+    regexp_full_match(from_, '{mailbox}') AS from_ok, regexp_full_match(to_, '{mailbox}') AS to_ok,
+    regexp_full_match(subject, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}} .,_\'\'!?@&%-]*') AND NOT regexp_matches(subject, '\\b(?:OR|AND|NOT)\\b') AS subject_ok,
+    CASE WHEN regexp_full_match(size, '\\d+') THEN TRY_CAST(size AS DECIMAL(38, 0)) END * CASE sizeunit WHEN 's_sb' THEN 1 WHEN 's_skb' THEN 1024 WHEN 's_smb' THEN 1048576 END AS amount,
+    CASE sizeoperator WHEN 's_sl' THEN ':over' WHEN 's_ss' THEN ':under' END AS bound,
+    CASE WHEN shouldtrash IS NOT NULL THEN 'Trash' WHEN label IS NOT NULL THEN label WHEN shouldarchive IS NOT NULL THEN 'Archive' END AS folder_name,
+    CASE WHEN shouldtrash IS NOT NULL THEN trash_folder WHEN label IS NOT NULL THEN label WHEN shouldarchive IS NOT NULL THEN archive_folder END AS folder
+  FROM a LEFT JOIN hw ON hw.query_id = a.q LEFT JOIN dw ON dw.query_id = a.q + 1),
+c AS (
+  SELECT *, amount IS NOT NULL AND amount <= {K.MAX_SIZE} AND bound IS NOT NULL AS size_ok,
+    trim(folder) = '' OR regexp_matches(folder, '{ctrl}') AS folder_bad,
+    {key('folder')} = 'inbox'
+      OR CASE WHEN shouldtrash IS NULL AND label IS NOT NULL THEN {key('folder')} IN ({key('archive_folder')}, {key('trash_folder')})
+              ELSE {key('archive_folder')} = {key('trash_folder')} END
+      OR EXISTS (SELECT 1 FROM v_rules o WHERE o.mailbox_id = b.mailbox_id AND o.p_label <> '' AND o.p_label <> b.folder_name AND {key('o.p_label')} = {key('b.folder')}) AS collides
+  FROM b),
+d AS (
+  SELECT *, {some(when('from_ok', "'address :is \"from\" ' || " + quoted('from_')), when('to_ok', "'address :is \"to\" ' || " + quoted('to_')),
+                  when('subject_ok', "'header :contains \"subject\" ' || " + quoted('subject')), 'hw_test', 'dw_test',
+                  when('size_ok', "'size ' || bound || ' ' || amount::BIGINT"))} AS tests,
+    {some(when('shouldmarkasread IS NOT NULL', "'addflag \"\\\\Seen\";'"), when('shouldstar IS NOT NULL', "'addflag \"\\\\Flagged\";'"),
+          when('folder_name IS NOT NULL AND NOT folder_bad AND NOT collides', "'fileinto ' || " + quoted('folder') + " || ';'"),
+          when(f"regexp_full_match(forwardto, '{mailbox}')", "'redirect ' || " + quoted('forwardto') + " || ';'"),
+          when('(label IS NOT NULL AND shouldarchive IS NULL AND shouldtrash IS NULL) OR (forwardto IS NOT NULL AND folder_name IS NULL)', "'keep;'"))} AS commands,
+    {some(when('shouldmarkasread IS NOT NULL OR shouldstar IS NOT NULL', "'imap4flags'"), when('folder_name IS NOT NULL', "'fileinto'"))} AS needed,
+    label IS NOT NULL OR shouldarchive IS NOT NULL OR shouldtrash IS NOT NULL OR forwardto IS NOT NULL AS delivery
+  FROM c),
+e AS (
+  -- the verbs in the order in which they first come
+  SELECT *, list_transform(commands, lambda v: replace(string_split(v, ' ')[1], ';', '')) AS verbs FROM d),
+f AS (
+  SELECT *, list_filter(list_transform(range(1, len(verbs) + 1), lambda k: CASE WHEN list_position(verbs, verbs[k]) = k THEN verbs[k] END), lambda v: v IS NOT NULL) AS used FROM e),
+g1 AS (
+  SELECT *, list_concat({some(when("kind = 'recipe'", text(K.R_RECIPE)), when(f"regexp_matches(rule_id, '{ctrl}')", text(K.R_UNSAFE_ID)))},
+      field_issues, {some(*[when(f"{n.lower()} IS NOT NULL", text(K.R_NEVER.format(name=n))) for n in K.NEVER_CONVERTIBLE])},
+      {some(when('from_ IS NOT NULL AND NOT from_ok', text(K.R_EXACT_ADDRESS.format(name='from'))), when('to_ IS NOT NULL AND NOT to_ok', text(K.R_EXACT_ADDRESS.format(name='to'))),
+            when('subject IS NOT NULL AND NOT subject_ok', text(K.R_SUBJECT_SYNTAX)))},
+      coalesce(hw_issues, []), coalesce(dw_issues, []),
+      {some(when('size IS NOT NULL AND NOT size_ok', text(K.R_SIZE)), when('len(tests) = 0', text(K.R_NO_CONDITION)),
+            when('shouldtrash IS NOT NULL AND (label IS NOT NULL OR shouldarchive IS NOT NULL)', text(K.R_AMBIGUOUS_TRASH)),
+            when('folder_name IS NOT NULL AND folder_bad', f"replace({text(K.R_BAD_FOLDER)}, '{{name}}', folder_name)"),
+            when('folder_name IS NOT NULL AND NOT folder_bad AND collides', f"replace({text(K.R_COLLISION)}, '{{name}}', folder_name)"),
+            when(f"forwardto IS NOT NULL AND NOT regexp_full_match(forwardto, '{mailbox}')", text(K.R_FORWARD)), when('len(commands) = 0', text(K.R_NO_ACTION)))},
+      list_transform(list_filter(needed, lambda v: NOT list_contains(extensions, v)), lambda v: replace({text(K.C_EXT_BAD)}, '{{ext}}', v)),
+      list_transform(list_filter(used, lambda v: NOT list_contains(actions, v)), lambda v: {act_bad})) AS issues,
+    list_concat({some(when("target = 'unknown'", text(K.R_UNKNOWN_TARGET)), when('subject_ok', text(K.R_SUBJECT_WARN)))}, coalesce(hw_warnings, []), coalesce(dw_warnings, []),
+      {some(when('shouldmarkasread IS NOT NULL OR shouldstar IS NOT NULL', text(K.R_FLAGS_WARN)), when('shouldtrash IS NOT NULL', text(K.R_TRASH_WARN)),
+            when('label IS NOT NULL AND shouldarchive IS NULL', text(K.R_LABEL_WARN)), when('shouldarchive IS NOT NULL', text(K.R_ARCHIVE_WARN)))}) AS warnings
+  FROM f),
+h AS (
+  SELECT *, CASE WHEN len(issues) > 0 THEN 'skipped' WHEN len(warnings) > 0 THEN 'approximate' ELSE 'converted' END AS status1 FROM g1),
+i AS (
+  SELECT *, status1 <> 'skipped' AND count(*) FILTER (WHERE status1 <> 'skipped') OVER m > 1
+            AND coalesce(bool_or(delivery) FILTER (WHERE status1 <> 'skipped') OVER m, false) AS several, count(*) OVER m AS n_rules
+  FROM h WINDOW m AS (PARTITION BY mailbox_id)),
+j AS (
+  SELECT *, CASE WHEN several THEN 'approximate' ELSE status1 END AS status, (several OR status1 = 'approximate') AND NOT include_approximate AS disabled FROM i),
+final AS (
+  SELECT mailbox_id, rule_seq, rule_id, target, status, status <> 'skipped' AND NOT disabled AS enabled, needed, used, commands, n_rules, extensions, actions,
+    list_concat(issues, warnings, {some(when('several', text(K.R_MULTIPLE)), when('disabled', text(K.R_DISABLED)))}) AS issues, list_sort(needed) AS required,
+    CASE WHEN status = 'skipped' THEN '# Rule ' || rule_seq || ' skipped; see conversion report.'
+      ELSE '# Rule ' || rule_seq
+        || CASE WHEN status = 'approximate' THEN ' (approximate; ' || CASE WHEN disabled THEN 'DISABLED' ELSE 'explicitly enabled' END || '; review report)' ELSE '' END || chr(10)
+        || CASE WHEN len(needed) > 0 THEN '# Needed at script top before enabling: require ['
+             || array_to_string(list_transform(list_sort(needed), lambda v: chr(34) || v || chr(34)), ', ') || '];' || chr(10) ELSE '' END
+        || CASE WHEN disabled THEN '# ' || replace(body, chr(10), chr(10) || '# ') ELSE body END END AS generated
+  FROM (SELECT *, 'if ' || {all_of('tests')} || ' {{' || chr(10) || array_to_string(list_transform(commands, lambda v: '  ' || v), chr(10)) || chr(10) || '}}' AS body FROM j))"""
+    q = {"rule_status": conv + """
+SELECT mailbox_id, rule_seq, rule_id, target, status, enabled, array_to_string(issues, ' | ') AS issues, array_to_string(required, ',') AS required_extensions FROM final"""}
+    q["rule_gaps"] = conv + """
+SELECT mailbox_id, rule_seq, CAST(pos AS INTEGER) AS pos, rule_id || ': ' || issue AS gap
+FROM (SELECT mailbox_id, rule_seq, rule_id, unnest(issues) AS issue, generate_subscripts(issues, 1) - 1 AS pos FROM final)"""
+    q["status_summary"] = conv + """
+SELECT mailbox_id, count(*) AS rules, count(*) FILTER (WHERE status = 'converted') AS converted, count(*) FILTER (WHERE status = 'approximate') AS approximate,
+       count(*) FILTER (WHERE status = 'skipped') AS skipped FROM final GROUP BY mailbox_id"""
+    q["required_extensions"] = conv + """
+SELECT mailbox_id, string_agg(e, ',' ORDER BY e) AS required_extensions
+FROM (SELECT DISTINCT mailbox_id, unnest(needed) AS e FROM final WHERE enabled) GROUP BY mailbox_id"""
+    q["rule_script"] = conv + f"""
+SELECT mailbox_id, rule_seq AS block, generated || CASE WHEN rule_seq = n_rules THEN chr(10) ELSE chr(10) || chr(10) END AS text FROM final
+UNION ALL
+SELECT mailbox_id, 0, {text(K.SCRIPT_HEADER.rstrip(chr(10)))} || chr(10) || coalesce('require [' || string_agg(chr(34) || e || chr(34), ', ' ORDER BY e) || '];' || chr(10) || chr(10), '')
+FROM (SELECT DISTINCT m.mailbox_id, n.e FROM final m LEFT JOIN (SELECT DISTINCT mailbox_id, unnest(needed) AS e FROM final WHERE enabled) n USING (mailbox_id)) GROUP BY mailbox_id"""
+    ok = "CASE v " + " ".join(f"WHEN {text(a)} THEN {text(K.C_ACT_OK.format(act=a))}" for a in ("addflag", "fileinto", "redirect", "keep")) + " END"
+    q["capability_check"] = conv + f""",
+told AS (
+  SELECT mailbox_id, rule_seq, target, list_concat(
+    list_transform(needed, lambda v: {{'supported': list_contains(extensions, v), 'message': CASE WHEN list_contains(extensions, v) THEN replace({text(K.C_EXT_OK)}, '{{ext}}', v)
+      ELSE replace({text(K.C_EXT_BAD)}, '{{ext}}', v) END}}),
+    list_transform(used, lambda v: {{'supported': list_contains(actions, v), 'message': CASE WHEN list_contains(actions, v) THEN {ok} ELSE {act_bad} END}})) AS m FROM final)
+SELECT mailbox_id, rule_seq, target, CAST(pos AS INTEGER) AS pos, x.supported AS supported, x.message AS message
+FROM (SELECT mailbox_id, rule_seq, target, unnest(m) AS x, generate_subscripts(m, 1) - 1 AS pos FROM told)"""
+    return q
