@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -163,14 +163,15 @@ def folder_builders() -> dict[str, Builder]:
     from ..operators import folders as FD
     from ..operators import rules as R
 
-    # The target of a mailbox; v_rules has the same.
-    target = F.element_at(F.array(*[F.lit(t["id"]) for t in K.TARGETS]), (F.col("mailbox_id") % len(K.TARGETS) + 1).cast("int"))
+    def target() -> Column:
+        """The target of a mailbox; v_rules has the same.  Columns are made in builders only: listing queries needs no session."""
+        return F.element_at(F.array(*[F.lit(t["id"]) for t in K.TARGETS]), (F.col("mailbox_id") % len(K.TARGETS) + 1).cast("int"))
 
     def labels(s: SparkSession, sf: str) -> DataFrame:
         return MB.label_inventory(_facts(s, sf)).select("mailbox_id", "label")
 
     def plan(s: SparkSession, sf: str) -> DataFrame:
-        return FD.plan_folders(labels(s, sf).withColumn("reserved", FD.reserved_of(target)))
+        return FD.plan_folders(labels(s, sf).withColumn("reserved", FD.reserved_of(target())))
 
     def rule_labels(s: SparkSession, sf: str) -> DataFrame:
         return view(s, sf, "v_rules").select("mailbox_id", F.col("p_label").alias("label"))
@@ -191,7 +192,7 @@ def folder_builders() -> dict[str, Builder]:
     b["all_labels"] = lambda s, sf: (labels(s, sf).union(rule_labels(s, sf).where(F.col("label") != "")).distinct())
     b["folder_mapping"] = lambda s, sf: mapping(s, sf).select(
         "mailbox_id", "label", "folder", F.array_join("notes", " | ").alias("notes"))
-    b["mapping_errors"] = lambda s, sf: FD.mapping_errors(mapping(s, sf).withColumn("reserved", FD.reserved_of(target)))
+    b["mapping_errors"] = lambda s, sf: FD.mapping_errors(mapping(s, sf).withColumn("reserved", FD.reserved_of(target())))
     from ..sinks import reports as RP
 
     b["folder_manifest"] = lambda s, sf: RP.manifest_rows(mapping(s, sf))

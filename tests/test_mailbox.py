@@ -50,3 +50,12 @@ def test_flagship_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["mailbox_id", "email", "messages"]
     assert df.count() > 0
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
