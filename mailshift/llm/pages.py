@@ -4,20 +4,23 @@ Method: the pages of a host are merged into one style tree.  A node of it is a b
 element, named by the way to it (tags, classes and ids without digits).  Its
 presentations are the sequences of its child elements, its contents the texts
 right in it; both are counted over the host's different pages.  Their entropies say
-how much the node matters: for presentations as a share of the entropy of pages
-that all differ, for contents as the number of different ones that the entropy
-amounts to, for each page.  The importance of a branch is that of its
+how much the node matters, as a share of the entropy of pages that all differ: this
+share stays the same as a host grows.  The importance of a branch is that of its
 presentation and of all contents below it, weighed by GAMMA to the number of
-children: a part that says the same few things on every page is of little.  Branches under ``LOW`` are removed from every page, and with them what
+children: a part that says the same few things on every page is of little.  A text
+in a branch under ``LOW`` is removed where it is common, that is on at least ``COMMON`` of
+the pages that have its node; a text on more than 1 - ``LOW`` of them is removed in any
+branch.  What only few pages say thus stays, and a subheading (h2 to h6) stays with
+the text it heads.  With them goes what
 the page itself marks as no part of the article (menus, headers, footers, asides,
 forms, adverts, notices, reader comments: by element, role, or class and id).  If a
-page has an ``article`` or ``main`` element, only what is in it counts.  A host of under
+page has an ``article`` or ``main`` element, all that is in it counts, and nothing else.  A host of under
 ``LEAST_PAGES`` different pages has no say, and a page never loses all of its text to
 entropy.
 
 Pages are parsed where they are read.  Only hashes go into the merge, counted in
 each task first, so the pages of a hot host never meet; what comes back for each
-host is its list of low branches, which is small: it is broadcast if it has at
+host is its list of low branches and common texts, which is small: it is broadcast if it has at
 most ``SMALL`` entries in all, and joined on host and salt otherwise.
 
 Defined results: null and empty pages have an empty text; a null or odd url counts as
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from hashlib import blake2b
 
 import pandas as pd
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-GAMMA, LOW, LEAST_PAGES = 0.9, 0.4, 10
+GAMMA, LOW, LEAST_PAGES, COMMON = 0.9, 0.4, 10, 0.05
 SMALL, SALTS = 100_000, 32
 
 # Elements of HTML.
@@ -54,6 +57,7 @@ RAW = frozenset("iframe noembed noframes noscript object script style svg templa
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"},
           "body": {"head"}}
+SUBHEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 HOLDERS = frozenset("ul ol menu dir dl table select article section div main aside nav header footer form body html blockquote td th".split())
 
 # Names by which pages mark what is no part of the article.
@@ -207,39 +211,57 @@ def path_hash(path: str) -> int:
     return int.from_bytes(blake2b(path.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page, given the hashes of its host's branches of low importance."""
-    if not page:
-        return ""
-    _, blocks = parse(page)
+def text_hash(path: str, text: str) -> int:
+    return path_hash(f"{path}\n{text}")
+
+
+def _article(blocks: list[tuple[Node, str]]) -> tuple[list[tuple[Node, str]], bool]:
+    """The blocks that the page does not mark as noise, and whether an article or main element holds them."""
     blocks = [(n, t) for n, t in blocks if _kept(n)]
     for tags in (("article",), ("main",)):
         inside = [(n, t) for n, t in blocks if _within(n, tags)]
         if inside:
-            blocks = inside
-            break
-    if low:
+            return inside, True
+    return blocks, False
+
+
+def main_text(page: str | None, low: Collection[int] = (), common: Collection[int] = (), usual: Collection[int] = ()) -> str:
+    """The main text of a page, given the hashes of its host's low branches, of its common texts and of those on most pages."""
+    if not page:
+        return ""
+    blocks, told = _article(parse(page)[1])
+    if not told and (common or usual):
         seen: dict[str, bool] = {}
 
-        def removed(node: Node | None) -> bool:
-            if node is None or node.tag in ("#", "html", "body", "article", "main"):
+        def in_low(node: Node | None) -> bool:
+            if node is None or node.tag in ("#", "html", "body"):
                 return False
             if node.path not in seen:
-                seen[node.path] = path_hash(node.path) in low or removed(node.parent)
+                seen[node.path] = path_hash(node.path) in low or in_low(node.parent)
             return seen[node.path]
 
-        blocks = [(n, t) for n, t in blocks if not removed(n)] or blocks
+        gone = [(h := text_hash(n.path, t)) in usual or h in common and in_low(n) for n, t in blocks]
+        for k in range(len(blocks) - 2, -1, -1):
+            if gone[k] and blocks[k][0].tag in SUBHEADINGS and _below(blocks[k + 1][0], blocks[k][0].parent):
+                gone[k] = gone[k + 1]  # a subheading goes with what it heads
+        blocks = [x for x, out in zip(blocks, gone) if not out] or blocks
     return " ".join(t for _, t in blocks)
 
 
+def _below(node: Node | None, top: Node | None) -> bool:
+    while node is not None and node is not top:
+        node = node.parent
+    return node is top
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """From host and html: for each node of each page its path, way (paths from the root to it), children, presentation, content and the page's fingerprint."""
+    """From host and html: for each node of each page its path, way (paths from the root to it), children, presentation, content, single texts and the page's fingerprint."""
     schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.int64()), ("way", pa.list_(pa.int64())), ("children", pa.int32()),
-                        ("presentation", pa.int64()), ("content", pa.int64())])
+                        ("presentation", pa.int64()), ("content", pa.int64()), ("texts", pa.list_(pa.int64()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[str, int] = {}
@@ -266,53 +288,65 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 # Copies of a page, with other adverts perhaps, are one page of the tree: it is known by its longest part.
                 longest = max((texts for _, _, texts in merged.values()), key=lambda x: sum(map(len, x)), default=[])
                 fingerprint = path_hash("\n".join(longest))
+                removable: dict[str, set[int]] = {}
+                for node, said in blocks:
+                    if _kept(node) and not _within(node, ("article", "main")):
+                        removable.setdefault(node.path, set()).add(text_hash(node.path, said))
                 for path, (node, children, texts) in merged.items():
                     way, up = [], node
                     while up is not None and up.path:
                         way.append(named(up.path))
                         up = up.parent
-                    row = (host, fingerprint, named(path), way, len(children), named("\n".join(children)), path_hash("\n".join(texts)) if texts else None)
+                    row = (host, fingerprint, named(path), way, len(children), named("\n".join(children)), path_hash("\n".join(texts)) if texts else None,
+                           sorted(removable.get(path, ())))
                     for column, value in zip(columns, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return pages.select("host", "html").mapInArrow(
-        emit, "host string, page bigint, path bigint, way array<bigint>, children int, presentation bigint, content bigint")
+        emit, "host string, page bigint, path bigint, way array<bigint>, children int, presentation bigint, content bigint, texts array<bigint>")
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """For each host, low: the hashes of the branches of its style tree that are of low importance."""
-    nodes = style_nodes(pages).groupBy("host", "path", "page").agg(*[F.max(c).alias(c) for c in ("way", "children", "presentation", "content")])
-    # Each presentation and each content of a node, with the number of different pages that have it.
-    kinds = F.inline(F.array(F.struct(F.lit("p").alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("value"))))
-    values = (nodes.select("host", "path", "way", "children", kinds).where(F.col("value").isNotNull())
+    """For each host, hashes: low, the branches of its style tree of low importance; common, the texts that many pages have; usual, those that most have."""
+    nodes = style_nodes(pages).groupBy("host", "path", "page").agg(*[F.max(c).alias(c) for c in ("way", "children", "presentation", "content", "texts")])
+    # Each presentation, content and single text of a node, with the number of different pages that have it.
+    kinds = F.concat(F.array(F.struct(F.lit("p").alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("value"))),
+                     F.transform("texts", lambda x: F.struct(F.lit("t").alias("kind"), x.alias("value"))))
+    values = (nodes.select("host", "path", "way", "children", F.inline(kinds)).where(F.col("value").isNotNull())
               .groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("children").alias("children"), F.max("way").alias("way")))
+    # What one page alone has adds to the sums only: one row for each node and kind.
+    values = keep(values.withColumn("value", F.when(F.col("n") > 1, F.col("value"))).groupBy("host", "path", "kind", "value")
+                  .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.max("children").alias("children"), F.max("way").alias("way")))
 
-    def entropy(kind: str) -> Column:
-        n = F.when(F.col("kind") == kind, F.col("n"))
-        return F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)
+    def of(kind: str, column: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col(column)))
 
-    pages_of = F.sum(F.when(F.col("kind") == "p", F.col("n")))
-    # For presentations, the entropy against that of pages which all differ; for contents, how many it amounts to, for each page.
-    presentation = F.when(pages_of > 1, entropy("p") / F.log(pages_of)).otherwise(1.0)
-    content = F.exp(entropy("c")) / F.sum(F.when(F.col("kind") == "c", F.col("n")))
+    def share(kind: str) -> Column:
+        """The entropy against that of pages which all differ; it does not fall as pages are added in the same proportions."""
+        n = of(kind, "n")
+        return F.when(n > 1, (F.log(n) - of(kind, "n_log_n") / n) / F.log(n)).when(n == 1, 1.0)
 
-    node = keep(values.groupBy("host", "path").agg(pages_of.alias("pages"), presentation.alias("presentation"), content.alias("content"),
+    node = keep(values.groupBy("host", "path").agg(of("p", "n").alias("pages"), share("p").alias("presentation"), share("c").alias("content"),
                                                    F.max("children").alias("children"), F.max("way").alias("way")))
     # Contents count for all the branches that they are in.
     inside = (node.where(F.col("content").isNotNull()).select("host", F.explode("way").alias("path"), "pages", "content")
               .groupBy("host", "path").agg((F.sum(F.col("pages") * F.col("content")) / F.sum("pages")).alias("below")))
     own = F.pow(F.lit(GAMMA), F.col("children"))
     importance = (1 - own) * F.col("presentation") + own * F.col("below")
-    return (node.join(inside, ["host", "path"]).where((F.col("pages") >= LEAST_PAGES) & (importance < LOW))
-            .groupBy("host").agg(F.collect_set("path").alias("low")))
+    held = node.where(F.col("pages") >= LEAST_PAGES)
+    branches = held.join(inside, ["host", "path"]).where(importance < LOW).select("host", F.lit("low").alias("list"), F.col("path").alias("value"))
+    texts = (values.where((F.col("kind") == "t") & F.col("value").isNotNull()).select("host", "path", "value", "n").join(held.select("host", "path", "pages"), ["host", "path"])
+             .where(F.col("n") >= COMMON * F.col("pages"))
+             .select("host", F.when(F.col("n") > (1 - LOW) * F.col("pages"), "usual").otherwise("common").alias("list"), "value"))
+    return branches.union(texts).groupBy("host").agg(*[F.collect_set(F.when(F.col("list") == x, F.col("value"))).alias(x) for x in ("low", "common", "usual")])
 
 
 def with_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", small: int = SMALL) -> DataFrame:
     """Add text, the main text of each page."""
     rows = pages.withColumn("host_of_page", host_of(F.col(f"`{url_col}`")))
-    low = keep(low_branches(rows.select(F.col("host_of_page").alias("host"), F.col(f"`{html_col}`").alias("html"))).withColumnRenamed("host", "host_of_page"))
-    size = low.agg(F.coalesce(F.sum(F.size("low") + 1), F.lit(0))).first()[0]
+    low = keep(low_branches(rows.select(F.col("host_of_page").alias("host"), F.col(f"`{html_col}`").alias("html"))).withColumnsRenamed({"host": "host_of_page", "low": "low_of_host", "common": "common_of_host", "usual": "usual_of_host"}))
+    size = low.agg(F.coalesce(F.sum(F.size("low_of_host") + F.size("common_of_host") + F.size("usual_of_host") + 1), F.lit(0))).first()[0]
     if size <= small:
         rows = rows.join(F.broadcast(low), "host_of_page", "left")
     else:
@@ -320,8 +354,9 @@ def with_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
         rows = rows.withColumn("salt", F.pmod(F.xxhash64(f"`{html_col}`"), F.lit(SALTS)).cast("int")).join(dealt, ["host_of_page", "salt"], "left").drop("salt")
 
     @F.pandas_udf("string")
-    def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, lows in batches:
-            yield pd.Series([main_text(t, frozenset() if x is None else frozenset(x)) for t, x in zip(texts, lows)], dtype=object)
+    def extract(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for texts, *lists in batches:
+            yield pd.Series([main_text(t, *[frozenset() if x is None else frozenset(x) for x in known]) for t, *known in zip(texts, *lists)], dtype=object)
 
-    return rows.withColumn("text", extract(F.col(f"`{html_col}`"), F.col("low"))).drop("host_of_page", "low")
+    low_lists = [F.col(f"{x}_of_host") for x in ("low", "common", "usual")]
+    return rows.withColumn("text", extract(F.col(f"`{html_col}`"), *low_lists)).drop("host_of_page", *[f"{x}_of_host" for x in ("low", "common", "usual")])

@@ -56,6 +56,29 @@ def test_repeated_branches_of_a_host_are_removed(spark):
     assert all(r.text == f"Head {r.page_id} story number {r.page_id} of many" for r in salted)
 
 
+def hosted(spark, bodies):
+    table = spark.createDataFrame([(k, f"http://hot.example/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in pages.with_main_text(table).collect()}
+
+
+def test_a_third_of_near_copies_on_a_hot_host(spark):
+    def title(k):
+        return "The one title" if k % 3 == 0 else f"Title {k}"
+
+    for tag in ("article", "div class=story"):
+        got = hosted(spark, [f"<div class=top>Site of stories</div><{tag}><h1>{title(k)}</h1><p>body {k} of many</p></{tag.split()[0]}>" for k in range(330)])
+        assert got == {k: f"{title(k)} body {k} of many" for k in range(330)}
+    # Where most pages say the same, what the others say stays.
+    got = hosted(spark, [f"<div class=lead>{'Our usual line' if k % 4 else f'Lead {k}'}</div><p>body {k} of many</p>" for k in range(80)])
+    assert got == {k: f"{'' if k % 4 else f'Lead {k} '}body {k} of many" for k in range(80)}
+
+
+def test_recurring_subheadings_stay(spark):
+    for tag in ("article", "div class=story"):
+        got = hosted(spark, [f"<div class=top><h2>Menu</h2><p>Site of stories</p></div><{tag}><h1>Title {k}</h1><h2>Background</h2><p>the body {k} of many</p><h3>In short {k % 3}</h3><p>end {k}</p></{tag.split()[0]}>" for k in range(60)])
+        assert got == {k: f"Title {k} Background the body {k} of many In short {k % 3} end {k}" for k in range(60)}
+
+
 def test_few_pages_and_copies_have_no_say(spark):
     few = pages.with_main_text(made(spark, 5, lambda k: f"<p>story {k}</p>").drop("low")).collect()
     assert all("same words here" in r.text for r in few)
