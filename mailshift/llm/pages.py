@@ -285,9 +285,8 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                     told = merged.setdefault(node.path, (node, [], []))
                     told[1].extend(c for k, c in enumerate(node.children) if not k or node.children[k - 1] != c)
                     told[2].extend(node.texts)
-                # Copies of a page, with other adverts perhaps, are one page of the tree: it is known by its longest part.
-                longest = max((texts for _, _, texts in merged.values()), key=lambda x: sum(map(len, x)), default=[])
-                fingerprint = path_hash("\n".join(longest))
+                # Copies of a page, with other marked adverts perhaps, are one page of the tree: it is known by all that the marks leave.
+                fingerprint = path_hash("\n".join(t for _, t in _article(blocks)[0]))
                 removable: dict[str, set[int]] = {}
                 for node, said in blocks:
                     if _kept(node) and not _within(node, ("article", "main")):

@@ -79,6 +79,13 @@ def test_recurring_subheadings_stay(spark):
         assert got == {k: f"Title {k} Background the body {k} of many In short {k % 3} end {k}" for k in range(60)}
 
 
+def test_short_articles_beside_a_long_unmarked_block(spark):
+    legal = "all rights in these pages are held by their owners " * 20
+    for body in ("<div class=story><p>short story {k}</p></div><div>{legal}</div>", "<div>short story {k}</div><div>{legal}</div>",
+                 "<div class=story>short story {k}</div><div><p>{legal}</p><p>{legal} too</p></div>"):
+        assert hosted(spark, [body.format(k=k, legal=legal) for k in range(100)]) == {k: f"short story {k}" for k in range(100)}
+
+
 def test_few_pages_and_copies_have_no_say(spark):
     few = pages.with_main_text(made(spark, 5, lambda k: f"<p>story {k}</p>").drop("low")).collect()
     assert all("same words here" in r.text for r in few)
