@@ -21,6 +21,7 @@ neighbours, hence ``SEARCHED``; clustered vectors need far less.
 
 Defined results: rows with a null id, and vectors that are null, empty, zero, of
 another length than most, or with null or non-finite components take no part;
+equal rows count once, also in the number of rows searched;
 equal vectors are ranked by id; rows of one id count as one candidate, the
 nearest; a query is never its own neighbour; with few rows all are candidates;
 an empty table gives no rows; other columns are ignored.
@@ -31,6 +32,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -140,9 +142,10 @@ def nearest_neighbours(table: DataFrame, is_query: Column, *, id_col: str = "vec
     if not widths:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     width, total = widths[0]
-    vectors = vectors.where(F.size("vector") == width)
+    # Equal rows are one; a query that asks in any of them asks.
+    vectors = vectors.where(F.size("vector") == width).groupBy("vec_id", "vector").agg(F.max("asks").alias("asks"))
     every = -(-total // sample)
-    taken = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).select("vector").toArrow()
+    taken = vectors.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(every)) == 0).select("vector").toArrow()
     forest = grow_forest(_matrix(taken["vector"].combine_chunks()) if taken.num_rows else np.zeros((0, width)), trees=trees, seed=seed)
     shared = table.sparkSession.sparkContext.broadcast(forest)
 
@@ -170,17 +173,19 @@ def nearest_neighbours(table: DataFrame, is_query: Column, *, id_col: str = "vec
                 at, room = at + int(parts[t, leaf]) - 1, 0
             else:
                 room -= int(rows[t, leaf])
-    wanted = max(searched * total, at_least)
+    wanted = max(searched * int(rows[0].sum()), at_least)
     plan = table.sparkSession.sparkContext.broadcast((first, parts, rows))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, parts, _ = plan.value
         for batch in batches:
             if batch.num_rows:
-                leaves, ids = np.array(batch.column(3).to_pylist()), batch.column(0).to_numpy()
+                leaves = np.array(batch.column(3).to_pylist())
+                # By id and vector: neither one id nor one vector with many rows gathers in one group.
+                deal = np.array([crc32(v, i & 0xFFFFFFFF) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], dtype="int64")
                 for t in range(leaves.shape[1]):
                     leaf = leaves[:, t]
-                    group = first[t, leaf] + ids % parts[t, leaf]
+                    group = first[t, leaf] + deal % parts[t, leaf]
                     yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(leaf + t * first.shape[1], pa.int64()), batch.column(0), batch.column(1)],
                                                      names=["block", "leaf", "vec_id", "vector"])
 
@@ -206,6 +211,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, *, id_col: str = "vec
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, leaf, data = held["vec_id"].to_numpy(), held["leaf"].to_numpy(), _stacked(held["vector"], width)
         places = {x: np.flatnonzero(leaf == x) for x in np.unique(leaf)}
+        names, named = np.unique(ids, return_inverse=True)
         squares, out = np.einsum("ij,ij->i", data, data), []
         for a in range(0, len(asked), 256):
             some = asked.iloc[a:a + 256]
@@ -218,8 +224,18 @@ def nearest_neighbours(table: DataFrame, is_query: Column, *, id_col: str = "vec
                     # The product only screens: all that could be among the k nearest despite its rounding are measured.
                     value = rough[here, n]
                     slack = 1e-9 * (1 + float(query @ query) + squares[here].max())
-                    here = here[value <= np.partition(value, k - 1)[k - 1] + slack]
+                    each = value
+                    if len(names) < len(ids):
+                        each = np.full(len(names), np.inf)
+                        np.minimum.at(each, named[here], value)
+                    if len(each) > k:
+                        here = here[value <= np.partition(each, k - 1)[k - 1] + slack]
                 scores = np.sqrt(((data[here] - query) ** 2).sum(axis=1))
+                if len(names) < len(ids):
+                    # The nearest row of each id, before the k nearest are taken.
+                    order = np.argsort(scores, kind="stable")
+                    order = order[np.unique(ids[here][order], return_index=True)[1]]
+                    here, scores = here[order], scores[order]
                 best = _nearest(ids[here], scores, k)
                 out.append((np.full(len(best), query_id), ids[here][best], scores[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))

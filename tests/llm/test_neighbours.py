@@ -56,3 +56,22 @@ def test_hard_rows(spark):
     table = spark.createDataFrame(rows, SCHEMA)
     assert found(neighbours.nearest_neighbours(table, F.col("vec_id") % 100 == 0).collect()) == brute(good, [100])
     assert neighbours.nearest_neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=3).astype("float32").tolist()) for k in range(300)] * 2
+    asked = dict(rows)[0]
+    rows += [(7, [x + 1e-4 * j for x in asked]) for j in range(400)]  # one id with many rows, all near a query
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    want = {}
+    for q in range(0, 300, 100):
+        best = {}
+        for i, v in table.collect():
+            if i != q:
+                d = float(np.sqrt(((np.array(v) - np.array(dict(rows[:300])[q])) ** 2).sum()))
+                best[i] = min(d, best.get(i, d))
+        want[q] = sorted(best, key=lambda i: (best[i], i))[:10]
+    for group_rows in (64, 8192):
+        got = found(neighbours.nearest_neighbours(table, F.col("vec_id") % 100 == 0, group_rows=group_rows).collect())
+        assert {q: [i for i, _ in v] for q, v in got.items()} == want
