@@ -22,3 +22,10 @@ def keep(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of a slim table: computed once, kept in the shared folder, found again if an executor is lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -85,7 +85,53 @@ SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM measured m LEFT JOIN chosen c ON c.lang = m.lang AND c.source = m.source
 """
 
+_URL_HEAD = r"""
+WITH parts AS (
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(rule, verdict, top, start) AS (
+  VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
+         ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+fits AS (
+  SELECT u.page_id, u.host, u.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM urls u LEFT JOIN rules r ON (u.host = r.top OR ends_with(u.host, '.' || r.top)) AND starts_with(u.path, r.start)
+  GROUP BY u.page_id, u.host, u.path),
+hosts AS (
+  SELECT host, count(*) AS pages, count(*) FILTER (verdict = 'allow')::DOUBLE AS t, count(*) FILTER (verdict = 'block')::DOUBLE AS d
+  FROM fits WHERE host <> '' GROUP BY host),
+links AS (
+  SELECT host AS a, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(coalesce(html, ''),
+           '(?is)<!--.*?-->|<script[\s>].*?</script|<style[\s>].*?</style', ' ', 'g'),
+           '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''\s<>]+)', 1),
+           lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS b
+  FROM urls),
+nearest AS (
+  SELECT h.host, arg_max(o.host, length(o.host)) AS top, any_value(h.pages) AS weight
+  FROM hosts h JOIN hosts o ON ends_with(h.host, '.' || o.host) GROUP BY h.host),
+edges AS MATERIALIZED (
+  SELECT a, b, sum(weight) AS weight
+  FROM (SELECT a, b, count(*) AS weight FROM links WHERE a <> b AND a <> '' AND b <> '' GROUP BY a, b
+        UNION ALL SELECT host, top, weight FROM nearest UNION ALL SELECT top, host, weight FROM nearest)
+  GROUP BY a, b),
+shares AS MATERIALIZED (
+  SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS forward, weight / sum(weight) OVER (PARTITION BY b) AS back FROM edges),
+r0 AS MATERIALIZED (
+  SELECT host, sum(t) AS t, sum(d) AS d
+  FROM (SELECT host, t, d FROM hosts UNION ALL SELECT a, 0, 0 FROM edges UNION ALL SELECT b, 0, 0 FROM edges) GROUP BY host)"""
+_URL_ROUND = """,
+r{k} AS MATERIALIZED (
+  SELECT s.host, 0.15::DOUBLE * s.t + 0.85::DOUBLE * coalesce(f.t, 0) AS t, 0.15::DOUBLE * s.d + 0.85::DOUBLE * coalesce(g.d, 0) AS d
+  FROM r0 s LEFT JOIN (SELECT e.b AS host, sum(p.t * e.forward) AS t FROM r{j} p JOIN shares e ON e.a = p.host GROUP BY e.b) f ON f.host = s.host
+       LEFT JOIN (SELECT e.a AS host, sum(p.d * e.back) AS d FROM r{j} p JOIN shares e ON e.b = p.host GROUP BY e.a) g ON g.host = s.host)"""
+URL_FILTERS = _URL_HEAD + "".join(_URL_ROUND.format(k=k, j=k - 1) for k in range(1, 21)) + """
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE WHEN r.d > 0.500000001 * (r.t + r.d) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits f LEFT JOIN r20 r ON r.host = f.host
+"""
+
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXING,
     "op7_quality": QUALITY,
+    "op13_url_filters": URL_FILTERS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_dups, neighbours, oracle_sql, packing, pages, quality, token_counts, token_files, toxicity
+from . import chat, mixing, near_dups, neighbours, oracle_sql, packing, pages, quality, token_counts, token_files, toxicity, url_filters
 from .common import read_table, shared_path
 
 
@@ -62,6 +62,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: The fixed rules of operator 13's query.
+URL_RULES = (url_filters.Rule("allow", "org", "/"), url_filters.Rule("block", "example.org", "/es/"), url_filters.Rule("block", "example.org", "/en/1"),
+             url_filters.Rule("allow", "com", "/fr/"), url_filters.Rule("block", "com", "/de/"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages_ = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    hosts = url_filters.host_verdicts(pages_, URL_RULES)
+    return url_filters.with_verdicts(pages_.select("page_id", "url"), hosts, URL_RULES).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -73,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_pages": op9_pages,
     "op10_token_files": op10_token_files,
+    "op13_url_filters": op13_url_filters,
 }
 ORACLES: dict[str, str] = oracle_sql.ORACLES
