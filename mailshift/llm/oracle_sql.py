@@ -130,8 +130,48 @@ SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE WHEN r.d > 0.
 FROM fits f LEFT JOIN r20 r ON r.host = f.host
 """
 
+PREFIX_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         -- crc32 of the decimal id, bit by bit
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * length(conv_id::VARCHAR)),
+               lambda i: ((ascii(substr(conv_id::VARCHAR, (i // 8) + 1, 1)) >> (i % 8)::INT) & 1)::BIGINT)),
+             lambda a, x: xor(a >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+rows_of AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place < c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place >= c.h),
+whole AS (
+  SELECT c.conv_id, coalesce(list({'r': r.role, 't': r.text} ORDER BY r.part, r.place) FILTER (r.place IS NOT NULL), []) AS seq
+  FROM convs c LEFT JOIN rows_of r USING (conv_id) GROUP BY c.conv_id),
+steps AS (
+  SELECT conv_id, d AS depth, len(seq) AS size, seq[1:d] AS node, CASE WHEN d > 0 THEN length(seq[d].t) ELSE 0 END AS chars
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM whole)),
+nodes AS MATERIALIZED (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM steps GROUP BY depth, node),
+children AS (
+  SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+told AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, p.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
+       LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]),
+below AS (
+  SELECT depth, node, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT unnest(range(0, depth + 1)) AS depth, node[1:unnest(range(0, depth + 1))] AS node, (n_children = 0)::INT AS leaf, (n_convs - 1) * chars AS saved FROM told)
+  GROUP BY depth, node)
+SELECT t.conv_id, t.depth, t.parent_conv_id, t.n_convs, t.n_children, b.n_leaves, b.saved_tokens, t.ends_sha256
+FROM told t JOIN below b ON b.depth = t.depth AND b.node = t.node
+"""
+
 ORACLES: dict[str, str] = {
     "op4_mixing": MIXING,
     "op7_quality": QUALITY,
+    "op11_prefix_trie": PREFIX_TRIE,
     "op13_url_filters": URL_FILTERS,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_dups, neighbours, oracle_sql, packing, pages, quality, token_counts, token_files, toxicity, url_filters
+from . import chat, mixing, near_dups, neighbours, oracle_sql, packing, pages, prefix_trie, quality, token_counts, token_files, toxicity, url_filters, whitening
 from .common import read_table, shared_path
 
 
@@ -62,6 +62,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened(rows, whitening.fit_whitening(rows))
+
+
 #: The fixed rules of operator 13's query.
 URL_RULES = (url_filters.Rule("allow", "org", "/"), url_filters.Rule("block", "example.org", "/es/"), url_filters.Rule("block", "example.org", "/en/1"),
              url_filters.Rule("allow", "com", "/fr/"), url_filters.Rule("block", "com", "/de/"))
@@ -84,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_pages": op9_pages,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
     "op13_url_filters": op13_url_filters,
 }
 ORACLES: dict[str, str] = oracle_sql.ORACLES
