@@ -16,9 +16,9 @@ from .text import WS, js_trim, lit_array, memo_column
 # An RFC 2047 encoded word: =?charset?B|Q?text?=
 _WORD = rf"=\?[^?{WS}]+\?[bBqQ]\?[^?{WS}]+\?="
 _WORD_G = rf"=\?([^?{WS}]+)\?([bBqQ])\?([^?{WS}]+)\?="
-_TOKENS = rf"{_WORD}|(?:(?!{_WORD})[\s\S])+"
+_TOKENS = rf"{_WORD}|(?:(?!{_WORD})[\s\S])++"
 # Strict base64 whose unused trailing bits are zero.
-_B64 = (r"^(?:[A-Za-z0-9+/]{4})*"
+_B64 = (r"^(?:[A-Za-z0-9+/]{4})*+"
         r"(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\z")
 _Q_BAD = r"[^\x21-\x7e]|=(?![0-9a-fA-F]{2})"
 _ADJACENT = rf"(?i)=\?[^?{WS}]+\?[bq]\?[^?{WS}]+\?=[ \t\r\n]+=\?"
@@ -54,9 +54,6 @@ def _decode_bytes(charset: Column, data: Column) -> Column:
 @memo_column
 def decode_header(value: Column) -> Column:
     """RFC 2047 decode; any malformed word (or stray ``=?``) returns the value unchanged."""
-    tokens = F.regexp_extract_all(value, F.lit(_TOKENS), 0)
-    n = F.size(tokens)
-
     def is_word(t: Column) -> Column:
         return t.rlike(rf"^{_WORD}\z")
 
@@ -65,25 +62,25 @@ def decode_header(value: Column) -> Column:
         text = F.regexp_extract(t, _WORD_G, 3)
         return F.when(enc == "b", text.rlike(_B64)).otherwise(~text.rlike(_Q_BAD))
 
-    bad = F.exists(
-        tokens,
-        lambda t: F.when(is_word(t), ~word_ok(t)).otherwise(t.contains("=?")),
-    )
-
-    def piece(t: Column, i: Column) -> Column:
-        enc = F.lower(F.regexp_extract(t, _WORD_G, 2))
-        charset = F.regexp_extract(t, _WORD_G, 1)
-        text = F.regexp_extract(t, _WORD_G, 3)
-        prev_word = F.when(i > 0, is_word(F.try_element_at(tokens, i))).otherwise(F.lit(False))
-        next_word = F.when(i + 1 < n, is_word(F.try_element_at(tokens, i + 2))).otherwise(F.lit(False))
-        return (
-            F.when(is_word(t), _decode_bytes(charset, _word_bytes(enc, text)))
-            .when(prev_word & next_word & t.rlike(r"^[ \t\r\n]*\z"), F.lit(""))
-            .otherwise(t)
-        )
-
-    decoded = F.array_join(F.transform(tokens, piece), "")
-    return F.when(~value.contains("=?"), value).when(bad, value).otherwise(decoded)
+    def decoded(tokens: Column) -> Column:
+        bad = F.exists(tokens, lambda t: F.when(is_word(t), ~word_ok(t)).otherwise(t.contains("=?")))
+
+        def piece(t: Column, i: Column) -> Column:
+            enc = F.lower(F.regexp_extract(t, _WORD_G, 2))
+            charset = F.regexp_extract(t, _WORD_G, 1)
+            text = F.regexp_extract(t, _WORD_G, 3)
+            # Blanks vanish between two words; get() is null beyond either end.
+            between = F.coalesce(is_word(F.get(tokens, i - 1)) & is_word(F.get(tokens, i + 1)), F.lit(False))
+            return (
+                F.when(is_word(t), _decode_bytes(charset, _word_bytes(enc, text)))
+                .when(t.rlike(r"^[ \t\r\n]*\z") & between, F.lit(""))
+                .otherwise(t)
+            )
+
+        return F.when(bad, value).otherwise(F.array_join(F.transform(tokens, piece), ""))
+
+    # The tokens are bound once: an expression would be evaluated anew for each of them.
+    return F.when(~value.contains("=?"), value).otherwise(let(F.regexp_extract_all(value, F.lit(_TOKENS), 0), decoded))
 
 
 # Quoted span of the label scanner: "" and \" \\ are escapes; never backtracks.

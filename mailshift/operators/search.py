@@ -24,8 +24,9 @@ _KEY = r"^([a-zA-Z_]+):"
 _QUOTED_VALUE = r'^"(?:[^"\\]++|\\["\\])*+"\z'
 _NESTED = rf"(?:^|[{WS}])(?:AND|OR|NOT)(?:[{WS}]|\z)"
 _SIZE = r"(?i)^(\d+)([KMG]?)\z"
-MAILBOX = (r"(?i)^[a-z0-9!#$%&'+/=?^_`~-]+(?:\.[a-z0-9!#$%&'+/=?^_`~-]+)*"
-           r"@(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\z")
+# Possessive throughout: a label of a domain neither begins nor ends with a hyphen, so nothing is to be given back.
+MAILBOX = (r"(?i)^[a-z0-9!#$%&'+/=?^_`~-]++(?:\.[a-z0-9!#$%&'+/=?^_`~-]++)*+"
+           r"@(?:(?!-)[a-z0-9-]++(?<!-)\.)++(?!-)[a-z0-9-]++(?<!-)\z")
 
 TEST_TYPE = "struct<field:string,op:string,value:string,num:bigint,raw:string>"
 

@@ -50,6 +50,7 @@ def builders() -> dict[str, Builder]:
     out.update(input_builders())
     out.update(folder_builders())
     out.update(matching_builders())
+    out.update(mbox_builders())
     return out
 
 
@@ -63,6 +64,7 @@ def oracles() -> dict[str, str]:
     out.update(O.folder_queries())
     out.update(O.matching_queries())
     out.update(O.conversion_queries())
+    out.update(O.mbox_queries())
     return out
 
 
@@ -224,3 +226,22 @@ def matching_builders() -> dict[str, Builder]:
     b["replacement_count"] = lambda s, sf: view(s, sf, "v_msgs").select(
         "mailbox_id", "msg_seq", H.replacement_count(F.concat(F.lit("\ufffd"), F.replace("label1", F.lit("o"), F.lit("\ufffd")))).alias("n"))
     return b
+
+
+def mbox_builders() -> dict[str, Builder]:
+    from ..sources import mbox as MX
+
+    def rows(s: SparkSession, sf: str) -> DataFrame:
+        return MX.message_lines(view(s, sf, "v_mbox_lines"), K.MAX_LINE)
+
+    def messages(s: SparkSession, sf: str) -> DataFrame:
+        return MX.mbox_messages(view(s, sf, "v_mbox_lines"), K.MAX_LINE, K.MAX_HEADERS)
+
+    b: dict[str, Builder] = {}
+    b["mbox_messages"] = lambda s, sf: messages(s, sf).select(
+        *MX.MESSAGE, "header_count", "header_valid", *[F.array_join(c, " | ").alias(c) for c in ("from_values", "id_values", "label_values")])
+    b["header_bounds"] = lambda s, sf: MX.message_bounds(rows(s, sf), K.MAX_HEADERS).select(*MX.MESSAGE, "header_chars", "over_bounds")
+    b["header_fields"] = lambda s, sf: MX.header_fields(rows(s, sf))
+    b["header_decode"] = lambda s, sf: MX.header_fields(rows(s, sf)).select(*MX.MESSAGE, "field_seq", "name", H.decode_header(F.col("value")).alias("decoded"))
+    b["mbox_senders"] = lambda s, sf: MB.sender_counts(MB.message_facts(messages(s, sf).withColumnsRenamed({"file_id": "file_seq"}).withColumn("sent_hint", F.lit(False))))
+    return b

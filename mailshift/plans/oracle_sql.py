@@ -673,3 +673,66 @@ told AS (
 SELECT mailbox_id, rule_seq, target, CAST(pos AS INTEGER) AS pos, x.supported AS supported, x.message AS message
 FROM (SELECT mailbox_id, rule_seq, target, unnest(m) AS x, generate_subscripts(m, 1) - 1 AS pos FROM told)"""
     return q
+
+
+def mbox_queries() -> dict[str, str]:
+    """A line after the other over whole files, with no blocks."""
+    from .. import constants as K
+
+    lines = f"""WITH v_mbox_lines AS ({view_sql('v_mbox_lines')}),
+l1 AS (SELECT mailbox_id, file_id, row_number() OVER (PARTITION BY mailbox_id, file_id ORDER BY pos) AS i, regexp_replace(line, '\\r$', '') AS t FROM v_mbox_lines),
+l2 AS (
+  SELECT *, CASE WHEN length(t) > {K.MAX_LINE} THEN 'long' WHEN t = '' THEN 'blank'
+    WHEN regexp_full_match(t, 'From \\S+ (Mon|Tue|Wed|Thu|Fri|Sat|Sun)\\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\\s+\\d{{1,2}}\\s+\\d{{2}}:\\d{{2}}(:\\d{{2}})?\\s+(\\S+\\s+)?\\d{{4}}(\\s.*)?') THEN 'envelope'
+    WHEN t[1] IN (' ', chr(9)) THEN 'continuation' WHEN regexp_full_match(t, '[!-9;-~]+:.*') THEN 'header' ELSE 'other' END AS kind
+  FROM l1),
+l3 AS (
+  SELECT *, min(CASE WHEN kind <> 'blank' THEN i END) OVER f AS first_text,
+         kind IN ('blank', 'other', 'long') OR (kind = 'continuation' AND lag(kind) OVER (PARTITION BY mailbox_id, file_id ORDER BY i) = 'envelope') AS closes
+  FROM l2 WINDOW f AS (PARTITION BY mailbox_id, file_id)),
+l4 AS (SELECT *, kind = 'envelope' OR (kind = 'header' AND i = first_text) AS starts FROM l3),
+l5 AS (
+  SELECT *, count(*) FILTER (starts) OVER w AS msg_seq, max(i) FILTER (starts) OVER w AS opened,
+         coalesce(max(i) FILTER (closes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed
+  FROM l4 WINDOW w AS (PARTITION BY mailbox_id, file_id ORDER BY i)),
+rows_of AS MATERIALIZED (SELECT *, kind <> 'envelope' AND opened > closed AS inside FROM l5 WHERE msg_seq > 0),
+bounds AS (
+  SELECT mailbox_id, file_id, msg_seq, count(*) FILTER (inside AND kind = 'header') AS header_count,
+         coalesce(sum(length(t) + 2) FILTER (inside), 0)::BIGINT AS header_chars,
+         coalesce(bool_or(inside AND closes AND kind <> 'blank'), false) AS broken, coalesce(bool_or(inside AND kind = 'long'), false) AS long_line
+  FROM rows_of GROUP BY ALL),
+parts AS (
+  SELECT *, count(*) FILTER (kind = 'header') OVER (PARTITION BY mailbox_id, file_id, msg_seq ORDER BY i) AS field_seq FROM rows_of WHERE inside AND NOT closes),
+fields AS (
+  SELECT mailbox_id, file_id, msg_seq, field_seq, lower(string_agg(regexp_extract(t, '^([!-9;-~]+):', 1), '') FILTER (kind = 'header')) AS name,
+         string_agg(CASE WHEN kind = 'header' THEN regexp_extract(t, '^[!-9;-~]+:[ \\t]*(.*)$', 1) ELSE trim(t, chr(9) || ' ') END, ' ' ORDER BY i) AS value
+  FROM parts GROUP BY ALL),
+messages AS (
+  SELECT b.*, long_line OR header_chars > {K.MAX_HEADERS} AS over_bounds,
+         NOT (long_line OR header_chars > {K.MAX_HEADERS}) AND NOT broken AND header_count > 0 AS header_valid
+  FROM bounds b)"""
+
+    def values(name: str) -> str:
+        return (f"coalesce((SELECT string_agg(value, ' | ' ORDER BY field_seq) FROM fields f WHERE f.mailbox_id = m.mailbox_id AND f.file_id = m.file_id "
+                f"AND f.msg_seq = m.msg_seq AND f.name = '{name}'), '')")
+
+    q: dict[str, str] = {}
+    q["mbox_messages"] = lines + f"""
+SELECT mailbox_id, file_id, msg_seq, header_count, header_valid, {values('from')} AS from_values, {values('message-id')} AS id_values,
+       {values('x-gmail-labels')} AS label_values FROM messages m"""
+    q["header_bounds"] = lines + "\nSELECT mailbox_id, file_id, msg_seq, header_chars, over_bounds FROM messages"
+    q["header_fields"] = lines + "\nSELECT mailbox_id, file_id, msg_seq, field_seq, name, value FROM fields"
+    q["header_decode"] = lines + f"\nSELECT mailbox_id, file_id, msg_seq, field_seq, name, CASE WHEN starts_with(value, '=?utf-8?B?') THEN decode(from_base64(regexp_extract(value, '{B_WORD}', 1))) || regexp_replace(value, '{B_WORD}', '') ELSE value END AS decoded FROM fields"
+    q["mbox_senders"] = lines + f""",
+one AS (
+  SELECT m.mailbox_id, m.file_id, m.msg_seq, list(value) FILTER (name = 'from') AS froms, list(value) FILTER (name = 'message-id') AS ids,
+         list(value) FILTER (name = 'x-gmail-labels') AS labels
+  FROM messages m JOIN fields f USING (mailbox_id, file_id, msg_seq) WHERE header_valid GROUP BY ALL),
+facts AS (
+  SELECT mailbox_id, file_id, msg_seq, {d_sender('froms[1]')} AS email,
+         CASE WHEN len(ids) = 1 AND regexp_full_match(trim(ids[1]), '<[^<>\\s]+@[^<>\\s]+>') THEN trim(ids[1]) END AS id
+  FROM one
+  WHERE len(froms) = 1 AND len(list_filter(flatten(list_transform(labels, lambda v: {d_labels('v')})), lambda x: lower(x) IN ('sent', '已发送'))) > 0),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY mailbox_id, id ORDER BY file_id, msg_seq) AS rn FROM facts WHERE email IS NOT NULL)
+SELECT mailbox_id, email, count(*) AS messages FROM firsts WHERE rn = 1 OR id IS NULL GROUP BY mailbox_id, email"""
+    return q

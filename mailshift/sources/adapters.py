@@ -51,6 +51,29 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 8 THEN 'Junk,Archive/x,Drafts ' WHEN 17 THEN 'work/reports 1,Trips/1' END AS label2",
         "CAST(floor(value) AS BIGINT) * 1024 AS size_bytes",
     ]),
+    # Lines of mbox files: one per line item, in blocks that cut through messages.
+    "v_mbox_lines": ("lineitem", [
+        "l_orderkey % 4 AS mailbox_id",
+        "l_orderkey % 16 AS file_id",
+        "CAST((l_orderkey * 10 + l_linenumber - (l_orderkey * 10 + l_linenumber) % 333) / 333 AS BIGINT) AS block",
+        "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS pos",
+        "CASE l_linenumber "
+        "WHEN 1 THEN CASE WHEN l_orderkey % 16 = 13 THEN 'Subject: no envelope in this file' "
+        "WHEN l_partkey % 9 = 0 THEN 'From a line without a date' "
+        "ELSE 'From u' || CAST(l_orderkey AS STRING) || '@example.org Mon Jan 15 10:00:00 2024' || CASE WHEN l_partkey % 5 = 0 THEN chr(13) ELSE '' END END "
+        "WHEN 2 THEN CASE l_partkey % 7 WHEN 0 THEN 'From: user' || CAST(l_suppkey % 5 AS STRING) || '@example.org' "
+        "WHEN 1 THEN 'FROM:   Name <Boss@Example.org>' WHEN 2 THEN ' folded at once' WHEN 3 THEN 'no header line' "
+        "WHEN 4 THEN 'From:' WHEN 5 THEN 'From: =?utf-8?B?bWVAZXhhbXBsZS5vcmc=?=' ELSE 'To: friend@example.org' || chr(13) END "
+        "WHEN 3 THEN CASE WHEN l_partkey % 400 = 0 THEN 'X-Long: ' || repeat('z', 70000) WHEN l_partkey % 4 = 0 THEN chr(9) || 'and more ' "
+        "WHEN l_partkey % 4 = 3 THEN 'X-Other: ' || CAST(l_partkey AS STRING) "
+        "ELSE 'Message-ID: <m' || CAST(l_orderkey - l_orderkey % 48 AS STRING) || '@example.org>' END "
+        "WHEN 4 THEN CASE l_partkey % 5 WHEN 0 THEN 'X-Gmail-Labels: Inbox,\"Work' WHEN 1 THEN ' , Projects\"' WHEN 2 THEN 'X-Gmail-Labels: Sent' "
+        "WHEN 3 THEN '' ELSE 'x-gmail-labels: =?utf-8?B?5bey5Y+R6YCB?=' END "
+        "WHEN 5 THEN CASE l_partkey % 3 WHEN 0 THEN chr(13) ELSE '' END "
+        "WHEN 6 THEN CASE l_partkey % 4 WHEN 0 THEN 'From here on it is text' WHEN 1 THEN '>From quoted' WHEN 2 THEN 'Not: a header' "
+        "ELSE 'From z Tue Feb 20 09:30 2024' END "
+        "ELSE 'text ' || CAST(l_partkey AS STRING) END AS line",
+    ]),
     # Saved searches: one per order, drawn from accept and reject shapes.
     "v_searches": ("orders", [
         "o_orderkey AS query_id",
