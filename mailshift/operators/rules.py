@@ -118,33 +118,14 @@ def destination_keys(rules: DataFrame, folder_map: DataFrame | None = None) -> D
             .agg(F.min("name").alias("k_min"), F.max("name").alias("k_max")))
 
 
-def convert_rules(rules: DataFrame, folder_map: DataFrame | None = None) -> DataFrame:
-    """Per-rule status, issues, tests, commands and required extensions."""
-    df = T.with_target(active_fields(rules))
-    # Destinations (R4): an explicit map entry wins, else the label itself.
-    if folder_map is not None:
-        fm = folder_map.select("mailbox_id", F.col("label").alias("a_label"), F.col("folder").alias("mapped"), F.lit(True).alias("has_map"))
-        df = df.join(fm, ["mailbox_id", "a_label"], "left")
-        fm_sys = folder_map.where(F.col("label").isin("Archive", "Trash")).groupBy("mailbox_id").agg(
-            F.max(F.when(F.col("label") == "Archive", F.col("folder"))).alias("fm_archive"),
-            F.max(F.when(F.col("label") == "Trash", F.col("folder"))).alias("fm_trash"),
-            F.max(F.col("label") == "Archive").alias("has_archive"), F.max(F.col("label") == "Trash").alias("has_trash"))
-        df = df.join(fm_sys, "mailbox_id", "left")
-    else:
-        df = df.withColumns({c: F.lit(None).cast("string") for c in ("mapped", "fm_archive", "fm_trash")})
-        df = df.withColumns({c: F.lit(None).cast("boolean") for c in ("has_map", "has_archive", "has_trash")})
-    # A map row counts even where its folder is NULL (a reserved name): that destination is invalid.
-    df = df.withColumn("archive", F.when(F.col("archive_folder").isNotNull(), F.col("archive_folder"))
-                       .when(F.col("has_archive"), F.col("fm_archive")).otherwise(F.col("t_archiveFolder"))) \
-           .withColumn("trash", F.when(F.col("trash_folder").isNotNull(), F.col("trash_folder"))
-                       .when(F.col("has_trash"), F.col("fm_trash")).otherwise(F.col("t_trashFolder"))) \
-           .withColumn("label_dest", F.when(F.col("has_map"), F.col("mapped")).otherwise(F.col("a_label")))
-    # Keys are computed once, here: NFC is the one Python step of the conversion.
-    df = df.withColumn("archive_key", folder_key(F.col("archive"))).withColumn("trash_key", folder_key(F.col("trash")))
-    # Inline saved-search parsing of both query fields (no join).
+def with_searches(df: DataFrame) -> DataFrame:
+    """Both search fields of active rules parsed inline (no join): columns hw_... and dw_..."""
     df = S.parse_queries(df.withColumn("_hw", F.col("a_hasTheWord")), "_hw", "hw_")
-    df = S.parse_queries(df.withColumn("_dw", F.col("a_doesNotHaveTheWord")), "_dw", "dw_")
+    return S.parse_queries(df.withColumn("_dw", F.col("a_doesNotHaveTheWord")), "_dw", "dw_")
 
+
+def with_conditions(df: DataFrame) -> DataFrame:
+    """Tests, condition_issues and condition_warnings of active rules whose searches are parsed."""
     a = lambda n: F.col("a_" + n)
     hw_parts, hw_issues, hw_warns = _compile_query("hw_")
     dw_parts, dw_issues, dw_warns = _compile_query("dw_")
@@ -168,7 +149,7 @@ def convert_rules(rules: DataFrame, folder_map: DataFrame | None = None) -> Data
                & (amount <= K.MAX_SIZE))
     subj_ok = a("subject").rlike(_SUBJECT_OK) & ~a("subject").rlike(_WORD_OPS)
 
-    df = df.select(
+    return df.select(
         "*",
         _arr(
             F.when(a("from").isNotNull() & is_mailbox(a("from")),
@@ -200,6 +181,33 @@ def convert_rules(rules: DataFrame, folder_map: DataFrame | None = None) -> Data
         ).alias("condition_warnings"),
     )
 
+
+def convert_rules(rules: DataFrame, folder_map: DataFrame | None = None) -> DataFrame:
+    """Per-rule status, issues, tests, commands and required extensions."""
+    df = T.with_target(active_fields(rules))
+    # Destinations (R4): an explicit map entry wins, else the label itself.
+    if folder_map is not None:
+        fm = folder_map.select("mailbox_id", F.col("label").alias("a_label"), F.col("folder").alias("mapped"), F.lit(True).alias("has_map"))
+        df = df.join(fm, ["mailbox_id", "a_label"], "left")
+        fm_sys = folder_map.where(F.col("label").isin("Archive", "Trash")).groupBy("mailbox_id").agg(
+            F.max(F.when(F.col("label") == "Archive", F.col("folder"))).alias("fm_archive"),
+            F.max(F.when(F.col("label") == "Trash", F.col("folder"))).alias("fm_trash"),
+            F.max(F.col("label") == "Archive").alias("has_archive"), F.max(F.col("label") == "Trash").alias("has_trash"))
+        df = df.join(fm_sys, "mailbox_id", "left")
+    else:
+        df = df.withColumns({c: F.lit(None).cast("string") for c in ("mapped", "fm_archive", "fm_trash")})
+        df = df.withColumns({c: F.lit(None).cast("boolean") for c in ("has_map", "has_archive", "has_trash")})
+    # A map row counts even where its folder is NULL (a reserved name): that destination is invalid.
+    df = df.withColumn("archive", F.when(F.col("archive_folder").isNotNull(), F.col("archive_folder"))
+                       .when(F.col("has_archive"), F.col("fm_archive")).otherwise(F.col("t_archiveFolder"))) \
+           .withColumn("trash", F.when(F.col("trash_folder").isNotNull(), F.col("trash_folder"))
+                       .when(F.col("has_trash"), F.col("fm_trash")).otherwise(F.col("t_trashFolder"))) \
+           .withColumn("label_dest", F.when(F.col("has_map"), F.col("mapped")).otherwise(F.col("a_label")))
+    # Keys are computed once, here: NFC is the one Python step of the conversion.
+    df = df.withColumn("archive_key", folder_key(F.col("archive"))).withColumn("trash_key", folder_key(F.col("trash")))
+    df = with_conditions(with_searches(df))
+    a = lambda n: F.col("a_" + n)
+
     # Actions (R3, R4, R6).
     trash, label, archive = a("shouldTrash").isNotNull(), a("label").isNotNull(), a("shouldArchive").isNotNull()
     star, read, fwd = a("shouldStar").isNotNull(), a("shouldMarkAsRead").isNotNull(), a("forwardTo").isNotNull()

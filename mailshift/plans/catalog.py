@@ -212,16 +212,14 @@ def folder_builders() -> dict[str, Builder]:
 def matching_builders() -> dict[str, Builder]:
     from ..operators import matching as MA
 
-    def matches(s: SparkSession, sf: str) -> DataFrame:
-        sizes = view(s, sf, "v_msgs").select("mailbox_id", "file_seq", "msg_seq", "size_bytes")
-        messages = _facts(s, sf).select("mailbox_id", "file_seq", "msg_seq", "email").join(sizes, ["mailbox_id", "file_seq", "msg_seq"])
+    def met(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         rules = view(s, sf, "v_rules").withColumn("unknown", F.array().cast("array<string>"))
-        return MA.rule_matches(messages, MA.rule_tests(rules))
+        return MA.mail_from_view(view(s, sf, "v_mail")), MA.rule_tests(rules)
 
     b: dict[str, Builder] = {}
-    b["rule_match"] = matches
-    b["rule_hits"] = lambda s, sf: MA.rule_hits(matches(s, sf))
-    b["rule_overlap"] = lambda s, sf: MA.rule_overlap(matches(s, sf))
+    b["rule_match"] = lambda s, sf: MA.rule_matches(*met(s, sf))
+    b["rule_hits"] = lambda s, sf: MA.rule_hits(*met(s, sf))
+    b["rule_overlap"] = lambda s, sf: MA.rule_overlap(MA.rule_matches(*met(s, sf)))
     b["source_summary"] = lambda s, sf: _facts(s, sf).groupBy("mailbox_id", "file_seq").agg(F.count(F.lit(1)).alias("records"))
     b["replacement_count"] = lambda s, sf: view(s, sf, "v_msgs").select(
         "mailbox_id", "msg_seq", H.replacement_count(F.concat(F.lit("\ufffd"), F.replace("label1", F.lit("o"), F.lit("\ufffd")))).alias("n"))

@@ -478,26 +478,7 @@ UNION ALL SELECT mailbox_id, label, folder, 'collision' FROM keyed WHERE clash""
 
 
 def matching_queries() -> dict[str, str]:
-    facts = facts_cte()
-    matches = "WITH " + facts + f""",
-v_rules AS ({view_sql('v_rules')}),
-tests AS (
-  SELECT mailbox_id, rule_seq, lower(p_from) AS address, p_sizeOperator AS side,
-         TRY_CAST(p_size AS BIGINT) * CASE p_sizeUnit WHEN 's_sb' THEN 1 WHEN 's_skb' THEN 1024 WHEN 's_smb' THEN 1048576 END AS amount
-  FROM v_rules
-  WHERE p_to IS NULL AND p_subject IS NULL AND p_hasTheWord IS NULL AND p_doesNotHaveTheWord IS NULL AND p_hasAttachment IS NULL
-    AND (p_from IS NULL OR strpos(p_from, ' ') = 0) AND (p_from IS NOT NULL OR p_size IS NOT NULL)),
-matches AS (
-  SELECT m.mailbox_id, m.msg_seq, t.rule_seq
-  FROM efacts m JOIN v_msgs v ON v.mailbox_id = m.mailbox_id AND v.file_seq = m.file_seq AND v.msg_seq = m.msg_seq
-  JOIN tests t ON t.mailbox_id = m.mailbox_id
-  WHERE (t.address IS NULL OR t.address = m.email)
-    AND (t.amount IS NULL OR CASE t.side WHEN 's_sl' THEN v.size_bytes > t.amount WHEN 's_ss' THEN v.size_bytes < t.amount END))"""
-    q = {"rule_match": matches + "\nSELECT * FROM matches",
-         "rule_hits": matches + "\nSELECT mailbox_id, rule_seq, count(*) AS hits FROM matches GROUP BY ALL",
-         "rule_overlap": matches + """
-SELECT mailbox_id, count(*) AS matched, count(*) FILTER (WHERE n > 1) AS overlapping
-FROM (SELECT mailbox_id, msg_seq, count(*) AS n FROM matches GROUP BY ALL) GROUP BY mailbox_id"""}
+    q: dict[str, str] = {}
     base = f"WITH v_msgs AS ({view_sql('v_msgs')})\n"
     q["source_summary"] = base + "SELECT mailbox_id, file_seq, count(*) AS records FROM v_msgs GROUP BY ALL"
     q["replacement_count"] = base + "SELECT mailbox_id, msg_seq, 1 + length(label1) - length(replace(label1, 'o', '')) AS n FROM v_msgs"
@@ -663,6 +644,40 @@ SELECT mailbox_id, rule_seq AS block, generated || CASE WHEN rule_seq = n_rules
 UNION ALL
 SELECT mailbox_id, 0, {text(K.SCRIPT_HEADER.rstrip(chr(10)))} || chr(10) || coalesce('require [' || string_agg(chr(34) || e || chr(34), ', ' ORDER BY e) || '];' || chr(10) || chr(10), '')
 FROM (SELECT DISTINCT m.mailbox_id, n.e FROM final m LEFT JOIN (SELECT DISTINCT mailbox_id, unnest(needed) AS e FROM final WHERE enabled) n USING (mailbox_id)) GROUP BY mailbox_id"""
+    # Each rule against each message of its mailbox, test by test.
+    reasons = "list_concat(field_issues, " + some(*[when(f"{n.lower()} IS NOT NULL", text(K.R_NEVER.format(name=n))) for n in K.NEVER_CONVERTIBLE if n in K.CRITERIA]) + ", " + some(
+        when("from_ IS NOT NULL AND NOT from_ok", text(K.R_EXACT_ADDRESS.format(name="from"))), when("to_ IS NOT NULL AND NOT to_ok", text(K.R_EXACT_ADDRESS.format(name="to"))),
+        when("subject IS NOT NULL AND NOT subject_ok", text(K.R_SUBJECT_SYNTAX))) + ", coalesce(hw_issues, []), coalesce(dw_issues, []), " + some(
+        when("size IS NOT NULL AND NOT size_ok", text(K.R_SIZE)), when("len(tests) = 0", text(K.R_NO_CONDITION))) + ")"
+    matches = conv + f""",
+v_mail AS ({view_sql('v_mail')}),
+mail AS (
+  SELECT mailbox_id, msg_seq, size_bytes, lower(subject) AS subject, {d_sender('from1')} AS from_, list_filter([{d_sender('to1')}, {d_sender('to2')}], lambda x: x IS NOT NULL) AS to_, {d_sender('cc1')} AS cc
+  FROM v_mail),
+asked AS (SELECT mailbox_id, rule_seq, q, {reasons} AS reasons, from_, to_, subject, amount, bound FROM d),
+held AS (
+  SELECT k.query_id, m.mailbox_id, m.msg_seq,
+    bool_and(coalesce(CASE k.field WHEN 'from' THEN m.from_ = lower(k.value) WHEN 'to' THEN list_contains(m.to_, lower(k.value)) WHEN 'cc' THEN m.cc = lower(k.value)
+      WHEN 'size' THEN CASE k.op WHEN 'over' THEN m.size_bytes > k.num ELSE m.size_bytes < k.num END WHEN 'subject' THEN contains(m.subject, lower(k.value)) END, false) <> k.neg) AS all_hold
+  FROM asked a JOIN tests k ON k.query_id IN (a.q, a.q + 1) JOIN mail m ON m.mailbox_id = a.mailbox_id
+  WHERE len(a.reasons) = 0 GROUP BY ALL),
+matches AS (
+  SELECT a.mailbox_id, m.msg_seq, a.rule_seq
+  FROM asked a JOIN mail m ON m.mailbox_id = a.mailbox_id
+  LEFT JOIN held h ON h.query_id = a.q AND h.mailbox_id = m.mailbox_id AND h.msg_seq = m.msg_seq
+  LEFT JOIN held n ON n.query_id = a.q + 1 AND n.mailbox_id = m.mailbox_id AND n.msg_seq = m.msg_seq
+  WHERE len(a.reasons) = 0 AND coalesce(h.all_hold, true) AND NOT coalesce(n.all_hold, false)
+    AND (a.from_ IS NULL OR coalesce(m.from_ = lower(a.from_), false)) AND (a.to_ IS NULL OR list_contains(m.to_, lower(a.to_)))
+    AND (a.subject IS NULL OR coalesce(contains(m.subject, lower(a.subject)), false))
+    AND (a.amount IS NULL OR CASE a.bound WHEN ':over' THEN m.size_bytes > a.amount ELSE m.size_bytes < a.amount END))"""
+    q["rule_match"] = matches + "\nSELECT mailbox_id, msg_seq, rule_seq FROM matches"
+    q["rule_hits"] = matches + """
+SELECT a.mailbox_id, a.rule_seq, CASE WHEN len(reasons) > 0 THEN 'refused' WHEN count(x.msg_seq) > 0 THEN 'matched' ELSE 'unmatched' END AS verdict,
+       count(x.msg_seq) AS hits, reasons[1] AS reason
+FROM asked a LEFT JOIN matches x ON x.mailbox_id = a.mailbox_id AND x.rule_seq = a.rule_seq GROUP BY a.mailbox_id, a.rule_seq, reasons"""
+    q["rule_overlap"] = matches + """
+SELECT mailbox_id, count(*) AS matched, count(*) FILTER (WHERE n > 1) AS overlapping
+FROM (SELECT mailbox_id, msg_seq, count(*) AS n FROM matches GROUP BY ALL) GROUP BY mailbox_id"""
     ok = "CASE v " + " ".join(f"WHEN {text(a)} THEN {text(K.C_ACT_OK.format(act=a))}" for a in ("addflag", "fileinto", "redirect", "keep")) + " END"
     q["capability_check"] = conv + f""",
 told AS (

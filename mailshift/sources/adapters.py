@@ -140,6 +140,22 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CAST(NULL AS STRING) AS p_shouldNeverMarkAsImportant",
         "CAST(NULL AS STRING) AS p_smartLabelToApply",
     ]),
+    # Mail for the rules: one per order, in the mailbox of its customer's rules.
+    "v_mail": ("orders", [
+        "CAST((o_custkey - o_custkey % 64) / 64 AS BIGINT) AS mailbox_id",
+        "o_orderkey AS msg_seq",
+        "CASE o_orderkey % 10 WHEN 0 THEN 'boss@example.com' WHEN 1 THEN 'Boss <BOSS@example.org>' "
+        "WHEN 2 THEN 'a' || CAST(o_custkey % 9 AS STRING) || '@example.com' WHEN 3 THEN 'x@example.com' "
+        "WHEN 4 THEN 'user' || CAST(o_custkey % 5 AS STRING) || '@example.org' WHEN 5 THEN 'me@example.org' "
+        "WHEN 6 THEN 'not an address' WHEN 7 THEN NULL WHEN 8 THEN 'X@Example.com' ELSE 'other@example.net' END AS from1",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'me@example.com' WHEN 1 THEN 'ME@Example.com' WHEN 2 THEN 'list@example.org' END AS to1",
+        "CASE WHEN o_orderkey % 12 = 2 THEN 'me@example.com' END AS to2",
+        "CASE WHEN o_orderkey % 6 = 0 THEN 'copy@example.com' END AS cc1",
+        "CASE o_orderkey % 8 WHEN 0 THEN 'Your INVOICE ' || CAST(o_custkey % 5 AS STRING) || ' is here' WHEN 1 THEN 'Invoice' "
+        "WHEN 2 THEN 'spam offer' WHEN 3 THEN 'Hello' WHEN 4 THEN 'Re: invoice 3' WHEN 6 THEN 'In' "
+        "WHEN 7 THEN 'SPAM ' || CAST(o_custkey AS STRING) END AS subject",
+        "CAST(floor(o_totalprice) AS BIGINT) * 40 AS size_bytes",
+    ]),
     # Folders that users chose themselves: for a few labels of each mailbox.
     "v_overrides": ("customer", [
         "CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) AS mailbox_id",
