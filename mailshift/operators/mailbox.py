@@ -7,7 +7,7 @@ id_values, label_values``.  Sources (mbox scan, adapters) produce it.
 Scale notes
 -----------
 * Dedup never sorts a whole Message-ID group: the first eligible copy of an ID
-  is found with ``min_by`` inside a hash aggregate, which combines map-side, so
+  is found with ``min_by`` inside a sort aggregate, which combines map-side, so
   one ID holding a third of all rows collapses to one row per task before the
   shuffle.  Rows without an ID bypass that aggregate entirely (they are never
   merged), so NULL keys never pile into one task.
@@ -114,6 +114,12 @@ def first_copies(facts: DataFrame) -> DataFrame:
     )
 
 
+def first_eligible(facts: DataFrame) -> DataFrame:
+    """The ids that are counted, with the sender of the first eligible copy: mailbox_id, message_id, email."""
+    return (facts.where(F.col("eligible") & F.col("message_id").isNotNull()).groupBy("mailbox_id", "message_id")
+            .agg(F.min_by("email", F.struct("file_seq", "msg_seq")).alias("email")))
+
+
 def sender_counts(facts: DataFrame) -> DataFrame:
     """A3/A10 (flagship): de-duplicated sender counts per mailbox."""
     return first_copies(facts).groupBy("mailbox_id", "email").agg(F.sum("n").cast("long").alias("messages"))

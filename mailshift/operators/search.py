@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.headers import let
 from ..functions.text import WS, is_blank, js_trim, json_string, unsafe, utf16_length
 
 # Quoted span of the search scanner: a backslash always consumes the next char.
@@ -39,56 +40,59 @@ def _bad_escapes(text: Column) -> Column:
 
 
 def _token(raw: Column, i: Column) -> Column:
-    """Per-token struct: polarity, classified test and the first failing reason."""
+    """Per-token struct: polarity, classified test and the first failing reason.
+
+    What is used more than once is bound, so that each pattern runs once a token.
+    """
     neg = raw.startswith("-")
-    text = F.when(neg, raw.substr(F.lit(2), F.length(raw))).otherwise(raw)
-    has_key = text.rlike(_KEY)
-    key = F.when(has_key, F.lower(F.regexp_extract(text, _KEY, 1))).otherwise(F.lit(""))
-    rest = F.when(has_key, F.regexp_replace(text, _KEY, "")).otherwise(text)
-    quoted = rest.startswith('"')
-    literal = F.when(
-        quoted, F.regexp_replace(rest.substr(F.lit(2), F.length(rest) - 2), r'\\(["\\])', "$1")
-    ).otherwise(rest)
-    is_addr_key = key.isin("from", "to", "cc")
-    is_size_key = key.isin("larger", "smaller", "size")
-    digits = F.regexp_extract(literal, _SIZE, 1)
-    unit = F.upper(F.regexp_extract(literal, _SIZE, 2))
-    mult = (F.when(unit == "K", F.lit(1024)).when(unit == "M", F.lit(1048576))
-            .when(unit == "G", F.lit(1073741824)).otherwise(F.lit(1)))
-    amount = F.try_multiply(digits.try_cast("decimal(38,0)"), mult.cast("decimal(38,0)"))
-    reason = (
-        F.when(raw == "OR", F.lit(None))
-        .when((text == "") | text.startswith("-"), F.lit(K.Q_MINUS))
-        .when(text.rlike("[{}]"), F.lit(K.Q_BRACES))
-        .when(text.rlike(r"[()*?]"), F.lit(K.Q_PARENS))
-        .when(quoted & ~rest.rlike(_QUOTED_VALUE), F.lit(K.Q_QUOTE_SHAPE))
-        .when(~quoted & rest.rlike(r'["\\]'), F.lit(K.Q_BARE_QUOTE))
-        .when(is_blank(literal), F.lit(K.Q_BLANK))
-        .when(literal.contains(":"), F.lit(K.Q_COLON))
-        .when(literal.isin("AND", "OR", "NOT") | literal.rlike(_NESTED) | literal.startswith("-"),
-              F.lit(K.Q_NESTED))
-        .when(is_addr_key & literal.contains("@") & ~literal.rlike(MAILBOX), F.lit(K.Q_ADDRESS))
-        .when(is_size_key & ~literal.rlike(_SIZE), F.lit(K.Q_SIZE_SHAPE))
-        .when(is_size_key & (amount.isNull() | (amount > F.lit(K.MAX_SIZE))), F.lit(K.Q_SIZE_RANGE))
-        .when((key == "has") & (literal != "attachment"), F.lit(K.Q_HAS))
-        .when((key != "") & ~key.isin("from", "to", "cc", "larger", "smaller", "size", "has", "subject"),
-              F.replace(F.lit(K.Q_KEY), F.lit("{key}"), key))
-    )
-    full_reason = (F.when(raw == "OR", F.lit(K.Q_OR))
-                   .when(reason.isNotNull(), F.concat(raw, F.lit("："), reason)))
-    field = (F.when(is_size_key, F.lit("size")).when(key == "has", F.lit("attachment"))
-             .when(key == "", F.lit("body")).otherwise(key))
-    op = (F.when(is_addr_key & literal.contains("@"), F.lit("is"))
-          .when(key == "smaller", F.lit("under")).when(is_size_key, F.lit("over"))
-          .when(key == "has", F.lit("is")).otherwise(F.lit("contains")))
-    num = F.when(is_size_key, amount.try_cast("bigint"))
-    value = (F.when(is_addr_key & literal.contains("@"), F.lower(literal))
-             .when(is_size_key, num.cast("string")).when(key == "has", F.lit("attachment"))
-             .otherwise(literal))
-    return F.struct(
-        i.alias("pos"), raw.alias("raw"), neg.alias("neg"), field.alias("field"), op.alias("op"),
-        value.alias("value"), num.alias("num"), full_reason.alias("reason"),
-    )
+
+    def keyed(text: Column) -> Column:
+        return let(F.lower(F.regexp_extract(text, _KEY, 1)), lambda key: let(
+            F.when(key != "", F.substr(text, F.length(key) + 2)).otherwise(text), lambda rest: let(
+                F.when(rest.startswith('"'), F.regexp_replace(rest.substr(F.lit(2), F.length(rest) - 2), r'\\(["\\])', "$1")).otherwise(rest),
+                lambda literal: classified(text, key, rest, literal))))
+
+    def classified(text: Column, key: Column, rest: Column, literal: Column) -> Column:
+        quoted = rest.startswith('"')
+        is_size_key = key.isin("larger", "smaller", "size")
+        is_address = key.isin("from", "to", "cc") & literal.contains("@")
+        unit = F.upper(F.regexp_extract(literal, _SIZE, 2))
+        mult = (F.when(unit == "K", F.lit(1024)).when(unit == "M", F.lit(1048576))
+                .when(unit == "G", F.lit(1073741824)).otherwise(F.lit(1)))
+        amount = F.when(is_size_key, F.try_multiply(F.regexp_extract(literal, _SIZE, 1).try_cast("decimal(38,0)"), mult.cast("decimal(38,0)")))
+
+        def judged(amount: Column) -> Column:
+            reason = (
+                F.when(raw == "OR", F.lit(None))
+                .when((text == "") | text.startswith("-"), F.lit(K.Q_MINUS))
+                .when(text.rlike("[{}]"), F.lit(K.Q_BRACES))
+                .when(text.rlike(r"[()*?]"), F.lit(K.Q_PARENS))
+                .when(quoted & ~rest.rlike(_QUOTED_VALUE), F.lit(K.Q_QUOTE_SHAPE))
+                .when(~quoted & rest.rlike(r'["\\]'), F.lit(K.Q_BARE_QUOTE))
+                .when(is_blank(literal), F.lit(K.Q_BLANK))
+                .when(literal.contains(":"), F.lit(K.Q_COLON))
+                .when(literal.isin("AND", "OR", "NOT") | literal.rlike(_NESTED) | literal.startswith("-"), F.lit(K.Q_NESTED))
+                .when(is_address & ~literal.rlike(MAILBOX), F.lit(K.Q_ADDRESS))
+                .when(is_size_key & ~literal.rlike(_SIZE), F.lit(K.Q_SIZE_SHAPE))
+                .when(is_size_key & (amount.isNull() | (amount > F.lit(K.MAX_SIZE))), F.lit(K.Q_SIZE_RANGE))
+                .when((key == "has") & (literal != "attachment"), F.lit(K.Q_HAS))
+                .when((key != "") & ~key.isin("from", "to", "cc", "larger", "smaller", "size", "has", "subject"),
+                      F.replace(F.lit(K.Q_KEY), F.lit("{key}"), key))
+            )
+            field = (F.when(is_size_key, F.lit("size")).when(key == "has", F.lit("attachment"))
+                     .when(key == "", F.lit("body")).otherwise(key))
+            op = (F.when(is_address, F.lit("is")).when(key == "smaller", F.lit("under")).when(is_size_key, F.lit("over"))
+                  .when(key == "has", F.lit("is")).otherwise(F.lit("contains")))
+            num = amount.try_cast("bigint")
+            value = (F.when(is_address, F.lower(literal)).when(is_size_key, num.cast("string"))
+                     .when(key == "has", F.lit("attachment")).otherwise(literal))
+            return let(reason, lambda r: F.struct(
+                i.alias("pos"), raw.alias("raw"), neg.alias("neg"), field.alias("field"), op.alias("op"), value.alias("value"), num.alias("num"),
+                F.when(raw == "OR", F.lit(K.Q_OR)).when(r.isNotNull(), F.concat(raw, F.lit("："), r)).alias("reason")))
+
+        return let(amount, judged)
+
+    return let(F.when(neg, raw.substr(F.lit(2), F.length(raw))).otherwise(raw), keyed)
 
 
 def _test(o: Column) -> Column:
@@ -113,9 +117,9 @@ def parse_queries(queries: DataFrame, text_col: str = "text", prefix: str = "")
     stage1 = queries.withColumn(p + "_gates", gates).withColumn(
         p + "_tokens", F.when(F.size(p + "_gates") == 0, F.regexp_extract_all(text, F.lit(_TOKEN), 0)))
     scan_reasons = F.concat(
-        F.array_repeat(F.lit(K.Q_ESCAPE), _bad_escapes(text)),
+        F.array_repeat(F.lit(K.Q_ESCAPE), F.when(text.contains("\\"), _bad_escapes(text)).otherwise(0)),
         F.filter(F.array(
-            F.when(~text.rlike(_TERMINATED), F.lit(K.Q_UNCLOSED)),
+            F.when(text.contains('"') & ~text.rlike(_TERMINATED), F.lit(K.Q_UNCLOSED)),
             F.when(F.size(p + "_tokens") > K.MAX_TOKENS, F.lit(K.Q_TOO_MANY)),
         ), lambda r: r.isNotNull()),
     )
@@ -124,34 +128,34 @@ def parse_queries(queries: DataFrame, text_col: str = "text", prefix: str = "")
     items = F.when(F.size(p + "_phase1") == 0, F.transform(p + "_tokens", _token))
     stage3 = stage2.withColumn(p + "_items", items)
 
-    ok = F.filter(p + "_items", lambda o: o["reason"].isNull())
+    def conflicts(ok: Column, me: Column) -> Column:
+        earlier = F.filter(ok, lambda o: (o["pos"] < me["pos"]) & (o["field"] == me["field"]) & (o["op"] == me["op"]))
+
+        def found(earlier: Column) -> Column:
+            both = F.exists(earlier, lambda o: (o["neg"] != me["neg"]) & (o["value"] == me["value"]))
+            clash = ((me["op"] == "is") | (me["field"] == "size")) & F.exists(earlier, lambda o: (o["neg"] == me["neg"]) & (o["value"] != me["value"]))
+            return F.array_compact(F.array(
+                F.when(both, F.concat(me["raw"], F.lit("："), F.lit(K.Q_BOTH_POLARITIES))),
+                F.when(clash, F.concat(me["raw"], F.lit("："), F.lit(K.Q_CONFLICT)))))
 
-    def conflicts(me: Column) -> Column:
-        earlier = F.filter(ok, lambda o: o["pos"] < me["pos"])
-        both = F.exists(earlier, lambda o: (o["neg"] != me["neg"]) & (o["field"] == me["field"])
-                        & (o["op"] == me["op"]) & (o["value"] == me["value"]))
-        clash = F.exists(earlier, lambda o: (o["neg"] == me["neg"]) & (o["field"] == me["field"])
-                         & (o["op"] == me["op"]) & (o["value"] != me["value"])
-                         & ((me["op"] == "is") | (me["field"] == "size")))
-        return F.filter(F.array(
-            F.when(both, F.concat(me["raw"], F.lit("："), F.lit(K.Q_BOTH_POLARITIES))),
-            F.when(clash, F.concat(me["raw"], F.lit("："), F.lit(K.Q_CONFLICT))),
-        ), lambda r: r.isNotNull())
-
-    def size_conflict(neg: bool) -> Column:
-        side = F.filter(ok, lambda o: (o["neg"] == F.lit(neg)) & (o["field"] == "size"))
-        over = F.try_element_at(F.filter(side, lambda o: o["op"] == "over"), F.lit(1))
-        under = F.try_element_at(F.filter(side, lambda o: o["op"] == "under"), F.lit(1))
-        return F.when(over.isNotNull() & under.isNotNull() & (over["num"] >= under["num"]),
-                      F.lit(K.Q_SIZE_CONFLICT))
-
-    token_reasons = F.transform(F.filter(p + "_items", lambda o: o["reason"].isNotNull()),
-                                lambda o: o["reason"])
-    cross = F.flatten(F.transform(ok, conflicts))
-    sizes = F.filter(F.array(size_conflict(False), size_conflict(True)), lambda r: r.isNotNull())
-    unsupported = F.when(
-        F.size(p + "_phase1") > 0, F.col(p + "_phase1")
-    ).otherwise(F.concat(token_reasons, cross, sizes))
+        return let(earlier, found)
+
+    def size_conflict(ok: Column, neg: bool) -> Column:
+        def first(op: str) -> Column:
+            return F.get(F.filter(ok, lambda o: (o["neg"] == F.lit(neg)) & (o["field"] == "size") & (o["op"] == op)), 0)["num"]
+
+        return F.when(first("over") >= first("under"), F.lit(K.Q_SIZE_CONFLICT))
+
+    none = F.array().cast("array<string>")
+
+    def crossed(ok: Column) -> Column:
+        """Reasons that need two tokens."""
+        return F.when(F.size(ok) > 1, F.concat(F.flatten(F.transform(ok, lambda me: conflicts(ok, me))),
+                                               F.array_compact(F.array(size_conflict(ok, False), size_conflict(ok, True))))).otherwise(none)
+
+    reasons = F.transform(F.filter(p + "_items", lambda o: o["reason"].isNotNull()), lambda o: o["reason"])
+    ok = F.filter(p + "_items", lambda o: o["reason"].isNull())
+    unsupported = F.when(F.size(p + "_phase1") > 0, F.col(p + "_phase1")).otherwise(F.concat(reasons, let(ok, crossed)))
     stage4 = stage3.withColumn(p + "unsupported", unsupported)
     empty = F.array().cast(f"array<{TEST_TYPE}>")
     keep = F.size(p + "unsupported") == 0

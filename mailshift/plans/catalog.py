@@ -51,6 +51,7 @@ def builders() -> dict[str, Builder]:
     out.update(folder_builders())
     out.update(matching_builders())
     out.update(mbox_builders())
+    out.update(stream_builders())
     return out
 
 
@@ -243,3 +244,34 @@ def mbox_builders() -> dict[str, Builder]:
     b["header_decode"] = lambda s, sf: MX.header_fields(rows(s, sf)).select(*MX.MESSAGE, "field_seq", "name", H.decode_header(F.col("value")).alias("decoded"))
     b["mbox_senders"] = lambda s, sf: MB.sender_counts(MB.message_facts(messages(s, sf).withColumnsRenamed({"file_id": "file_seq"}).withColumn("sent_hint", F.lit(False))))
     return b
+
+
+def stream_builders() -> dict[str, Builder]:
+    from ..operators import streams as ST
+    from ..session import shared_path
+
+    def streamed(s: SparkSession, sf: str) -> DataFrame:
+        """The messages arrive in two lots of files; the job runs after each, from where it stopped."""
+        landing, table, state = (shared_path(s, n) for n in ("mail-landing", "mail-units", "mail-state"))
+        mail = view(s, sf, "v_msgs")
+        for lot in (0, 1):
+            mail.where(F.col("msg_seq") % 2 == lot).write.mode("append").parquet(landing)
+            facts = MB.message_facts(MB.messages_from_view(ST.message_stream(s, landing, mail.schema)))
+            ST.run_once(ST.unit_stream(facts), table, state)
+        return ST.latest_units(s, table)
+
+    def in_batches(s: SparkSession, sf: str) -> DataFrame:
+        """The first three files of each mailbox, then the others against the ids that these have counted."""
+        facts = _facts(s, sf)
+        path = shared_path(s, "counted-ids")
+        units = MB.first_eligible(facts.where(F.col("file_seq") < 3))
+        units.where(F.col("message_id").isNotNull()).select("mailbox_id", "message_id").write.parquet(path)
+        counted = s.read.parquet(path)
+        more, _ = ST.next_batch(facts.where(F.col("file_seq") >= 3), counted, ST.counted_bitmap(counted))
+        return (MB.sender_counts(facts.where(F.col("file_seq") < 3)).unionByName(more).groupBy("mailbox_id", "email").agg(F.sum("messages").alias("messages")))
+
+    b: dict[str, Builder] = {}
+    b["stream_dedup"] = lambda s, sf: streamed(s, sf).where(F.col("first_email").isNotNull() & F.col("message_id").isNotNull()).select("mailbox_id", "message_id", F.col("first_email").alias("email"))
+    b["stream_senders"] = lambda s, sf: ST.running_counts(streamed(s, sf))
+    b["incremental_senders"] = in_batches
+    return b

@@ -128,6 +128,11 @@ FROM (SELECT mailbox_id, file_seq, count(*) AS message_count,
              CAST(count_if(is_sent AND email IS NULL) AS BIGINT) AS sent_without_from
       FROM efacts GROUP BY mailbox_id, file_seq) b
 LEFT JOIN dups d USING (mailbox_id, file_seq)"""
+    q["stream_senders"] = q["incremental_senders"] = q["sender_candidates"]
+    q["stream_dedup"] = f + """
+SELECT mailbox_id, message_id, email FROM (
+  SELECT *, row_number() OVER (PARTITION BY mailbox_id, message_id ORDER BY file_seq, msg_seq) AS rn
+  FROM efacts WHERE eligible AND message_id IS NOT NULL) s WHERE rn = 1"""
     q["label_inventory"] = f + """
 SELECT DISTINCT mailbox_id, unnest(labels) AS label FROM efacts"""
     q["invalid_from"] = f + """
