@@ -110,6 +110,13 @@ Q_BOTH_POLARITIES = "同一条件同时肯定和否定，运算符冲突。"
 Q_CONFLICT = "重复字段具有冲突的值或大小运算符。"
 Q_SIZE_CONFLICT = "大小上限与下限冲突。"
 
+# Namespaces of filter feeds, and the diagnostics of their properties.
+ATOM_NAMESPACE = "http://www.w3.org/2005/Atom"
+APPS_NAMESPACE = "http://schemas.google.com/apps/2006"
+R_XML_PROPERTY = "Invalid or duplicate property: {name}"
+R_XML_UNSUPPORTED = "Unsupported XML property: {name}"
+UNNAMED = "(unnamed)"
+
 # Rule-conversion diagnostics.
 R_RECIPE = "This target requires manual rules; no Sieve can be emitted."
 R_UNKNOWN_TARGET = "Unknown destination uses the generic capability baseline only; confirm server support before enabling."

@@ -52,6 +52,7 @@ def builders() -> dict[str, Builder]:
     out.update(matching_builders())
     out.update(mbox_builders())
     out.update(stream_builders())
+    out.update(feed_builders())
     return out
 
 
@@ -66,6 +67,7 @@ def oracles() -> dict[str, str]:
     out.update(O.matching_queries())
     out.update(O.conversion_queries())
     out.update(O.mbox_queries())
+    out.update(O.feed_queries())
     return out
 
 
@@ -275,3 +277,18 @@ def stream_builders() -> dict[str, Builder]:
     b["stream_senders"] = lambda s, sf: ST.running_counts(streamed(s, sf))
     b["incremental_senders"] = in_batches
     return b
+
+
+def feed_builders() -> dict[str, Builder]:
+    from ..sources import feed as FE
+
+    def feeds(s: SparkSession, sf: str) -> DataFrame:
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda x: x["entry"])
+        return (view(s, sf, "v_feed_entries").groupBy("mailbox_id").agg(F.first("head").alias("head"), entries.alias("entries"))
+                .select("mailbox_id", F.lit("mail.xml").alias("file_id"), F.concat("head", F.array_join("entries", chr(10)), F.lit("</feed>")).alias("text")))
+
+    b: dict[str, Builder] = {}
+    b["filter_feed"] = lambda s, sf: FE.feed_verdicts(feeds(s, sf)).select("mailbox_id", "verdict")
+    b["filter_rules"] = lambda s, sf: FE.filter_rules(feeds(s, sf)).select(
+        "mailbox_id", "rule_seq", "rule_id", *[f"p_{n}" for n in ("from", "to", "subject", "hasTheWord", "size", "label", "shouldStar")], F.array_join("unknown", " | ").alias("unknown"))
+    return b

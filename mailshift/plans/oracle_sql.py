@@ -756,3 +756,35 @@ facts AS (
 firsts AS (SELECT *, row_number() OVER (PARTITION BY mailbox_id, id ORDER BY file_id, msg_seq) AS rn FROM facts WHERE email IS NOT NULL)
 SELECT mailbox_id, email, count(*) AS messages FROM firsts WHERE rn = 1 OR id IS NULL GROUP BY mailbox_id, email"""
     return q
+
+
+def feed_queries() -> dict[str, str]:
+    """The entries property by property, by patterns over their text."""
+    from .. import constants as K
+
+    base = f"""WITH v_feed_entries AS ({view_sql('v_feed_entries')}),
+verdicts AS (
+  SELECT mailbox_id, CASE WHEN any_value(head) LIKE '<!DOCTYPE%' THEN 'doctype' WHEN any_value(head) NOT LIKE '%xmlns="{K.ATOM_NAMESPACE}"%' THEN 'not_a_feed' ELSE 'accepted' END AS verdict
+  FROM v_feed_entries GROUP BY mailbox_id),
+e AS (
+  SELECT mailbox_id, row_number() OVER (PARTITION BY mailbox_id ORDER BY place)::INT AS rule_seq, head, regexp_replace(entry, '<!--.*?-->', '', 'g') AS entry
+  FROM v_feed_entries JOIN verdicts USING (mailbox_id) WHERE verdict = 'accepted'),
+p AS (
+  SELECT mailbox_id, rule_seq, generate_subscripts(tags, 1) AS pos, unnest(tags) AS tag, head || entry AS scope
+  FROM (SELECT *, regexp_extract_all(entry, '<(?:[a-z]+:)?property[^>]*/>') AS tags FROM e)),
+q AS (
+  SELECT mailbox_id, rule_seq, pos, nullif(regexp_extract(tag, ' name="([^"]*)"', 1), '') AS name,
+         CASE WHEN contains(tag, ' value="') THEN replace(replace(replace(replace(regexp_extract(tag, ' value="([^"]*)"', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') END AS value,
+         contains(scope, 'xmlns:' || nullif(regexp_extract(tag, '^<([a-z]+):', 1), '') || '="{K.APPS_NAMESPACE}"') AS apps
+  FROM p),
+r AS (SELECT *, coalesce(apps, false) AND name IS NOT NULL AND value IS NOT NULL AS sound FROM q),
+t AS (SELECT *, sound AND row_number() OVER (PARTITION BY mailbox_id, rule_seq, name, sound ORDER BY pos) = 1 AS own FROM r)"""
+    names = ("from", "to", "subject", "hasTheWord", "size", "label", "shouldStar")
+    known = ", ".join(f"'{n}'" for n in K.CRITERIA + K.ACTIONS)
+    return {"filter_feed": base + "\nSELECT mailbox_id, verdict FROM verdicts",
+            "filter_rules": base + f"""
+SELECT e.mailbox_id, e.rule_seq, coalesce(nullif(regexp_extract(any_value(e.entry), '<id>([^<]*)</id>', 1), ''), 'rule-' || e.rule_seq) AS rule_id,
+       {', '.join(f"any_value(value) FILTER (own AND name = '{n}') AS p_{n}" for n in names)},
+       coalesce(string_agg(CASE WHEN own THEN 'Unsupported XML property: ' || name ELSE 'Invalid or duplicate property: ' || coalesce(name, '(unnamed)') END, ' | ' ORDER BY pos)
+         FILTER (NOT own OR name NOT IN ({known})), '') AS unknown
+FROM e LEFT JOIN t ON t.mailbox_id = e.mailbox_id AND t.rule_seq = e.rule_seq GROUP BY e.mailbox_id, e.rule_seq"""}

@@ -140,6 +140,24 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CAST(NULL AS STRING) AS p_shouldNeverMarkAsImportant",
         "CAST(NULL AS STRING) AS p_smartLabelToApply",
     ]),
+    # Entries of filter feeds: one per customer, 64 to a feed.
+    "v_feed_entries": ("customer", [
+        "CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) AS mailbox_id",
+        "c_custkey % 64 AS place",
+        "CASE CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) % 7 WHEN 3 THEN '<!DOCTYPE feed>' ELSE '' END || '<feed xmlns=\"' || "
+        "CASE CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) % 7 WHEN 5 THEN 'urn:other' ELSE 'http://www.w3.org/2005/Atom' END "
+        "|| '\" xmlns:apps=\"http://schemas.google.com/apps/2006\">' AS head",
+        "'<entry><title>Filter</title>' || CASE WHEN c_custkey % 8 = 6 THEN '' ELSE '<id>tag:filter:' || CAST(c_custkey AS STRING) || '</id>' END || CASE c_custkey % 8 "
+        "WHEN 0 THEN '<apps:property name=\"from\" value=\"boss' || CAST(c_custkey % 3 AS STRING) || '@example.com\"/><apps:property name=\"label\" value=\"Work &amp; Co\"/>' "
+        "WHEN 1 THEN '<apps:property name=\"from\" value=\"a@example.com\"/><apps:property name=\"from\" value=\"b@example.com\"/><apps:property name=\"shouldStar\" value=\"true\"/>' "
+        "WHEN 2 THEN '<apps:property value=\"x\"/><apps:property name=\"subject\" value=\"Invoice ' || CAST(c_custkey AS STRING) || '\"/>' "
+        "WHEN 3 THEN '<apps:property name=\"shouldStar\"/><apps:property name=\"to\" value=\"me@example.com\"/>' "
+        "WHEN 4 THEN '<o:property xmlns:o=\"urn:other\" name=\"from\" value=\"a@example.com\"/><property name=\"to\" value=\"z@example.com\"/>' "
+        "WHEN 5 THEN '<apps:property name=\"sparkle\" value=\"1\"/><apps:property name=\"hasTheWord\" value=\"&quot;large &lt;files&gt;&quot;\"/>' "
+        "WHEN 6 THEN '<apps:property name=\"label\" value=\"\"/><apps:property name=\"size\" value=\"' || CAST(c_custkey AS STRING) || '\"/>' "
+        "ELSE '<!-- <apps:property name=\"from\" value=\"hidden@example.com\"/> --><g:property xmlns:g=\"http://schemas.google.com/apps/2006\" name=\"subject\" value=\"R&amp;D\"/>' END "
+        "|| '</entry>' AS entry",
+    ]),
     # Mail for the rules: one per order, in the mailbox of its customer's rules.
     "v_mail": ("orders", [
         "CAST((o_custkey - o_custkey % 64) / 64 AS BIGINT) AS mailbox_id",
