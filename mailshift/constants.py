@@ -54,7 +54,6 @@ NEVER_CONVERTIBLE = ["hasAttachment", "excludeChats", "shouldNeverSpam",
                      "smartLabelToApply"]
 SIZE_UNITS = {"s_sb": 1, "s_skb": 1024, "s_smb": 1048576}
 SIZE_OPERATORS = {"s_sl": ":over", "s_ss": ":under"}
-QUERY_UNITS = {"": 1, "K": 1024, "M": 1048576, "G": 1073741824}
 
 # Search field names and operator words used in test descriptions.
 FIELD_NAMES = {"from": "发件人", "to": "收件人", "cc": "抄送", "subject": "主题", "body": "正文",
@@ -120,7 +119,6 @@ UNNAMED = "(unnamed)"
 # Rule-conversion diagnostics.
 R_RECIPE = "This target requires manual rules; no Sieve can be emitted."
 R_UNKNOWN_TARGET = "Unknown destination uses the generic capability baseline only; confirm server support before enabling."
-R_INVALID_MODEL = "Invalid filter model."
 R_UNSAFE_ID = "Unsafe control character in rule ID."
 R_UNSUPPORTED_FIELD = "Unsupported field: {name}"
 R_UNSAFE_VALUE = "Unsafe control character in {name}."
@@ -213,4 +211,21 @@ TARGETS = [
 # Report texts.
 CSV_HEADER = "﻿地址,邮件数量,置信度,来源"
 REDACTED = "[邮箱已省略]"
+RECIPE_RULE = "## 规则 "
+RECIPE_ORIGINAL = "### 原始 Gmail 规则"
+RECIPE_STEPS = [
+    "### 目标动作",
+    "按上方原始说明中 → 右侧的动作逐项核对；这是待人工映射的动作，不表示目标服务商已支持。",
+    "",
+    "### 手工步骤",
+    "1. 打开目标邮箱的规则或过滤器设置，新建规则，并对照原始 Gmail 条件逐项填写；无法表达的条件不要删掉后继续。",
+    "2. 按动作对照选择实际存在的目标文件夹和可用动作；不支持的动作记录为待处理，不启用不完整规则。",
+    "3. 核对多条件的“且/或”、规则顺序、是否停止后续处理、归档与保留收件箱行为。",
+    "4. 保存前用匹配和不匹配的测试邮件验证；确认后才启用，并保留原始 Gmail 规则作为回退依据。",
+    "",
+    "### 注意事项",
+]
+RECIPE_STATUS = "- 转换状态："
+RECIPE_NO_ISSUE = "- 无转换诊断不代表目标兼容，仍须人工测试。"
+RECIPE_LAST = "- skipped 或 approximate 规则必须逐项解决问题；无法迁移时明确记录，绝不静默丢弃。"
 # ------------------------------------------------------------ END FIXED VALUES

@@ -5,11 +5,11 @@ each, the reserved names of its mailbox's target.  NFC normalisation has no
 built-in, so one Arrow (pandas) UDF runs on the *distinct* label table; it is
 marked so that no filter moves it below the distinct.
 
-Numbering is greedy in label order.  Labels of different names can only get in
-each other's way if some name already ends in a number like the ones that are
-given out, so as a rule the labels of one folder name are numbered among
-themselves; only in a mailbox with such a name are all labels folded together.
-One pass and one shuffle either way.
+Numbering is greedy in label order.  Names can only get in each other's way if they
+are the same but for the numbers at their end, so labels are grouped by mailbox
+and stem, the folded name without those numbers; a mailbox is never one group.  Where no name
+of a stem brings a number of its own, the n-th label gets the n-th number that is
+not reserved; else the labels of the stem are folded in order.
 """
 
 from __future__ import annotations
@@ -70,24 +70,31 @@ def plan_folders(labels: DataFrame) -> DataFrame:
     df = df.where(~system).select("mailbox_id", "label", "reserved", F.array_contains("reserved", lower).alias("held"),
                                   sanitize_path(F.col("normalized")).alias("parts"))
     df = df.withColumn("base", F.array_join("parts", "/"))
-    numbered_name = F.max(F.lower("base").rlike(r" \(\d+\)\z")).over(Window.partitionBy("mailbox_id"))
-    df = df.withColumn("group_key", F.when(~numbered_name, F.lower("base")))
-    groups = df.groupBy("mailbox_id", "group_key").agg(
-        F.first("reserved").alias("reserved"), F.array_sort(F.collect_list(F.struct("label", "held", "base", "parts"))).alias("items"))
+    df = df.withColumn("stem", F.regexp_replace(F.lower("base"), r"(?: \(\d+\))+\z", ""))
+    groups = df.groupBy("mailbox_id", "stem").agg(
+        F.first("reserved").alias("reserved"), F.max(F.lower("base") != F.col("stem")).alias("numbered"),
+        F.array_sort(F.collect_list(F.when(~F.col("held"), F.struct("label", "base", "parts")))).alias("items"),
+        F.collect_list(F.when(F.col("held"), F.struct("label", "base", "parts"))).alias("held"))
 
-    def named(x: Column, n: Column) -> Column:
-        return F.when(n == 1, x["base"]).otherwise(F.concat(x["base"], F.lit(" ("), n.cast("string"), F.lit(")")))
+    def named(base: Column, n: Column) -> Column:
+        return F.when(n == 1, base).otherwise(F.concat(base, F.lit(" ("), n.cast("string"), F.lit(")")))
+
+    # Numbers that the target's reserved names take from this stem, ascending (it has few of them).
+    lost = F.array_sort(F.array_compact(F.transform("reserved", lambda r: F.when(r == F.col("stem"), F.lit(1)).when(
+        F.startswith(r, F.concat("stem", F.lit(" ("))), F.regexp_extract(r, r" \((\d+)\)\z", 1).try_cast("int")))))
+    plain = F.transform("items", lambda x, i: F.struct(x.alias("x"), F.aggregate(lost, i + 1, lambda n, gone: F.when(gone <= n, n + 1).otherwise(n)).alias("n")))
 
     def step(acc: Column, x: Column) -> Column:
+        # The first number beyond those taken that leaves a gap.
         taken = F.concat(acc["used"], F.col("reserved"))
-        free = F.get(F.filter(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: ~F.array_contains(taken, F.lower(named(x, n)))), F.lit(0))
-        n = F.when(~x["held"], free)
-        used = F.when(x["held"], acc["used"]).otherwise(F.concat(acc["used"], F.array(F.lower(named(x, n)))))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(F.struct(x.alias("x"), n.alias("n")))).alias("out"))
+        n = F.get(F.filter(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: ~F.array_contains(taken, F.lower(named(x["base"], n)))), F.lit(0))
+        return F.struct(F.array_append(acc["used"], F.lower(named(x["base"], n))).alias("used"), F.array_append(acc["out"], F.struct(x.alias("x"), n.alias("n"))).alias("out"))
 
-    item = "struct<label:string,held:boolean,base:string,parts:array<string>>"
+    item = "struct<label:string,base:string,parts:array<string>>"
     start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast(f"array<struct<x:{item},n:int>>").alias("out"))
-    rows = groups.select("mailbox_id", F.explode(F.aggregate("items", start, step)["out"]).alias("r")).select("mailbox_id", "r.x.*", "r.n")
+    told = F.concat(F.when(F.col("numbered"), F.aggregate("items", start, step)["out"]).otherwise(plain),
+                    F.transform("held", lambda x: F.struct(x.alias("x"), F.lit(None).cast("int").alias("n"))))
+    rows = groups.select("mailbox_id", F.explode_outer(told).alias("r")).select("mailbox_id", "r.x.*", "r.n").withColumn("held", F.col("n").isNull())
     notes = F.filter(F.array(
         F.when(F.col("base") != F.col("label"), F.lit(K.N_NORMALIZED)),
         F.when(F.size("parts") > 1, F.lit(K.N_NESTED)),
@@ -116,11 +123,22 @@ def mapping_errors(rows: DataFrame) -> DataFrame:
 
     rows: mailbox_id, label, folder and reserved (the reserved keys of the mailbox's target).
     """
+    control = r"[\x00-\x1f\x7f-\x9f]"
     df = rows.withColumn("folder", F.coalesce("folder", F.lit(""))).withColumn("key", name_key(F.col("folder")))
     df = df.withColumn("clash", F.count(F.lit(1)).over(Window.partitionBy("mailbox_id", "key")) > 1)
     err = F.filter(F.array(
-        F.when((js_trim(F.col("folder")) == "") | F.col("folder").rlike(r"[\x00-\x1f\x7f-\x9f]"), F.lit("invalidFolder")),
+        F.when((js_trim(F.col("folder")) == "") | F.col("folder").rlike(control), F.lit("invalidFolder")),
         F.when(F.array_contains("reserved", F.col("key")), F.lit("reservedFolder")),
         F.when(F.col("clash"), F.lit("collision")),
     ), lambda x: x.isNotNull())
-    return df.select("mailbox_id", "label", "folder", F.explode(err).alias("error_key"))
+    return df.select("mailbox_id", "label", "folder", F.explode_outer(err).alias("error_key")).where(F.col("error_key").isNotNull())
+
+
+def special_errors(choices: DataFrame) -> DataFrame:
+    """The user's archive and trash folders that are blank or hold control characters.
+
+    choices: mailbox_id, archiveFolder and trashFolder.
+    """
+    rows = choices.select("mailbox_id", F.inline(F.array(*[F.struct(F.lit(n).alias("label"), F.coalesce(n, F.lit("")).alias("folder")) for n in ("archiveFolder", "trashFolder")])))
+    bad = (js_trim(F.col("folder")) == "") | F.col("folder").rlike(r"[\x00-\x1f\x7f-\x9f]")
+    return rows.where(bad).withColumn("error_key", F.lit("invalidFolder"))

@@ -193,26 +193,29 @@ def mailbox_stats(facts: DataFrame) -> DataFrame:
 
 
 def label_inventory(facts: DataFrame) -> DataFrame:
-    """A2: distinct labels per mailbox, merged across duplicates and files."""
-    return facts.select("mailbox_id", F.explode("labels").alias("label")).distinct()
+    """A2: distinct labels per mailbox, merged across duplicates and files.
+
+    The outer generator keeps the label parser out of a filter below it.
+    """
+    return facts.select("mailbox_id", F.explode_outer("labels").alias("label")).where(F.col("label").isNotNull()).distinct()
+
+
+def ordered_labels(labels: DataFrame) -> DataFrame:
+    """O1: labels by code point within their mailbox (a distributed sort)."""
+    return labels.orderBy("mailbox_id", "label")
 
 
 def label_rows(facts: DataFrame) -> DataFrame:
     """F2 as a table: one row per parsed label occurrence."""
     return facts.select("mailbox_id", "file_seq", "msg_seq",
-                        F.posexplode("labels").alias("pos", "label"))
+                        F.posexplode_outer("labels").alias("pos", "label")).where(F.col("pos").isNotNull())
 
 
 def warning_summary(stats: DataFrame) -> DataFrame:
     """The distinct diagnostics per (mailbox, file) as (code, count) rows."""
-    codes = F.array(
-        F.struct(F.lit("malformed_headers").alias("code"), F.col("invalid_headers").alias("n")),
-        F.struct(F.lit("unterminated_label"), F.col("unterminated_labels")),
-        F.struct(F.lit("sent_without_from"), F.col("sent_without_from")),
-        F.struct(F.lit("local_duplicates"), F.col("duplicate_count")),
-        F.struct(F.lit("cross_file_duplicates"), F.col("cross_file_duplicates")),
-        F.struct(F.lit("invalid_from"), F.col("invalid_from")),
-    )
+    counted = {"malformed_headers": "invalid_headers", "unterminated_label": "unterminated_labels", "sent_without_from": "sent_without_from",
+               "local_duplicates": "duplicate_count", "cross_file_duplicates": "cross_file_duplicates", "invalid_from": "invalid_from"}
+    codes = F.array(*[F.struct(F.lit(code).alias("code"), F.col(c).alias("n")) for code, c in counted.items()])
     texts = {
         "malformed_headers": F.lit(K.W_MALFORMED),
         "unterminated_label": F.lit(K.W_UNTERMINATED_LABEL),

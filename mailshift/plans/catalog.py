@@ -27,8 +27,8 @@ def mailbox_builders() -> dict[str, Builder]:
     b: dict[str, Builder] = {}
     b["message_id"] = lambda s, sf: _facts(s, sf).select("mailbox_id", "file_seq", "msg_seq", "message_id")
     b["sender_normalize"] = lambda s, sf: (
-        view(s, sf, "v_msgs").where(F.col("from1").isNotNull())
-        .select("mailbox_id", "msg_seq", H.parse_sender(F.col("from1")).alias("email")))
+        view(s, sf, "v_msgs").select("mailbox_id", "msg_seq", F.posexplode(F.array_compact(F.array("from1", "from2"))).alias("pos", "value"))
+        .select("mailbox_id", "msg_seq", "pos", H.parse_sender(F.col("value")).alias("email")))
     b["label_split"] = lambda s, sf: MB.label_rows(_facts(s, sf))
     b["sent_messages"] = lambda s, sf: MB.sent_messages(_facts(s, sf))
     b["sender_candidates"] = lambda s, sf: MB.sender_counts(_facts(s, sf))
@@ -36,7 +36,8 @@ def mailbox_builders() -> dict[str, Builder]:
     b["sender_ranking"] = lambda s, sf: MB.sender_ranking(MB.sender_counts(_facts(s, sf)))
     b["duplicate_counts"] = lambda s, sf: MB.duplicate_counts(_facts(s, sf))
     b["mailbox_stats"] = lambda s, sf: MB.mailbox_stats(_facts(s, sf))
-    b["label_inventory"] = lambda s, sf: MB.label_inventory(_facts(s, sf))
+    b["label_inventory"] = lambda s, sf: MB.ordered_labels(MB.label_inventory(_facts(s, sf)))
+    b["warning_summary"] = lambda s, sf: MB.warning_summary(MB.mailbox_stats(_facts(s, sf)))
     b["invalid_from"] = lambda s, sf: (
         _facts(s, sf).groupBy("mailbox_id").agg(F.sum("invalid_from").cast("long").alias("invalid_from")))
     return b
@@ -143,6 +144,15 @@ def rule_builders() -> dict[str, Builder]:
     b["required_extensions"] = lambda s, sf: R.required_extensions(final(s, sf))
     b["rule_script"] = lambda s, sf: R.script_blocks(final(s, sf))
     b["capability_check"] = lambda s, sf: R.capability_rows(converted(s, sf))
+    b["capability_matrix"] = lambda s, sf: R.capability_rows(converted(s, sf)).groupBy("target", "message").agg(
+        F.max("supported").alias("supported"), F.count(F.lit(1)).alias("rules"))
+    from ..sinks import reports as RP
+
+    b["gap_lines"] = lambda s, sf: RP.gap_lines(b["rule_gaps"](s, sf))
+    b["review_filter"] = lambda s, sf: RP.with_status(final(s, sf), "approximate").select("mailbox_id", "rule_seq", "rule_id", "status")
+    b["recipe_blocks"] = lambda s, sf: RP.recipe_blocks(final(s, sf))
+    b["redact_issues"] = lambda s, sf: final(s, sf).select("mailbox_id", "rule_seq", "description", F.posexplode("issues").alias("pos", "issue")).select(
+        "mailbox_id", "rule_seq", "pos", RP.redacted(F.col("issue"), F.col("description")).alias("issue"))
     return b
 
 
@@ -157,6 +167,8 @@ def input_builders() -> dict[str, Builder]:
     b["archive_audit"] = audit
     b["archive_atomic"] = lambda s, sf: A.atomic_files(view(s, sf, "v_archives"), A.REFERENCE)
     b["archive_batch_budget"] = lambda s, sf: A.batch_budget(audit(s, sf), K.MAX_BATCH_EXPANDED)
+    b["expanded_inputs"] = lambda s, sf: A.expanded_inputs(
+        FL.admission(view(s, sf, "v_files"), K.MAX_XML, K.MAX_ARCHIVE), A.atomic_files(view(s, sf, "v_archives"), A.REFERENCE), A.batch_budget(audit(s, sf), K.MAX_BATCH_EXPANDED))
     b["input_admission"] = lambda s, sf: FL.admission(view(s, sf, "v_files"), K.MAX_XML, K.MAX_ARCHIVE).select(
         "file_seq", "path", "size", "kind", "verdict")
     b["sent_hint"] = lambda s, sf: FL.sent_hint(view(s, sf, "v_files"))
@@ -167,6 +179,7 @@ def input_builders() -> dict[str, Builder]:
 def folder_builders() -> dict[str, Builder]:
     from ..operators import folders as FD
     from ..operators import rules as R
+    from ..operators import targets as T
 
     def target() -> Column:
         """The target of a mailbox; v_rules has the same.  Columns are made in builders only: listing queries needs no session."""
@@ -202,13 +215,26 @@ def folder_builders() -> dict[str, Builder]:
 
     b["folder_manifest"] = lambda s, sf: RP.manifest_rows(mapping(s, sf))
     b["senders_csv"] = lambda s, sf: RP.sender_lines(MB.sender_counts(_facts(s, sf)))
-    b["redact_issues"] = lambda s, sf: view(s, sf, "v_rules").select(
-        "mailbox_id", "rule_seq", RP.redacted(
-            F.concat_ws(" ", F.lit("see <a@example.com>,"), F.coalesce("p_from", F.lit("-")), F.coalesce("p_forwardTo", F.lit("x@y"))),
-            R.description(view(s, sf, "v_rules").columns)).alias("issue"))
+    templates = [x.split("{name}")[0] for x in (K.R_BAD_FOLDER, K.R_COLLISION)]
+
+    def folder_issues() -> Column:
+        return F.filter("issues", lambda i: F.startswith(i, F.lit(templates[0])) | F.startswith(i, F.lit(templates[1])))
+
     b["rule_destinations"] = lambda s, sf: mapped_rules(s, sf).select(
         "mailbox_id", "rule_seq", F.array_join(F.filter("commands", lambda c: c.startswith("fileinto ")), "").alias("destination"),
-        F.exists("issues", lambda i: i.contains("folder") | i.contains("destination") | i.contains("Folder")).alias("flagged"))
+        F.array_join(folder_issues(), " | ").alias("folder_issue"))
+    b["folder_collisions"] = lambda s, sf: mapped_rules(s, sf).select("mailbox_id", "rule_seq", F.explode_outer(folder_issues()).alias("issue")).where(
+        F.startswith(F.col("issue"), F.lit(templates[1])))
+
+    def targeted(s: SparkSession, sf: str) -> DataFrame:
+        chosen = view(s, sf, "v_specials").where("pick = 0").select("mailbox_id", F.col("archiveFolder").alias("archive_folder"), F.col("trashFolder").alias("trash_folder"))
+        boxes = _facts(s, sf).select("mailbox_id").distinct().withColumn("target", target())
+        return T.with_target(boxes.join(chosen, "mailbox_id", "left"))
+
+    b["manifest_heads"] = lambda s, sf: RP.manifest_heads(targeted(s, sf))
+    b["special_errors"] = lambda s, sf: FD.special_errors(view(s, sf, "v_specials").where("pick = 0"))
+    b["migration_summary"] = lambda s, sf: RP.summary_rows(
+        R.finalize(R.convert_rules(view(s, sf, "v_rules").withColumn("unknown", F.array().cast("array<string>")))), mapping(s, sf)).select("mailbox_id", "active", "disabled", "folders")
     return b
 
 
@@ -224,8 +250,9 @@ def matching_builders() -> dict[str, Builder]:
     b["rule_hits"] = lambda s, sf: MA.rule_hits(*met(s, sf))
     b["rule_overlap"] = lambda s, sf: MA.rule_overlap(MA.rule_matches(*met(s, sf)))
     b["source_summary"] = lambda s, sf: _facts(s, sf).groupBy("mailbox_id", "file_seq").agg(F.count(F.lit(1)).alias("records"))
-    b["replacement_count"] = lambda s, sf: view(s, sf, "v_msgs").select(
-        "mailbox_id", "msg_seq", H.replacement_count(F.concat(F.lit("\ufffd"), F.replace("label1", F.lit("o"), F.lit("\ufffd")))).alias("n"))
+    raw = ("from1", "from2", "label1", "label2")  # the header values that are decoded
+    b["replacement_count"] = lambda s, sf: view(s, sf, "v_msgs").where("header_valid").select(
+        "mailbox_id", "file_seq", "msg_seq", H.replacement_count(F.concat_ws("", *raw)).cast("long").alias("n")).groupBy("mailbox_id", "file_seq").agg(F.sum("n").alias("replacements"))
     return b
 
 
@@ -289,6 +316,15 @@ def feed_builders() -> dict[str, Builder]:
 
     b: dict[str, Builder] = {}
     b["filter_feed"] = lambda s, sf: FE.feed_verdicts(feeds(s, sf)).select("mailbox_id", "verdict")
+    from ..operators import rules as R
+    from ..sinks import reports as RP
+
+    def redacted_unknown(s: SparkSession, sf: str) -> DataFrame:
+        rules = FE.filter_rules(feeds(s, sf))
+        told = rules.select("mailbox_id", "rule_seq", R.description(rules.columns).alias("description"), F.posexplode_outer("unknown").alias("pos", "issue"))
+        return told.where(F.col("pos").isNotNull()).select("mailbox_id", "rule_seq", "pos", RP.redacted(F.col("issue"), F.col("description")).alias("issue"))
+
+    b["redact_unknown"] = redacted_unknown
     b["filter_rules"] = lambda s, sf: FE.filter_rules(feeds(s, sf)).select(
         "mailbox_id", "rule_seq", "rule_id", *[f"p_{n}" for n in ("from", "to", "subject", "hasTheWord", "size", "label", "shouldStar")], F.array_join("unknown", " | ").alias("unknown"))
     return b

@@ -83,7 +83,9 @@ def mailbox_queries() -> dict[str, str]:
     q["message_id"] = f + """
 SELECT mailbox_id, file_seq, msg_seq, message_id FROM efacts"""
     q["sender_normalize"] = f + """
-SELECT mailbox_id, msg_seq, p1 AS email FROM m1 WHERE from1 IS NOT NULL"""
+SELECT mailbox_id, msg_seq, 0 AS pos, p1 AS email FROM m1 WHERE from1 IS NOT NULL
+UNION ALL SELECT mailbox_id, msg_seq, CASE WHEN from1 IS NULL THEN 0 ELSE 1 END, p2 FROM m1 WHERE from2 IS NOT NULL"""
+    from .. import constants as K
     q["label_split"] = f + """
 SELECT mailbox_id, file_seq, msg_seq, CAST(u.pos - 1 AS INTEGER) AS pos, u.label
 FROM efacts, LATERAL (SELECT unnest(labels) AS label, generate_subscripts(labels, 1) AS pos) u"""
@@ -128,6 +130,11 @@ FROM (SELECT mailbox_id, file_seq, count(*) AS message_count,
              CAST(count_if(is_sent AND email IS NULL) AS BIGINT) AS sent_without_from
       FROM efacts GROUP BY mailbox_id, file_seq) b
 LEFT JOIN dups d USING (mailbox_id, file_seq)"""
+    told = {"malformed_headers": ("invalid_headers", K.W_MALFORMED), "unterminated_label": ("unterminated_labels", K.W_UNTERMINATED_LABEL),
+            "sent_without_from": ("sent_without_from", K.W_SENT_NO_FROM), "local_duplicates": ("duplicate_count", K.W_LOCAL_DUPES_SHARED),
+            "cross_file_duplicates": ("cross_file_duplicates", K.W_CROSS_DUPES), "invalid_from": ("invalid_from", K.W_INVALID_FROM)}
+    q["warning_summary"] = "WITH stats AS (" + q["mailbox_stats"] + ")\n" + "\nUNION ALL ".join(
+        f"SELECT mailbox_id, file_seq, '{code}' AS code, {c} AS n, replace('{t}', '{{n}}', {c}::VARCHAR) AS text FROM stats WHERE {c} > 0" for code, (c, t) in told.items())
     q["stream_senders"] = q["incremental_senders"] = q["sender_candidates"]
     q["stream_dedup"] = f + """
 SELECT mailbox_id, message_id, email FROM (
@@ -393,6 +400,10 @@ adm2 AS (
     WHEN kind = 'zip' THEN 'archive' ELSE 'unsupported' END AS verdict
   FROM adm)"""
     q["input_admission"] = adm + "\nSELECT file_seq, path, size, kind, verdict FROM adm2"
+    q["expanded_inputs"] = q["archive_batch_budget"].replace("SELECT batch_id, archive_id, taken FROM rec", f"""
+SELECT NULL::BIGINT AS archive_id, path AS name, size FROM ({q["input_admission"]}) WHERE verdict = 'accepted'
+UNION ALL
+SELECT e.archive_id, e.entry_name, e.uncompressed FROM e JOIN rec r ON r.batch_id = e.batch_id AND r.archive_id = e.archive_id WHERE e.wanted AND r.taken""")
     q["sent_hint"] = files.rstrip(",\n") + """
 SELECT file_seq, path, regexp_matches(regexp_extract(lower(path), '([^/\\\\]*)$', 1),
   '(?i)^(sent|sent mail|已发送|已发送邮件|寄件備份|gesendet|envoyés)\\.mbox$') AS sent_hint FROM v_files"""
@@ -479,6 +490,43 @@ SELECT mailbox_id, label, folder, 'invalidFolder' AS error_key FROM keyed
   WHERE trim(folder) = '' OR regexp_matches(folder, '[\\x00-\\x1f\\x7f-\\x{{9f}}]')
 UNION ALL SELECT mailbox_id, label, folder, 'reservedFolder' FROM keyed WHERE list_contains(reserved, key)
 UNION ALL SELECT mailbox_id, label, folder, 'collision' FROM keyed WHERE clash"""
+    specials = f"v_specials AS (SELECT * FROM ({view_sql('v_specials')}) WHERE pick = 0)"
+    control = "[\\x00-\\x1f\\x7f-\\x{9f}]"
+    q["special_errors"] = f"WITH {specials}\n" + "\nUNION ALL ".join(
+        f"SELECT mailbox_id, '{n}' AS label, {n} AS folder, 'invalidFolder' AS error_key FROM v_specials WHERE trim({n}, ' ' || chr(9)) = '' OR regexp_matches({n}, '{control}')"
+        for n in ("archiveFolder", "trashFolder"))
+    heads = " UNION ALL ".join(
+        f"SELECT {k} AS k, '{t['id']}' AS target, '{t['label']}' AS label, '{t['verifyStatus']}' AS status, '{t['archiveFolder']}' AS archive, '{t['trashFolder']}' AS trash, ["
+        + ", ".join("'" + n.replace("'", "''") + "'" for n in t["notes"]) + "] AS notes" for k, t in enumerate(K.TARGETS))
+    q["manifest_heads"] = f"""WITH {facts_cte()}, {specials}, heads AS ({heads})
+SELECT b.mailbox_id, '' AS label, 'head' AS part, '{{"version":1,"target":' || to_json(h.target)::VARCHAR || ',"targetLabel":' || to_json(h.label)::VARCHAR || ',"targetVerifyStatus":' || to_json(status)::VARCHAR
+  || ',"archiveFolder":' || to_json(coalesce(s.archiveFolder, archive))::VARCHAR || ',"trashFolder":' || to_json(coalesce(s.trashFolder, trash))::VARCHAR || ',"notes":' || to_json(notes)::VARCHAR || '}}' AS entry
+FROM (SELECT DISTINCT mailbox_id FROM efacts) b JOIN heads h ON h.k = b.mailbox_id % {len(K.TARGETS)} LEFT JOIN v_specials s ON s.mailbox_id = b.mailbox_id"""
+    # Destinations with the mapping: the folder of the label's row; archive and trash are the target's, as no label is called so.
+    pick = lambda f: "CASE target " + " ".join(f"WHEN '{t['id']}' THEN '{t[f]}'" for t in K.TARGETS) + " END"
+    key = lambda x: f"lower(trim(nfc_normalize({x})))"
+    q["rule_destinations"] = plan + f""",
+dest AS (
+  SELECT mailbox_id, rule_seq, {pick('archiveFolder')} AS archive, {pick('trashFolder')} AS trash, p_label,
+    CASE WHEN p_shouldTrash = 'true' THEN 'Trash' WHEN p_label <> '' THEN p_label WHEN p_shouldArchive = 'true' THEN 'Archive' END AS name, p_shouldTrash = 'true' AS trashes
+  FROM v_rules),
+placed AS (
+  SELECT d.*, CASE WHEN name IS NULL THEN NULL WHEN trashes THEN trash WHEN p_label <> '' THEN m.folder ELSE archive END AS folder
+  FROM dest d LEFT JOIN mapping m ON m.mailbox_id = d.mailbox_id AND m.label = d.p_label),
+judged AS (
+  SELECT *, trim(folder) = '' OR regexp_matches(folder, '{control}') AS bad,
+    {key('folder')} = 'inbox' OR CASE WHEN p_label <> '' AND NOT coalesce(trashes, false) THEN {key('folder')} IN ({key('archive')}, {key('trash')}) ELSE {key('archive')} = {key('trash')} END
+      OR EXISTS (SELECT 1 FROM mapping o WHERE o.mailbox_id = p.mailbox_id AND o.label <> p.name AND {key('o.folder')} = {key('p.folder')}) AS clash
+  FROM placed p)
+SELECT mailbox_id, rule_seq, CASE WHEN name IS NOT NULL AND NOT bad AND NOT clash THEN 'fileinto "' || replace(replace(folder, '\\', '\\\\'), '"', '\\"') || '";' ELSE '' END AS destination,
+  CASE WHEN name IS NULL THEN '' WHEN bad THEN replace('{K.R_BAD_FOLDER}', '{{name}}', name) WHEN clash THEN replace('{K.R_COLLISION}', '{{name}}', name) ELSE '' END AS folder_issue
+FROM judged"""
+    q["folder_collisions"] = f"SELECT mailbox_id, rule_seq, folder_issue AS issue FROM ({q['rule_destinations']}) WHERE starts_with(folder_issue, '{K.R_COLLISION.split('{name}')[0]}')"
+    q["migration_summary"] = f"""WITH r AS ({conversion_queries()['rule_status']}), m AS ({q['folder_mapping']}),
+a AS (SELECT mailbox_id, count(*) FILTER (WHERE status = 'converted') AS active, count(*) FILTER (WHERE status = 'approximate') AS disabled FROM r GROUP BY ALL),
+f AS (SELECT mailbox_id, count(*) AS folders FROM m WHERE folder <> '' GROUP BY ALL)
+SELECT coalesce(a.mailbox_id, f.mailbox_id) AS mailbox_id, coalesce(active, 0) AS active, coalesce(disabled, 0) AS disabled, coalesce(folders, 0) AS folders
+FROM a FULL JOIN f ON f.mailbox_id = a.mailbox_id"""
     return q
 
 
@@ -486,15 +534,13 @@ def matching_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     base = f"WITH v_msgs AS ({view_sql('v_msgs')})\n"
     q["source_summary"] = base + "SELECT mailbox_id, file_seq, count(*) AS records FROM v_msgs GROUP BY ALL"
-    q["replacement_count"] = base + "SELECT mailbox_id, msg_seq, 1 + length(label1) - length(replace(label1, 'o', '')) AS n FROM v_msgs"
-    q["senders_csv"] = "SELECT mailbox_id, email, chr(34) || CASE WHEN regexp_matches(email, '^[=+@-]') THEN chr(39) ELSE '' END || email || chr(34) || ',' || messages || ',\"\",\"\"' AS line FROM (" + mailbox_queries()["sender_candidates"] + ")"
-    described = rule_queries()["rule_description"]
-    q["redact_issues"] = f"""
-WITH d AS ({described}), r AS ({view_sql('v_rules')})
-SELECT r.mailbox_id, r.rule_seq,
-  'see <' || CASE WHEN contains(description, 'a@example.com') THEN 'a@example.com' ELSE '[邮箱已省略]' END || '>, '
-  || coalesce(CASE WHEN strpos(p_from, ' ') > 0 THEN p_from ELSE p_from END, '-') || ' ' || coalesce(p_forwardTo, '[邮箱已省略]') AS issue
-FROM r JOIN d USING (mailbox_id, rule_seq)"""
+    q["replacement_count"] = base + """
+SELECT mailbox_id, file_seq, sum(length(v) - length(replace(v, chr(65533), '')))::BIGINT AS replacements
+FROM (SELECT *, concat(from1, from2, label1, label2) AS v FROM v_msgs WHERE header_valid) GROUP BY ALL"""
+    q["senders_csv"] = "WITH s AS (" + mailbox_queries()["sender_candidates"] + """)
+SELECT mailbox_id, row_number() OVER (PARTITION BY mailbox_id ORDER BY messages DESC, email)::INT AS place,
+       chr(13) || chr(10) || chr(34) || CASE WHEN regexp_matches(email, '^[=+@-]') THEN chr(39) ELSE '' END || email || chr(34) || ',' || messages || ',"",""' AS text FROM s
+UNION ALL SELECT DISTINCT mailbox_id, 0, chr(65279) || '地址,邮件数量,置信度,来源' FROM s"""
     return q
 
 
@@ -649,6 +695,24 @@ SELECT mailbox_id, rule_seq AS block, generated || CASE WHEN rule_seq = n_rules
 UNION ALL
 SELECT mailbox_id, 0, {text(K.SCRIPT_HEADER.rstrip(chr(10)))} || chr(10) || coalesce('require [' || string_agg(chr(34) || e || chr(34), ', ' ORDER BY e) || '];' || chr(10) || chr(10), '')
 FROM (SELECT DISTINCT m.mailbox_id, n.e FROM final m LEFT JOIN (SELECT DISTINCT mailbox_id, unnest(needed) AS e FROM final WHERE enabled) n USING (mailbox_id)) GROUP BY mailbox_id"""
+    q["review_filter"] = conv + "\nSELECT mailbox_id, rule_seq, rule_id, status FROM final WHERE status = 'approximate'"
+    q["gap_lines"] = f"""SELECT mailbox_id, row_number() OVER w::INT AS number, row_number() OVER w || '. ' || gap AS line FROM ({q['rule_gaps']})
+WINDOW w AS (PARTITION BY mailbox_id ORDER BY rule_seq, pos)"""
+    mask = "list_reduce(list_prepend(issue, regexp_extract_all(issue, '[^\\s<>\"''()]+@[^\\s<>\"''()]+')), lambda t, x: CASE WHEN contains(description, x) THEN t ELSE replace(t, x, '" + K.REDACTED + "') END)"
+    described = rule_queries()["rule_description"]
+    q["redact_issues"] = conv + f""",
+told AS (SELECT f.mailbox_id, f.rule_seq, d.description, unnest(issues) AS issue, generate_subscripts(issues, 1) - 1 AS pos FROM final f JOIN ({described}) d USING (mailbox_id, rule_seq))
+SELECT mailbox_id, rule_seq, pos::INT AS pos, {mask} AS issue FROM told"""
+    steps = " || chr(10) || ".join(text(x) for x in K.RECIPE_STEPS)
+    q["recipe_blocks"] = conv + f""",
+told AS (
+  SELECT f.mailbox_id, f.rule_seq, f.status, d.description, list_transform(issues, lambda issue: {mask}) AS issues,
+    repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(description, '`+'), lambda r: length(r) + 1)), 3))) AS fence
+  FROM final f JOIN ({described}) d USING (mailbox_id, rule_seq))
+SELECT mailbox_id, rule_seq AS block, fence, chr(10) || {text(K.RECIPE_RULE)} || rule_seq || chr(10) || chr(10) || {text(K.RECIPE_ORIGINAL)} || chr(10) || fence || chr(10) || description || chr(10) || fence
+  || chr(10) || chr(10) || {steps} || chr(10) || {text(K.RECIPE_STATUS)} || status || '。' || chr(10)
+  || CASE WHEN len(issues) > 0 THEN array_to_string(list_transform(issues, lambda i: '- ' || i), chr(10)) ELSE {text(K.RECIPE_NO_ISSUE)} END || chr(10) || {text(K.RECIPE_LAST)} AS text
+FROM told"""
     # Each rule against each message of its mailbox, test by test.
     reasons = "list_concat(field_issues, " + some(*[when(f"{n.lower()} IS NOT NULL", text(K.R_NEVER.format(name=n))) for n in K.NEVER_CONVERTIBLE if n in K.CRITERIA]) + ", " + some(
         when("from_ IS NOT NULL AND NOT from_ok", text(K.R_EXACT_ADDRESS.format(name="from"))), when("to_ IS NOT NULL AND NOT to_ok", text(K.R_EXACT_ADDRESS.format(name="to"))),
@@ -692,6 +756,7 @@ told AS (
     list_transform(used, lambda v: {{'supported': list_contains(actions, v), 'message': CASE WHEN list_contains(actions, v) THEN {ok} ELSE {act_bad} END}})) AS m FROM final)
 SELECT mailbox_id, rule_seq, target, CAST(pos AS INTEGER) AS pos, x.supported AS supported, x.message AS message
 FROM (SELECT mailbox_id, rule_seq, target, unnest(m) AS x, generate_subscripts(m, 1) - 1 AS pos FROM told)"""
+    q["capability_matrix"] = f"SELECT target, message, bool_or(supported) AS supported, count(*) AS rules FROM ({q['capability_check']}) GROUP BY target, message"
     return q
 
 
@@ -782,6 +847,10 @@ t AS (SELECT *, sound AND row_number() OVER (PARTITION BY mailbox_id, rule_seq,
     names = ("from", "to", "subject", "hasTheWord", "size", "label", "shouldStar")
     known = ", ".join(f"'{n}'" for n in K.CRITERIA + K.ACTIONS)
     return {"filter_feed": base + "\nSELECT mailbox_id, verdict FROM verdicts",
+            "redact_unknown": base + f"""
+SELECT mailbox_id, rule_seq, (row_number() OVER (PARTITION BY mailbox_id, rule_seq ORDER BY pos) - 1)::INT AS pos,
+  CASE WHEN own THEN 'Unsupported XML property: ' || regexp_replace(name, '^.*@.*$', '{K.REDACTED}') ELSE 'Invalid or duplicate property: ' || coalesce(name, '(unnamed)') END AS issue
+FROM t WHERE NOT own OR name NOT IN ({known})""",
             "filter_rules": base + f"""
 SELECT e.mailbox_id, e.rule_seq, coalesce(nullif(regexp_extract(any_value(e.entry), '<id>([^<]*)</id>', 1), ''), 'rule-' || e.rule_seq) AS rule_id,
        {', '.join(f"any_value(value) FILTER (own AND name = '{n}') AS p_{n}" for n in names)},

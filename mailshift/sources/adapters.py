@@ -48,7 +48,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 8 THEN '[Gmail]/Sent Mail,Travel.' "
         "ELSE NULL END AS label1",
         "CASE event_id % 40 WHEN 19 THEN 'sent' WHEN 39 THEN 'sent' WHEN 7 THEN 'work,Work (2),WORK' "
-        "WHEN 8 THEN 'Junk,Archive/x,Drafts ' WHEN 17 THEN 'work/reports 1,Trips/1' END AS label2",
+        "WHEN 8 THEN 'Junk,Archive/x,Drafts ' WHEN 12 THEN 'Caf\ufffd,\ufffd\ufffd' WHEN 17 THEN 'work/reports 1,Trips/1' END AS label2",
         "CAST(floor(value) AS BIGINT) * 1024 AS size_bytes",
     ]),
     # Lines of mbox files: one per line item, in blocks that cut through messages.
@@ -119,11 +119,12 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 6 THEN 'user' || CAST(c_custkey % 5 AS STRING) || '@example.org' WHEN 12 THEN 'Boss <boss@example.com>' "
         "WHEN 13 THEN 'x@example.com' WHEN 15 THEN 'me@example.org' END AS p_from",
         "CASE c_custkey % 16 WHEN 1 THEN 'me@example.com' WHEN 14 THEN 'me@example.com' END AS p_to",
-        "CASE c_custkey % 16 WHEN 3 THEN 'Invoice' WHEN 7 THEN 'Invoice ' || CAST(c_custkey % 5 AS STRING) END AS p_subject",
+        "CASE WHEN c_custkey % 48 = 19 THEN 'bell' || chr(7) WHEN c_custkey % 48 = 20 THEN 'run ``` of ````` ticks' "
+        "WHEN c_custkey % 16 = 3 THEN 'Invoice' WHEN c_custkey % 16 = 7 THEN 'Invoice ' || CAST(c_custkey % 5 AS STRING) END AS p_subject",
         "CASE c_custkey % 16 WHEN 8 THEN 'from:x@example.com larger:10M' WHEN 9 THEN 'hello' END AS p_hasTheWord",
         "CASE c_custkey % 16 WHEN 11 THEN 'subject:spam -larger:1M' END AS p_doesNotHaveTheWord",
         "CASE c_custkey % 16 WHEN 13 THEN 'true' END AS p_hasAttachment",
-        "CAST(NULL AS STRING) AS p_excludeChats",
+        "CASE c_custkey % 48 WHEN 5 THEN 'yes' WHEN 22 THEN 'false' WHEN 24 THEN 'true' END AS p_excludeChats",
         "CASE c_custkey % 16 WHEN 10 THEN CAST(c_custkey % 3 * 200 AS STRING) WHEN 15 THEN '100' END AS p_size",
         "CASE c_custkey % 16 WHEN 10 THEN 's_sl' WHEN 0 THEN 's_sl' WHEN 15 THEN 's_ss' END AS p_sizeOperator",
         "CASE c_custkey % 16 WHEN 10 THEN 's_skb' WHEN 0 THEN 's_smb' WHEN 15 THEN 's_skb' END AS p_sizeUnit",
@@ -133,7 +134,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE c_custkey % 16 WHEN 5 THEN 'copy@example.com' WHEN 6 THEN 'copy@example.com' END AS p_forwardTo",
         "CASE c_custkey % 16 WHEN 2 THEN 'true' WHEN 3 THEN 'true' WHEN 11 THEN 'true' END AS p_shouldArchive",
         "CASE c_custkey % 16 WHEN 7 THEN 'true' END AS p_shouldMarkAsRead",
-        "CASE c_custkey % 16 WHEN 7 THEN 'true' WHEN 2 THEN 'false' END AS p_shouldStar",
+        "CASE c_custkey % 16 WHEN 7 THEN 'true' WHEN 2 THEN 'false' WHEN 9 THEN 'TRUE' END AS p_shouldStar",
         "CASE c_custkey % 16 WHEN 4 THEN 'true' WHEN 15 THEN 'true' END AS p_shouldTrash",
         "CAST(NULL AS STRING) AS p_shouldNeverSpam",
         "CAST(NULL AS STRING) AS p_shouldAlwaysMarkAsImportant",
@@ -153,7 +154,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 2 THEN '<apps:property value=\"x\"/><apps:property name=\"subject\" value=\"Invoice ' || CAST(c_custkey AS STRING) || '\"/>' "
         "WHEN 3 THEN '<apps:property name=\"shouldStar\"/><apps:property name=\"to\" value=\"me@example.com\"/>' "
         "WHEN 4 THEN '<o:property xmlns:o=\"urn:other\" name=\"from\" value=\"a@example.com\"/><property name=\"to\" value=\"z@example.com\"/>' "
-        "WHEN 5 THEN '<apps:property name=\"sparkle\" value=\"1\"/><apps:property name=\"hasTheWord\" value=\"&quot;large &lt;files&gt;&quot;\"/>' "
+        "WHEN 5 THEN '<apps:property name=\"sparkle@mail.test\" value=\"1\"/><apps:property name=\"hasTheWord\" value=\"&quot;large &lt;files&gt;&quot;\"/>' "
         "WHEN 6 THEN '<apps:property name=\"label\" value=\"\"/><apps:property name=\"size\" value=\"' || CAST(c_custkey AS STRING) || '\"/>' "
         "ELSE '<!-- <apps:property name=\"from\" value=\"hidden@example.com\"/> --><g:property xmlns:g=\"http://schemas.google.com/apps/2006\" name=\"subject\" value=\"R&amp;D\"/>' END "
         "|| '</entry>' AS entry",
@@ -181,6 +182,13 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE c_custkey % 64 WHEN 3 THEN 'Jobs' WHEN 5 THEN ' trash' WHEN 7 THEN 'JOBS ' WHEN 9 THEN 'a' || chr(9) ELSE 'Travel' END AS folder",
         "c_custkey % 64 AS pick",
     ]),
+    # Archive and trash folders that users chose: for a few mailboxes, some of them unusable.
+    "v_specials": ("customer", [
+        "CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) AS mailbox_id",
+        "CASE CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) % 4 WHEN 0 THEN 'Old mail' WHEN 1 THEN '  ' WHEN 2 THEN 'a' || chr(9) || 'b' ELSE 'Archive' END AS archiveFolder",
+        "CASE CAST((c_custkey - c_custkey % 64) / 64 AS BIGINT) % 3 WHEN 0 THEN '' WHEN 1 THEN 'Bin' ELSE 'x' || chr(127) END AS trashFolder",
+        "c_custkey % 64 AS pick",
+    ]),
     # Archive entries: one per line item; archive = order, entry = line number.
     "v_archives": ("lineitem", [
         "l_orderkey AS archive_id",

@@ -11,8 +11,10 @@ verdicts, and only where they are given.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,20 +94,32 @@ def batch_budget(audit: DataFrame, max_bytes: int) -> DataFrame:
     """Archives taken in selection order while the batch total stays within max_bytes.
 
     A refused archive (bad, or over budget) does not consume budget, so this is
-    a greedy fold, not a window sum: per batch (one user selection) the ordered
-    (archive, expanded, ok) list is folded with ``aggregate``, JVM-side.
+    greedy and no window sum: each batch is read as a sorted stream, of which a task
+    holds one running total.
     """
-    items = audit.groupBy("batch_id").agg(
-        F.array_sort(F.collect_list(F.struct("archive_id", "expanded", "ok"))).alias("items"))
-    init = F.struct(F.lit(0).cast("long").alias("total"),
-                    F.array().cast("array<struct<archive_id:bigint,taken:boolean>>").alias("out"))
-
-    def step(acc, x):
-        take = x["ok"] & (acc["total"] + x["expanded"] <= max_bytes)
-        return F.struct(
-            F.when(take, acc["total"] + x["expanded"]).otherwise(acc["total"]).alias("total"),
-            F.concat(acc["out"], F.array(F.struct(x["archive_id"].alias("archive_id"), take.alias("taken"))))
-            .alias("out"))
-
-    folded = items.select("batch_id", F.aggregate("items", init, step)["out"].alias("out"))
-    return folded.select("batch_id", F.inline("out"))
+    rows = audit.select("batch_id", "archive_id", "expanded", "ok").repartition("batch_id").sortWithinPartitions("batch_id", "archive_id")
+
+    def take(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_id, total = None, 0
+        for part in parts:
+            taken = []
+            for batch, size, ok in zip(*(part.column(c).to_pylist() for c in ("batch_id", "expanded", "ok"))):
+                if batch != batch_id:
+                    batch_id, total = batch, 0
+                taken.append(ok and total + size <= max_bytes)
+                total += size if taken[-1] else 0
+            yield pa.RecordBatch.from_arrays([part.column("batch_id"), part.column("archive_id"), pa.array(taken, pa.bool_())], names=["batch_id", "archive_id", "taken"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in audit.schema}
+    return rows.mapInArrow(take, f"batch_id {kinds['batch_id']}, archive_id {kinds['archive_id']}, taken boolean")
+
+
+def expanded_inputs(files: DataFrame, entries: DataFrame, budget: DataFrame) -> DataFrame:
+    """The admitted files and the entries of archives that were taken, as one list of inputs.
+
+    files: of ``files.admission``; entries: of ``atomic_files``; budget: of ``batch_budget``.
+    """
+    whole = files.where(F.col("verdict") == "accepted").select(F.lit(None).cast("bigint").alias("archive_id"), F.col("path").alias("name"), "size")
+    taken = budget.where("taken").select("batch_id", "archive_id")
+    inside = entries.join(taken, ["batch_id", "archive_id"]).select("archive_id", F.col("entry_name").alias("name"), F.col("uncompressed").alias("size"))
+    return whole.unionByName(inside)
