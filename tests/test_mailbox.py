@@ -1,47 +1,35 @@
-"""Dedup semantics of the sender statistics (first eligible copy, files in order)."""
+"""Sender statistics: the first eligible copy counts, files in order."""
 
 from mailshift.operators import mailbox as MB
 
 SCHEMA = ("mailbox_id long, file_seq int, msg_seq long, header_valid boolean, sent_hint boolean, "
           "from_values array<string>, id_values array<string>, label_values array<string>")
+OUT = ["Gesendet,已发送"]
 
 
-def _msgs(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-def test_unsent_first_copy_does_not_suppress_sent_copy(spark):
-    rows = [
-        (1, 0, 1, True, False, ["me@example.org"], ["<same@example.org>"], ["Inbox"]),
-        (1, 0, 2, True, False, ["me@example.org"], ["<same@example.org>"], ["Sent"]),
-    ]
-    facts = MB.message_facts(_msgs(spark, rows))
-    got = {(r.email, r.messages) for r in MB.sender_counts(facts).collect()}
-    assert got == {("me@example.org", 1)}
-    stats = MB.mailbox_stats(facts).collect()[0]
-    assert (stats.message_count, stats.duplicate_count, stats.cross_file_duplicates) == (2, 1, 0)
-
-
-def test_cross_file_duplicates_and_missing_ids(spark):
-    first = (["me@example.org"], ["<same@example.org>"], ["Sent"])
+def test_copies_hints_and_broken_headers(spark):
     rows = [
-        (1, 0, 1, True, False) + first,
-        (1, 1, 1, True, False, ["me@example.org"], ["  <same@example.org>  "], ["Sent,Second"]),
-        (1, 1, 2, True, False) + first,
-        # Two sent messages without an ID are never merged.
-        (1, 1, 3, True, True, ["x@example.org"], [], []),
-        (1, 1, 4, True, True, ["x@example.org"], [], []),
-        # Invalid headers count as messages only.
-        (1, 1, 5, False, True, ["y@example.org"], [], ["Sent"]),
+        # Mailbox 3: the copy that is not sent comes first and takes nothing from the one that is.
+        (3, 0, 1, True, False, ["kim@home.test"], ["<k1@home.test>"], ["Kept"]),
+        (3, 0, 2, True, False, ["kim@home.test"], ["<k1@home.test>"], OUT),
+        # Mailbox 4: a copy in a later file, another sender's copy there, letters, and two without an id.
+        (4, 0, 1, True, False, ["lou@home.test"], ["<q@home.test>"], OUT),
+        (4, 1, 1, True, False, ["other@home.test"], [" <q@home.test>\t"], OUT),
+        (4, 1, 2, True, False, ["lou@home.test"], ["<q@home.test>"], OUT),
+        (4, 1, 3, True, True, ["Lou <LOU2@home.test>"], [], []),
+        (4, 1, 4, True, True, ["lou2@home.test"], ["not an id"], []),
+        (4, 1, 5, False, True, ["gone@home.test"], [], OUT),
+        (4, 1, 6, True, True, ["a@home.test", "b@home.test"], ["<r@home.test>"], []),
     ]
-    facts = MB.message_facts(_msgs(spark, rows))
-    got = {(r.email, r.messages) for r in MB.sender_counts(facts).collect()}
-    assert got == {("me@example.org", 1), ("x@example.org", 2)}
-    stats = {r.file_seq: r for r in MB.mailbox_stats(facts).collect()}
-    assert stats[1].message_count == 5
-    assert stats[1].duplicate_count == 1
-    assert stats[1].cross_file_duplicates == 1
-    assert stats[1].invalid_headers == 1
+    facts = MB.message_facts(spark.createDataFrame(rows, SCHEMA))
+    assert {tuple(r) for r in MB.sender_counts(facts).collect()} == {(3, "kim@home.test", 1), (4, "lou@home.test", 1), (4, "lou2@home.test", 2)}
+    stats = {(r.mailbox_id, r.file_seq): r for r in MB.mailbox_stats(facts).collect()}
+    s = stats[3, 0]
+    assert (s.message_count, s.duplicate_count, s.cross_file_duplicates) == (2, 1, 0)
+    s = stats[4, 1]
+    assert (s.message_count, s.duplicate_count, s.cross_file_duplicates, s.invalid_headers, s.sent_without_from) == (6, 1, 1, 1, 1)
+    warned = {(r.mailbox_id, r.file_seq, r.code): r.n for r in MB.warning_summary(MB.mailbox_stats(facts)).collect()}
+    assert warned == {(3, 0, "local_duplicates"): 1, (4, 1, "local_duplicates"): 1, (4, 1, "cross_file_duplicates"): 1, (4, 1, "malformed_headers"): 1, (4, 1, "sent_without_from"): 1}
 
 
 def test_flagship_entry_runs(spark):
