@@ -106,3 +106,48 @@ def test_host(spark):
     urls = ["HTTP://A.Example.com/x", "https://b.example?q", "nothing", None]
     got = spark.createDataFrame([(u,) for u in urls], "url string").select(pages.host_of(F.col("url"))).collect()
     assert [r[0] for r in got] == ["a.example.com", "b.example", "", ""]
+
+
+def test_a_name_is_not_enough():
+    m = pages.main_text
+    assert m("<article><p>a long opening of the piece</p><section class='reply-to-critics'>what he says to them</section></article>") == "a long opening of the piece what he says to them"
+    assert m("<div class='header-note'>Note</div><p>text of the page</p>") == "Note text of the page"
+    assert m("<main><p>some text is here</p><div class='share-prices'>rose by 2</div></main>") == "some text is here rose by 2"
+    assert m("<div id='login-guide'><h1>How to log in</h1><p>First do this</p></div>") == "How to log in First do this"
+    assert m("<div id=login>all there is</div>") == "all there is"
+    # With other evidence it goes: a minor part, or beside the article of a page whose host has no say.
+    assert m("<p>text of the page, quite long</p><div class='cookie-notice'>we use some</div>") == "text of the page, quite long"
+    assert m("<article>short</article><div class='ad banner'>an advert that is longer than the article by far</div>") == "short"
+
+
+def test_a_teaser_is_not_the_article():
+    assert pages.main_text("<article>Teaser</article><div><p>The main text is much longer than that.</p></div>") == "Teaser The main text is much longer than that."
+    assert pages.main_text("<article>The article is the longer one</article><div>beside it</div>") == "The article is the longer one"
+
+
+def test_the_tree_decides_within_articles_and_over_names(spark):
+    def page(k):
+        return (f"<article><h1>Title {k}</h1><p>story {k} of many</p><div class=tail>always the same end of it</div><div class='post-comments'><p>reader {k} says so</p></div></article>")
+
+    got = hosted(spark, [page(k) for k in range(60)])
+    assert got == {k: f"Title {k} story {k} of many" for k in range(60)}
+    # Alone, a page gives no such evidence.
+    assert pages.main_text(page(1)) == "Title 1 story 1 of many always the same end of it reader 1 says so"
+
+
+def test_rows_of_the_given_table_that_the_tree_decides(spark):
+    """Adverts that outweigh their article: their name alone does not remove them where the host has a say, the fixture does."""
+    sf = "/root/testdata/sf0.1"
+    source = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op9_pages(spark, sf).collect()
+    assert all(r.text == brute(source[r.page_id]) for r in rows)
+    assert sum(r.text != pages.main_text(source[r.page_id], say=True) for r in rows) == 3
+
+
+def test_clashing_columns_on_either_path(spark):
+    rows = [(k, f"http://one.example/{k}", f"<p>text {k}", "s", "k", "t", "h") for k in range(12)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string, salt string, known string, text string, host string")
+    for small in (0, 10**6):
+        out = pages.with_main_text(table, small=small)
+        assert out.columns == ["page_id", "url", "html", "salt", "known", "host", "text"]
+        assert {(r.salt, r.known, r.host, r.text) for r in out.collect()} == {("s", "k", "h", f"text {k}") for k in range(12)}
