@@ -5,9 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailshift.session import checkpoint_dir
 
+#: The most that is sent to every executor of a table whose size is not fixed.
+BROADCAST_BYTES = 8 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,3 +33,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     return name
+
+
+def fits_broadcast(df: DataFrame, *texts: str) -> bool:
+    """Whether a table of numbers and the named texts has at most ``BROADCAST_BYTES``, counting 128 bytes a row for the numbers."""
+    size = F.lit(128)
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fits_broadcast, keep
 
 #: A word: characters other than white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,11 +107,19 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[
 
 
 def _decided(sizes: DataFrame, limits: DataFrame) -> DataFrame:
-    """Rows of sizes with source_size, target and copies; a salt keeps a hot source from one task."""
-    dealt = limits.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    """Rows of sizes with source_size, target and copies.
+
+    The table of sources goes to the rows if its size allows it, so that documents are not shuffled; a longer one is joined by
+    source and salt, which keeps a hot source from one task.  The result is the same.
+    """
+    keys = ["no_source", "source_key"]
+    if fits_broadcast(limits, "source_key"):
+        rows = sizes.join(F.broadcast(limits), keys)
+    else:
+        dealt = limits.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        rows = sizes.withColumn("salt", (F.col("hash") % SALTS).cast("int")).join(dealt, [*keys, "salt"]).drop("salt")
     copies = F.col("whole") + F.when(F.shiftright(F.col("hash"), HASH_BITS - BITS * LEVELS) < F.col("under"), 1).otherwise(0)
-    return (sizes.withColumn("salt", (F.col("hash") % SALTS).cast("int")).join(dealt, ["no_source", "source_key", "salt"])
-            .withColumn("copies", copies).drop("salt", "whole", "under"))
+    return rows.withColumn("copies", copies).drop("whole", "under")
 
 
 def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:

@@ -4,7 +4,8 @@ Method: every text is measured in its own row (no exploded words, no shuffle of
 texts).  Quantile sketches of the measures are built for each language and source
 (Spark's mergeable quantile summaries, so a hot source is summed up where its rows
 are) and turned into thresholds; the measured rows meet the thresholds of their
-group in a join whose hot keys are salted.
+group in a join.  The table of thresholds is broadcast if its size allows it, so that no
+text is shuffled; a longer one is joined by group and salt, with the same result.
 
 A text fails the base rules if it has too few words or repeats itself too much.
 Of the others, the sketches give the 10th, 50th and 90th percentile of symbols per
@@ -30,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fits_broadcast, keep
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 FENCE, LEAST, SALTS = 3.0, 30, 16
@@ -115,12 +116,17 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Add kept to measured, keyed rows."""
-    salt = F.pmod(F.hash("word_chars", "n_words", "n_symbols"), F.lit(SALTS))
-    dealt = limits.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    keys = ["group_lang", "group_source"]
+    if not fits_broadcast(limits, *keys):
+        rows = rows.withColumn("salt", F.pmod(F.hash("word_chars", "n_words", "n_symbols"), F.lit(SALTS)))
+        limits = limits.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        keys.append("salt")
+    else:
+        limits = F.broadcast(limits)
     inside = ((F.col("symbol_share") <= F.col("symbol_most")) & (F.col("line_share") <= F.col("line_most"))
               & F.col("word_length").between(F.col("length_least"), F.col("length_most")))
     # A group all of whose rows failed the base rules has no thresholds, and needs none.
-    return (rows.withColumn("salt", salt).join(dealt, ["group_lang", "group_source", "salt"], "left")
+    return (rows.join(limits, keys, "left")
             .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))))
 
 

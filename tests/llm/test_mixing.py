@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from mailshift.llm import mixing
+from mailshift.llm import common, mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,3 +76,12 @@ def test_mix_repeats_rows(hard_docs):
 
 def test_no_rows(no_docs):
     assert mixing.mixture(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+
+
+def test_many_sources_are_joined_by_salt(spark, monkeypatch, hard_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sent = {tuple(r) for r in mixing.mixture(docs).collect()}
+    mixed = sorted(map(repr, mixing.mix(hard_docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    joined = mixing.mixture(docs)
+    assert {tuple(r) for r in joined.collect()} == sent and sorted(map(repr, mixing.mix(hard_docs).collect())) == mixed

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from mailshift.llm import quality, queries
+from mailshift.llm import common, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,3 +59,10 @@ def test_hard_rows(hard_docs, no_docs):
     kept = quality.kept_documents(hard_docs)
     assert kept.columns == hard_docs.columns and {r.doc_id for r in kept.collect()} <= {4}
     assert quality.quality(no_docs).count() == 0 and quality.kept_documents(no_docs).count() == 0
+
+
+def test_many_groups_are_joined_by_salt(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    sent, kept = ({tuple(r) for r in f(docs).collect()} for f in (quality.quality, quality.kept_documents))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert {tuple(r) for r in quality.quality(docs).collect()} == sent and {tuple(r) for r in quality.kept_documents(docs).collect()} == kept
