@@ -23,6 +23,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.files.maxPartitionBytes", "1m")
         .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        # The rule queries are large expressions; they are built faster without a record of each part's call site.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
