@@ -100,17 +100,19 @@ def _test(o: Column) -> Column:
                     o["num"].alias("num"), o["raw"].alias("raw"))
 
 
-def parse_queries(queries: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+def parse_queries(queries: DataFrame, text_col: str = "text", prefix: str = "", *,
+                  max_query: int = K.MAX_QUERY, max_tokens: int = K.MAX_TOKENS) -> DataFrame:
     """Parse every saved search: ``tests``, ``negated`` and ordered ``unsupported`` reasons.
 
     Output columns are prefixed with ``prefix`` so the parser can run inline on
-    a table that holds several search columns (rules), without a join.
+    a table that holds several search columns (rules), without a join.  Searches of
+    more than ``max_query`` UTF-16 units or ``max_tokens`` tokens are unsupported.
     """
     p = prefix
     keep_cols = list(queries.columns)
     text = F.col(text_col)
     gates = F.filter(F.array(
-        F.when(utf16_length(text) > K.MAX_QUERY, F.lit(K.Q_TOO_LONG)),
+        F.when(utf16_length(text) > max_query, F.lit(K.Q_TOO_LONG.replace(str(K.MAX_QUERY), str(max_query)))),
         F.when(unsafe(text), F.lit(K.Q_CONTROL)),
         F.when(is_blank(text), F.lit(K.Q_EMPTY)),
     ), lambda r: r.isNotNull())
@@ -120,7 +122,7 @@ def parse_queries(queries: DataFrame, text_col: str = "text", prefix: str = "")
         F.array_repeat(F.lit(K.Q_ESCAPE), F.when(text.contains("\\"), _bad_escapes(text)).otherwise(0)),
         F.filter(F.array(
             F.when(text.contains('"') & ~text.rlike(_TERMINATED), F.lit(K.Q_UNCLOSED)),
-            F.when(F.size(p + "_tokens") > K.MAX_TOKENS, F.lit(K.Q_TOO_MANY)),
+            F.when(F.size(p + "_tokens") > max_tokens, F.lit(K.Q_TOO_MANY.replace(str(K.MAX_TOKENS), str(max_tokens)))),
         ), lambda r: r.isNotNull()),
     )
     stage2 = stage1.withColumn(
