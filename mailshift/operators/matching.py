@@ -9,6 +9,9 @@ Pairs are narrowed by an equi-join before any test runs: a rule is indexed by
 its most selective test (an address; else the first three letters of a subject; else the
 powers of two that its size bound leaves), and a message by its own addresses,
 three-letter parts and size.  Only rules of none of these meet every message of their mailbox.
+A message goes to the join only with keys that a rule of its mailbox has: the indexed rules are written to
+the shared folder once, and a bitmap of their keys, sized by their number, tells the others
+(by chance it lets some of these through, which then meet no rule).
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import headers as H
+from ..session import shared_path
 from . import rules as R
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GRAM = 3
 ADDRESSES = ["from", "to", "cc"]
+#: Bits of the bitmap of keys: at least 16 for each key, within these bounds (128 KB to 32 MB); beyond them it tells fewer apart.
+_BITS_A_KEY, _LEAST_BITS, _MOST_BITS, _BUCKET = 16, 1 << 20, 1 << 28, 1 << 15
 _ITEM = "struct<field:string,op:string,value:string,num:bigint,negated:boolean>"
 
 
@@ -34,7 +40,8 @@ def _folded(c: Column) -> Column:
 def mail_from_view(v: DataFrame) -> DataFrame:
     """mailbox_id, msg_seq, the addresses from, to and cc (lists), subject and size_bytes of the adapter's rows."""
     def parsed(*columns: str) -> Column:
-        return F.array_distinct(F.array_compact(F.array(*[H.parse_sender(F.col(c)) for c in columns])))
+        # The distinct addresses without nulls; array_compact is a lambda, beneath which nothing is compiled and each trim is made many times over.
+        return F.array_except(F.array(*[H.parse_sender(F.col(c)) for c in columns]), F.array(F.lit(None).cast("string")))
 
     return v.select("mailbox_id", "msg_seq", parsed("from1").alias("from"), parsed("to1", "to2").alias("to"), parsed("cc1").alias("cc"),
                     _folded(F.col("subject")).alias("subject"), "size_bytes")
@@ -113,12 +120,39 @@ def _holds(t: Column) -> Column:
     return F.coalesce(plain, F.lit(False)) != t["negated"]
 
 
+def _place(bits: int) -> Column:
+    return F.pmod(F.xxhash64("mailbox_id", "key"), F.lit(bits))
+
+
+def _bitmap(indexed: DataFrame, bits: int) -> DataFrame:
+    """bucket and words (8 bytes each) of a bitmap in which every (mailbox_id, key) is found."""
+    held = indexed.where(F.col("key").isNotNull()).select(F.floor(_place(bits) / _BUCKET).alias("bucket"), (_place(bits) % _BUCKET).alias("bit"))
+    word = lambda k: F.conv(F.hex(F.substring(F.col("bitmap"), k * 8 + 1, F.lit(8))), 16, -10).cast("bigint")
+    return held.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).select(
+        "bucket", F.transform(F.sequence(F.lit(0), F.lit(_BUCKET // 64 - 1)), word).alias("words"))
+
+
+def _asked(keyed: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key a rule of their mailbox may have."""
+    told = keyed.withColumns({"bucket": F.floor(_place(bits) / _BUCKET), "bit": (_place(bits) % _BUCKET).cast("int")}).join(F.broadcast(bitmap), "bucket")
+    # A word's first byte is its highest.
+    at = (F.lit(7) - F.floor(F.col("bit") % 64 / 8).cast("int")) * 8 + F.col("bit") % 8
+    return told.where(F.getbit(F.get("words", F.floor(F.col("bit") / 64).cast("int")), at) == 1).select(*keyed.columns)
+
+
 def _met(messages: DataFrame, tests: DataFrame, kind: str) -> DataFrame:
     """Rules and the messages that share a key, each pair with matches."""
-    keyed = messages.select("*", F.explode(_message_keys()).alias("key"))
-    indexed = tests.select("*", F.explode_outer("keys").alias("key")).drop("keys")
+    spark = tests.sparkSession
+    path = shared_path(spark, "rule-tests")
+    tests.write.parquet(path)
+    written = spark.read.schema(tests.schema).parquet(path)
+    n = written.agg(F.sum(F.size("keys")).alias("n")).first().n or 0
+    bits = min(max(1 << (_BITS_A_KEY * n).bit_length(), _LEAST_BITS), _MOST_BITS)
+    indexed = written.select("*", F.explode_outer("keys").alias("key")).drop("keys")
+    # No message is without keys; a plain explode would have a filter made of all that its keys are parsed from.
+    keyed = messages.select("*", F.explode_outer(_message_keys()).alias("key"))
     matches = F.col("msg_seq").isNotNull() & F.forall("tests", _holds) & ~((F.size("unless") > 0) & F.forall("unless", _holds))
-    return indexed.join(keyed, ["mailbox_id", "key"], kind).withColumn("matches", matches)
+    return indexed.join(_asked(keyed, _bitmap(indexed, bits), bits), ["mailbox_id", "key"], kind).withColumn("matches", matches)
 
 
 def rule_matches(messages: DataFrame, tests: DataFrame) -> DataFrame:
