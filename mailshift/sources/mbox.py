@@ -96,18 +96,43 @@ def message_lines(lines: DataFrame, max_line: int | None = None) -> DataFrame:
     return told.where("starts OR in_headers").select(*MESSAGE, "pos", "kind", "starts", "in_headers", "closes", "size", "text")
 
 
+def _parts() -> list[Column]:
+    """What the bounds of a message are summed up from, over any part of its lines."""
+    inside = F.col("in_headers")
+    return [F.count_if(inside & (F.col("kind") == "header")).alias("header_count"),
+            F.coalesce(F.sum(F.when(inside, F.col("size") + 2)), F.lit(0)).cast("long").alias("header_chars"),
+            F.max(inside & F.col("closes") & (F.col("kind") != "blank")).alias("broken"), F.max(inside & (F.col("kind") == "long")).alias("long_line")]
+
+
+def _verdicts(max_headers: int | None) -> list[Column]:
+    over = F.col("long_line") | (F.lit(False) if max_headers is None else F.col("header_chars") > max_headers)
+    return [over.alias("over_bounds"), (~over & ~F.col("broken") & (F.col("header_count") > 0)).alias("header_valid")]
+
+
 def message_bounds(rows: DataFrame, max_headers: int | None = None) -> DataFrame:
     """One row a message: header_count, header_chars (each line counts two more), over_bounds and header_valid.
 
     rows: from ``message_lines``.
     """
-    inside = F.col("in_headers")
-    per = rows.groupBy(*MESSAGE).agg(
-        F.count_if(inside & (F.col("kind") == "header")).alias("header_count"),
-        F.coalesce(F.sum(F.when(inside, F.col("size") + 2)), F.lit(0)).cast("long").alias("header_chars"),
-        F.max(inside & F.col("closes") & (F.col("kind") != "blank")).alias("broken"), F.max(inside & (F.col("kind") == "long")).alias("long_line"))
-    over = F.col("long_line") | (F.lit(False) if max_headers is None else F.col("header_chars") > max_headers)
-    return per.select(*MESSAGE, "header_count", "header_chars", over.alias("over_bounds"), (~over & ~F.col("broken") & (F.col("header_count") > 0)).alias("header_valid"))
+    return rows.groupBy(*MESSAGE).agg(*_parts()).select(*MESSAGE, "header_count", "header_chars", *_verdicts(max_headers))
+
+
+def _fields(rows: DataFrame, *others: Column) -> DataFrame:
+    """For each message and field_seq: head and more, the field's header line and continuations, and other aggregates over all lines up to the next field.
+
+    Lines before the first field have field_seq 0, and no head.
+    """
+    own = F.col("in_headers") & ~F.col("closes")
+    order = Window.partitionBy(*MESSAGE).orderBy("pos")
+    parts = rows.withColumn("field_seq", F.count_if(own & (F.col("kind") == "header")).over(order))
+    first = F.first(F.when(own & (F.col("kind") == "header"), F.col("text")), ignorenulls=True)
+    more = F.array_sort(F.collect_list(F.when(own & (F.col("kind") == "continuation"), F.struct("pos", js_trim(F.col("text")).alias("t")))))
+    return parts.groupBy(*MESSAGE, "field_seq").agg(first.alias("head"), more.alias("more"), *others)
+
+
+def _name_and_value() -> list[Column]:
+    return [F.lower(F.regexp_extract("head", K.HEADER, 1)).alias("name"),
+            F.concat_ws(" ", F.regexp_extract("head", K.HEADER, 2), F.transform("more", lambda x: x["t"])).alias("value")]
 
 
 def header_fields(rows: DataFrame) -> DataFrame:
@@ -115,26 +140,20 @@ def header_fields(rows: DataFrame) -> DataFrame:
 
     A field is an island of lines: its header line and the continuations up to the next header line.
     """
-    order = Window.partitionBy(*MESSAGE).orderBy("pos")
-    parts = rows.where("in_headers AND NOT closes").select(*MESSAGE, "pos", "kind", "text", F.count_if(F.col("kind") == "header").over(order).alias("field_seq"))
-    first = F.first(F.when(F.col("kind") == "header", F.col("text")), ignorenulls=True)
-    more = F.array_sort(F.collect_list(F.when(F.col("kind") == "continuation", F.struct("pos", js_trim(F.col("text")).alias("t")))))
-    per = parts.groupBy(*MESSAGE, "field_seq").agg(first.alias("head"), more.alias("more"))
-    return per.select(*MESSAGE, "field_seq", F.lower(F.regexp_extract("head", K.HEADER, 1)).alias("name"),
-                      F.concat_ws(" ", F.regexp_extract("head", K.HEADER, 2), F.transform("more", lambda x: x["t"])).alias("value"))
+    return _fields(rows.where("in_headers AND NOT closes")).select(*MESSAGE, "field_seq", *_name_and_value())
 
 
 def mbox_messages(lines: DataFrame, max_line: int | None = None, max_headers: int | None = None) -> DataFrame:
     """The message table of mbox lines: msg_seq, header_count, header_valid, over_bounds, from_values, id_values and label_values."""
-    rows = message_lines(lines, max_line)
+    # Bounds and fields come from one pass: each line goes to its message once, and both aggregates are made there.
+    fields = _fields(message_lines(lines, max_line), *_parts()).select(
+        *MESSAGE, "field_seq", "header_count", "header_chars", "broken", "long_line", *_name_and_value())
 
     def values(name: str) -> Column:
         found = F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("field_seq", "value"))))
-        return F.transform(found, lambda x: x["value"])
+        return F.transform(found, lambda x: x["value"]).alias(name)
 
-    told = header_fields(rows).where(F.col("name").isin("from", "message-id", "x-gmail-labels")).groupBy(*MESSAGE).agg(
+    per = fields.groupBy(*MESSAGE).agg(
+        F.sum("header_count").alias("header_count"), F.sum("header_chars").alias("header_chars"), F.max("broken").alias("broken"), F.max("long_line").alias("long_line"),
         values("from").alias("from_values"), values("message-id").alias("id_values"), values("x-gmail-labels").alias("label_values"))
-    none = F.array().cast("array<string>")
-    return message_bounds(rows, max_headers).join(told, MESSAGE, "left").select(
-        *MESSAGE, "header_count", "header_chars", "over_bounds", "header_valid",
-        *[F.coalesce(c, none).alias(c) for c in ("from_values", "id_values", "label_values")])
+    return per.select(*MESSAGE, "header_count", "header_chars", *_verdicts(max_headers), "from_values", "id_values", "label_values")

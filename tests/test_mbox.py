@@ -117,3 +117,9 @@ def test_message_table(spark):
     assert [(r.header_valid, r.header_count, r.from_values, r.id_values, r.label_values) for r in rows] == [
         (True, 4, ["a@mail.test", "b@mail.test"], ["<1@mail.test>"], ["Sent, Work"]), (False, 0, [], [], []), (False, 0, [], [], [])]
     assert MX.mbox_messages(table(spark, {}, 1)).count() == 0
+
+
+def test_lines_go_to_their_messages_once(spark):
+    """Bounds and fields come from the same pass: the lines are read for the summaries of blocks and for the messages, not once more for the fields."""
+    plan = MX.mbox_messages(table(spark, {"f": [START, "A: 1"]}, 2), 50, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2
