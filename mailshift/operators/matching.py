@@ -152,7 +152,8 @@ def _met(messages: DataFrame, tests: DataFrame, kind: str) -> DataFrame:
     # No message is without keys; a plain explode would have a filter made of all that its keys are parsed from.
     keyed = messages.select("*", F.explode_outer(_message_keys()).alias("key"))
     matches = F.col("msg_seq").isNotNull() & F.forall("tests", _holds) & ~((F.size("unless") > 0) & F.forall("unless", _holds))
-    return indexed.join(_asked(keyed, _bitmap(indexed, bits), bits), ["mailbox_id", "key"], kind).withColumn("matches", matches)
+    # Never broadcast by the size of their files: rules much alike are hundreds of times smaller there than as rows with keys.
+    return indexed.hint("merge").join(_asked(keyed, _bitmap(indexed, bits), bits), ["mailbox_id", "key"], kind).withColumn("matches", matches)
 
 
 def rule_matches(messages: DataFrame, tests: DataFrame) -> DataFrame:
